@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import pii
+from gyrolith.llm import bpe, packing, pii
 
 
 def queries():
-    return {"op10_pii": pii.op10_pii}
+    return {"op4_bpe": bpe.op4_bpe, "op6_packing": packing.op6_packing, "op10_pii": pii.op10_pii}
 
 
 def oracle_sql():
