@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, packing, pii
+from gyrolith.llm import bpe, licenses, line_dedup, packing, pii
 
 
 def queries():
-    return {"op4_bpe": bpe.op4_bpe, "op6_packing": packing.op6_packing, "op10_pii": pii.op10_pii}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_licenses": licenses.op5_licenses,
+        "op6_packing": packing.op6_packing,
+        "op10_pii": pii.op10_pii,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql()}
