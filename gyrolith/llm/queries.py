@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, licenses, line_dedup, packing, pii
+from gyrolith.llm import bpe, licenses, line_dedup, packing, pii, urls
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_bpe": bpe.op4_bpe,
         "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
+        "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
     }
 
