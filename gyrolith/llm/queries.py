@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, licenses, line_dedup, packing, pii, toxicity, urls
+from gyrolith.llm import bpe, licenses, line_dedup, media, packing, pii, toxicity, urls
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_media": media.op3_media,
         "op4_bpe": bpe.op4_bpe,
         "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
