@@ -30,8 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows as a table in the shared folder, read again: lineage ends here."""
+    """The rows as a table in the shared folder, read again: lineage ends here.
+
+    With the lineage cut, the shuffle files behind it are of no more use and go as soon as the write ends.
+    """
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, "false")
+    conf.set(cleanup, "true")
+    df = df.select("*")  # planned anew, under this setting
     df.write.mode("overwrite").parquet(path)
+    conf.set(cleanup, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
