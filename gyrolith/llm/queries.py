@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, licenses, line_dedup, media, near_dup, packing, pii, toxicity, urls
+from gyrolith.llm import bpe, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
         "op7_near_dup": near_dup.op7_near_dup,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
     }
