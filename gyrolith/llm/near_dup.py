@@ -7,11 +7,12 @@ central one only (the one that meets the most others over all its bands). Each p
 registers by maximum likelihood, and what is not far below the threshold is verified on the full sets. Verified
 links give components; a bucket whose classes fell into one component is done.
 
-What is left in other buckets goes through all pairs of different components if the bucket is small. In large
-ones, shingles that occur in only one of their documents bound what any pair can share:
-|x & y| <= m and |x | y| >= m + u(x) + u(y), with u the number of such shingles and m the smaller number of others. Documents that by this
-bound have no link are left out, so unrelated texts that share a passage, or copies with many changes, do not
-meet pair by pair.
+What is left in other buckets goes through the pairs of different components that sizes allow. In large buckets,
+shingles that occur in only one of their documents bound what a pair can share: of n shingles a document has m that
+occur elsewhere, so x and y have at most min(m(x), m(y)) in common and at least n(x) + n(y) less that in their
+union. Documents that by this bound can reach the threshold with no size of partner in their bucket are left
+out, so unrelated texts that share a passage, or copies with many changes, do not meet pair by pair. The others
+are held against the larger components of their buckets, block by block, on full sets.
 
 Sets are built a second time, for the documents of some pair only; a bitmap of fixed size over their ids tells
 tasks which ones, so texts are never shuffled.
@@ -23,6 +24,7 @@ are one shingle; repeated rows share a class; a row without doc_id takes no part
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +43,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 LEAST_ESTIMATE = 0.5
 #: Buckets up to this size compare all pairs of their components.
 SMALL = 32
+#: Documents and members of a block, about, where documents meet whole components.
+ASKING, MEMBERS = 256, 512
 #: Bits of the bitmap that tells which documents' sets are needed.
 BITMAP = 1 << 24
 MEMORY = 400_000
@@ -220,13 +224,19 @@ def open_buckets(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def pairs_within(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within each bucket; (a, b), a < b."""
-    left, right = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    return left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    """Pairs of different components within each bucket, (a, b), a < b; rows (key, id, c, n, m), with at most m shingles in common with others."""
+    side = lambda x, cx: rows.select("key", F.col("id").alias(x), F.col("c").alias(cx), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
+    pairs = side("a", "ca").join(side("b", "cb"), "key").where("a < b AND ca <> cb").where(enough("ma", "mb", "na", "nb"))
+    return pairs.select("a", "b").distinct()
+
+
+def enough(ma: str, mb: str, na: str, nb: str):
+    """Whether two sets of na and nb with at most ma and mb in common with others can reach the threshold."""
+    return (100 + PERCENT) * F.least(ma, mb) >= PERCENT * (F.col(na) + F.col(nb))
 
 
 def may_link(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
-    """The rows of large buckets without the documents that the bound shows to have no link there."""
+    """The rows of large buckets, with n and m, without the documents that the bound shows to have no link there."""
     ids = rows.select("id").distinct()
     own = sets.join(ids, "id", "left_semi")
 
@@ -237,12 +247,53 @@ def may_link(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key, np.int64)), pa.array(values)], names=["id", "h"])
 
     listed = own.select("id", "hashes").mapInArrow(run, "id long, h long")
-    single = listed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("u"))
-    bound = written(own.select("id", "n").join(single, "id", "left").select("id", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")), f"{folder}/bound")
+    single = listed.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    bound = written(own.select("id", "n").join(single, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")), f"{folder}/bound")
     rows = written(rows.join(bound, "id"), f"{folder}/bounded")
-    least = written(rows.groupBy("key").agg(F.min("u").alias("least")), f"{folder}/least")
-    left = written(rows.join(least, "key").where(f"{PERCENT} * (u + least) <= {100 - PERCENT} * m").select("key", "id", "c"), f"{folder}/left")
-    return open_buckets(left, f"{folder}/still")
+    kinds = written(rows.groupBy("key", F.col("n").alias("other")).agg(F.max("m").alias("most")), f"{folder}/kinds")  # few sizes in each bucket
+    left = rows.join(kinds.withColumnRenamed("key", "there"), (F.col("key") == F.col("there")) & enough("m", "most", "n", "other"), "left_semi")
+    return open_buckets(written(left, f"{folder}/left"), f"{folder}/still")
+
+
+def cross_links(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) between components that share a large bucket: at least one for any two components that have some.
+
+    A document is held against whole components that are larger than its own, in blocks: a component's members by
+    hash, and the documents that ask for it by hash. A document that meets a member reports the first one only.
+    """
+    members = written(rows.select("id", "c").distinct(), f"{folder}/members")
+    sizes = members.groupBy("c").agg(F.count("*").alias("s"))
+    own = written(rows.join(sizes, "c").withColumn("u", F.col("n") - F.col("m")), f"{folder}/sized")
+    kinds = own.groupBy(F.col("key").alias("there"), F.col("c").alias("to"), F.col("s").alias("s2")).agg(F.max("m").alias("m2"), F.min("n").alias("n2"), F.min("u").alias("u2"))
+    larger = (F.col("s2") > F.col("s")) | ((F.col("s2") == F.col("s")) & (F.col("to") < F.col("c")))
+    apart = (100 - PERCENT) * F.least("m", "m2") >= PERCENT * (F.col("u") + F.col("u2"))
+    asked = own.join(kinds, (F.col("key") == F.col("there")) & larger & enough("m", "m2", "n", "n2") & apart).select("id", "to").distinct()
+    asked = written(asked, f"{folder}/asked")
+    blocks = asked.groupBy("to").agg(F.ceil(F.count("*") / F.lit(ASKING)).cast("int").alias("x")).join(sizes.select(F.col("c").alias("to"), F.ceil(F.col("s") / F.lit(MEMBERS)).cast("int").alias("y")), "to")
+    blocks = written(blocks, f"{folder}/blocks")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = sets.select("id", "hashes")
+    left = asked.join(blocks, "to").select("to", "id", spread("x").alias("i"), every("y").alias("j")).join(whole, "id").select("to", "i", "j", "id", "hashes")
+    right = members.withColumnRenamed("c", "to").join(blocks, "to").select("to", "id", every("x").alias("i"), spread("y").alias("j")).join(whole, "id")
+    right = right.select(*(F.col(c).alias(f"{c}2") for c in ("to", "i", "j", "id", "hashes")))  # the sides of a cogroup must not share columns
+
+    def compare(asking, held):
+        out = []
+        if len(asking) and len(held):
+            parts = [np.frombuffer(h, np.uint64) for h in held["hashes2"]]
+            ids, sizes = held["id2"].to_numpy(), np.array(list(map(len, parts)))
+            everything, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+            for one, h in zip(asking["id"], asking["hashes"], strict=True):
+                x = np.frombuffer(h, np.uint64)
+                k = np.minimum(np.searchsorted(x, everything), len(x) - 1)
+                both = np.bincount(owner[x[k] == everything], minlength=len(parts))
+                hit = np.flatnonzero(100 * both >= PERCENT * (len(x) + sizes - both))
+                if len(hit):
+                    out.append((one, int(ids[hit].min())))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return left.groupBy("to", "i", "j").cogroup(right.groupBy("to2", "i2", "j2")).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,24 +303,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     folder = shared_folder(spark)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     table = written(sketches(docs), f"{folder}/sketches")
-    classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    classes = written(classes.select("s1", "s2", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands")), f"{folder}/classes")
+    classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
+    classes = written(classes.select("s1", "s2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), f"{folder}/classes")
 
-    rows = classes.select("id", F.explode("bands").alias("key"))
+    rows = classes.select("id", "n", F.explode("bands").alias("key"))
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{folder}/sizes")
-    buckets = written(rows.join(sizes, "key").select("key", "id", "size"), f"{folder}/buckets")
+    buckets = written(rows.join(sizes, "key").select("key", "id", "n", "size"), f"{folder}/buckets")
 
     pairs = written(star_pairs(buckets, folder), f"{folder}/stars")
     sets = written(full_sets(docs, buckets.select("id")), f"{folder}/sets")
     links = written(verified(pairs, sets), f"{folder}/star-links")
     labels = components(links, f"{folder}/first")
 
-    own = written(buckets.join(labels, "id", "left").select("key", "id", "size", F.coalesce("c", "id").alias("c")), f"{folder}/own")
+    own = written(buckets.join(labels, "id", "left").select("key", "id", "n", "size", F.coalesce("c", "id").alias("c")), f"{folder}/own")
     rest = open_buckets(own, f"{folder}/open")
     small, large = rest.where(f"size <= {SMALL}"), written(rest.where(f"size > {SMALL}").select("key", "id", "c"), f"{folder}/large")
-    more = pairs_within(small.select("key", "id", "c")).unionAll(pairs_within(may_link(large, sets, folder)))
-    more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), f"{folder}/rest")
-    links = written(links.unionAll(verified(more, sets)), f"{folder}/all-links")
+    more = written(pairs_within(small.withColumn("m", F.col("n"))).join(pairs, ["a", "b"], "left_anti"), f"{folder}/rest")
+    found = [links.select("a", "b"), verified(more, sets).select("a", "b"), cross_links(may_link(large, sets, folder), sets, folder)]
+    links = written(found[0].unionAll(found[1]).unionAll(found[2]), f"{folder}/all-links")
     labels = components(links, f"{folder}/second")
 
     found = written(classes.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("c", "id").alias("c")), f"{folder}/found")
