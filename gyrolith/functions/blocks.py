@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
+def cogrouped(left: DataFrame, right: DataFrame, keys, function, schema: str) -> DataFrame:
+    """`function` on the rows of both tables for each key.
+
+    The sides of a cogroup must not share columns, or pruning above it drops what the second side needs; so the second
+    side's columns get other names on the way.
+    """
+    right = right.select(*(F.col(c).alias(f"{c}__2") for c in right.columns))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return function(a, b.rename(columns=lambda c: c.removesuffix("__2")))
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{k}__2" for k in keys))).applyInPandas(run, schema)
+
+
 def against_all(points: DataFrame, function: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, within: tuple[str, ...] = ()) -> DataFrame:
     """`function`(points of one block, points of another) for every two blocks; blocks never mix values of `within`.
 
@@ -20,16 +34,13 @@ def against_all(points: DataFrame, function: Callable[[pd.DataFrame, pd.DataFram
     """
     n = -(-points.count() // block) or 1
     own, every = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    keys = ("__i", "__j", *within)
     left, right = points.select("*", own.alias("__i"), every.alias("__j")), points.select("*", every.alias("__i"), own.alias("__j"))
-    # The sides of a cogroup must not share columns, or pruning above it drops what the second side needs.
-    right = right.select(*(F.col(c).alias(f"{c}__2") for c in right.columns))
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return function(a, b.rename(columns=lambda c: c.removesuffix("__2"))) if len(a) and len(b) else pd.DataFrame({c: [] for c in names})
+        return function(a, b) if len(a) and len(b) else pd.DataFrame({c: [] for c in names})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{k}__2" for k in keys))).applyInPandas(run, schema)
+    return cogrouped(left, right, ("__i", "__j", *within), run, schema)
 
 
 def matrix(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:

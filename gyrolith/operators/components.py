@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gyrolith.functions.blocks import cogrouped
+
 EIGHT = ((0, 1), (1, 1), (1, 0), (1, -1))
 FOUR = ((0, 1), (1, 0))
 
@@ -154,4 +156,4 @@ def filled(mask: DataFrame, sizes: DataFrame) -> DataFrame:
         y, x = np.nonzero(grid[1:-1, 1:-1])
         return pd.DataFrame({"image": own["image"].iloc[0], "y": y, "x": x})
 
-    return mask.select("image", "y", "x").groupBy("image").cogroup(sizes.select("image", "h", "w").groupBy("image")).applyInPandas(run, f"image {kind}, y int, x int")
+    return cogrouped(mask.select("image", "y", "x"), sizes.select("image", "h", "w"), ("image",), run, f"image {kind}, y int, x int")

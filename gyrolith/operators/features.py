@@ -53,10 +53,10 @@ def texture_contrast(pixels: DataFrame, mask, levels: int = 32, least: int = 10)
 
 
 def region_features(pixels: DataFrame, region: str = "label") -> DataFrame:
-    """(image, region, mean_v, max_v, mean_top, mean_contrast, area) for pixel rows with v, top and contrast; area is the share of all regions' pixels."""
+    """(image, region, mean_v, max_v, mean_top, mean_contrast, area, pixels) for pixel rows with v, top and contrast; area is the share of all regions' pixels."""
     found = pixels.groupBy("image", region).agg(F.avg("v").alias("mean_v"), F.max("v").alias("max_v"), F.avg("top").alias("mean_top"), F.avg("contrast").alias("mean_contrast"), F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("image"))
-    return found.select("image", region, "mean_v", "max_v", "mean_top", "mean_contrast", (F.col("n") / total).alias("area"))
+    return found.select("image", region, "mean_v", "max_v", "mean_top", "mean_contrast", (F.col("n") / total).alias("area"), F.col("n").alias("pixels"))
 
 
 def outlier_clusters(regions: DataFrame, bright: float = 2.0, spiky: float = 1.5, least_max: float = 150.0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gyrolith.functions.blocks import cogrouped
+
 MASK_METRICS = ("iou", "dice", "pixel_accuracy", "precision", "recall", "specificity", "f1_score")
 
 
@@ -67,7 +69,7 @@ def boundary_distances(found: DataFrame, truth: DataFrame, images: DataFrame) ->
         return pd.DataFrame({"image": [a["image"].iloc[0]], "hausdorff": [max(u.max(), v.max())], "surface": [(u.mean() + v.mean()) / 2]})
 
     kind = images.schema["image"].dataType.simpleString()
-    rows = edges(found).groupBy("image").cogroup(edges(truth).groupBy("image")).applyInPandas(pair, f"image {kind}, hausdorff double, surface double")
+    rows = cogrouped(edges(found), edges(truth), ("image",), pair, f"image {kind}, hausdorff double, surface double")
     inf = F.lit(float("inf"))
     return images.select("image").join(rows, "image", "left").select("image", F.coalesce("hausdorff", inf).alias("hausdorff"), F.coalesce("surface", inf).alias("surface"))
 

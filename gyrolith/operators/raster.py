@@ -1,7 +1,6 @@
-"""Grid operators over pixel rows (image, y, x, v): neighbourhoods as windows or joins with a kernel's offsets.
+"""Grid operators over pixel rows (image, y, x, v): neighbourhoods as windows along rows and columns.
 
-Square kernels are separable and run as two windows along rows and columns. Others, and grids with holes, join with
-the offsets, a table as large as the kernel. Beyond the border there are no pixels, so they don't count.
+Grids are dense: every pixel of an image has its row. Beyond the border there are no pixels, so they don't count.
 """
 
 from __future__ import annotations
@@ -44,12 +43,23 @@ def ellipse(size: int) -> list[tuple[int, int]]:
 
 
 def with_kernel(pixels: DataFrame, offsets: list[tuple[int, int]], largest: bool, value: str = "v") -> DataFrame:
-    """Minimum or maximum over the kernel: each pixel is sent to the places it counts for, and grouped there."""
+    """Minimum or maximum over a kernel whose rows are runs, such as an ellipse, on dense grids.
+
+    Each run is a window along rows; one more window along columns picks, for every kernel row, the result of its run.
+    A maximum uses the reflected kernel, so that opening and closing stay in place.
+    """
     sign = -1 if largest else 1
-    shifts = F.explode(F.array(*(F.struct(F.lit(-sign * dy).alias("dy"), F.lit(-sign * dx).alias("dx")) for dy, dx in offsets)))
-    sent = pixels.select("image", "y", "x", F.col(value).alias("__v"), shifts.alias("o")).select("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "__v")
-    found = sent.groupBy("image", "y", "x").agg((F.max if largest else F.min)("__v").alias("__v"))
-    return pixels.join(found, ["image", "y", "x"], "left").withColumn(value, F.coalesce("__v", value)).drop("__v")
+    rows: dict[int, list[int]] = {}
+    for dy, dx in offsets:
+        rows.setdefault(sign * dy, []).append(sign * dx)
+    runs = {dy: (min(dx), max(dx)) for dy, dx in rows.items()}
+    f, best = (F.max, F.greatest) if largest else (F.min, F.least)
+    along = Window.partitionBy("image", "y").orderBy("x")
+    down = Window.partitionBy("image", "x").orderBy("y")
+    names = {run: f"__run{k}" for k, run in enumerate(sorted(set(runs.values())))}
+    wide = pixels.withColumns({n: f(value).over(along.rangeBetween(*run)) for run, n in names.items()})
+    picked = [f(names[run]).over(down.rangeBetween(dy, dy)) for dy, run in sorted(runs.items())]
+    return wide.withColumn(value, best(*picked) if len(picked) > 1 else picked[0]).drop(*names.values())
 
 
 def opened_by(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:

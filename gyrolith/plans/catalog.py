@@ -149,7 +149,7 @@ def iterative_kmeans(spark, sf_dir):
 
 @registered(f"WITH {POINTS} SELECT a.id, min(b.id) AS cluster FROM p a JOIN p b ON a.v = b.v GROUP BY a.id")
 def iterative_nearest(spark, sf_dir):
-    """Points that no step has moved: each is its own nearest, or the first of those pos its place."""
+    """Points that no step has moved: each is its own nearest, or the first of those at its place."""
     return torque.coincident_labels(vectors(spark, sf_dir).select("id", "v"))
 
 
@@ -192,18 +192,18 @@ def connection_mean(spark, sf_dir):
     return torque.connection_clusters(weighed(spark, sf_dir), "mean")
 
 
-AGREEMENT = """g AS (SELECT count(*) AS n, sum(k * (k - 1) / 2) AS i FROM (SELECT count(*) AS k FROM r GROUP BY truth, found)),
+AGREEMENT = """g AS (SELECT sum(k) AS n, sum(k * (k - 1) / 2) AS i FROM (SELECT count(*) AS k FROM r GROUP BY truth, found)),
 s1 AS (SELECT truth, count(*) AS k FROM r GROUP BY truth), s2 AS (SELECT found, count(*) AS k FROM r GROUP BY found),
 o AS (SELECT truth, found, count(*) AS k FROM r GROUP BY truth, found),
 y AS (SELECT n, i, (SELECT sum(k * (k - 1) / 2) FROM s1) AS a, (SELECT sum(k * (k - 1) / 2) FROM s2) AS b,
   (SELECT -sum(k / n * ln(k / n)) FROM s1) AS h1, (SELECT -sum(k / n * ln(k / n)) FROM s2) AS h2,
   (SELECT sum(o.k / n * ln(n * o.k / (s1.k * s2.k))) FROM o JOIN s1 USING (truth) JOIN s2 USING (found)) AS mi FROM g)
-SELECT n, round((i - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) + 0.0 AS ari, round(mi / ((h1 + h2) / 2), 6) + 0.0 AS nmi FROM y"""
+SELECT CAST(n AS BIGINT) AS n, round((i - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) + 0.0 AS ari, round(mi / ((h1 + h2) / 2), 6) + 0.0 AS nmi FROM y"""
 
 
 @registered(f"WITH RECURSIVE {clusters_sql('(SELECT 0.79 / (count(*) * count(*)) FROM p)')}, r AS (SELECT p.label AS truth, c.cluster AS found FROM p JOIN c USING (id)), {AGREEMENT}")
 def flagship(spark, sf_dir):
-    """Density masses, links to the nearest heavier point, cut pos a number, clusters, and their agreement with the labels."""
+    """Density masses, links to the nearest heavier point, cut at a number, clusters, and their agreement with the labels."""
     labels = connection_labels(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "label"), "id")
     found = torque.agreement(labels.select(F.col("label").alias("truth"), F.col("cluster").alias("found")))
     return found.select("n", rounded("ari").alias("ari"), rounded("nmi").alias("nmi"))
@@ -345,7 +345,7 @@ def spiky_pixels(spark, sf_dir):
 
 
 REGIONS = f"""{CONTRAST}, {TOP}, rg AS (SELECT image, ct.v, top, contrast, dense_rank() OVER (PARTITION BY image ORDER BY y // 2, x // 2) - 1 AS label FROM ct JOIN th USING (image, y, x) WHERE ct.v > -0.1),
-rf AS (SELECT image, label, avg(v) AS mean_v, max(v) AS max_v, avg(top) AS mean_top, avg(contrast) AS mean_contrast, count(*) / sum(count(*)) OVER (PARTITION BY image) AS area FROM rg GROUP BY image, label)"""
+rf AS (SELECT image, label, avg(v) AS mean_v, max(v) AS max_v, avg(top) AS mean_top, avg(contrast) AS mean_contrast, count(*) / sum(count(*)) OVER (PARTITION BY image) AS area, count(*) AS pixels FROM rg GROUP BY image, label)"""
 
 
 def regions(spark, sf_dir):
@@ -359,12 +359,13 @@ def superpixel_features(spark, sf_dir):
     return rows.select("image", F.col("label").cast("long").alias("label"), *(rounded(c).alias(c) for c in ("mean_v", "max_v", "mean_top", "mean_contrast", "area")))
 
 
-@registered(f"""WITH {PX}, {REGIONS}, q AS (SELECT *, label % 4 AS cluster FROM rf),
+@registered(f"""WITH {PX}, {REGIONS}, q AS (SELECT * EXCLUDE (area), pixels AS area, label % 4 AS cluster FROM rf),
 i AS (SELECT image, avg(mean_v) AS m1, stddev_pop(mean_v) AS s1, avg(mean_top) AS m2, stddev_pop(mean_top) AS s2, quantile_cont(area, 0.5) AS mid FROM q GROUP BY image),
 c AS (SELECT image, cluster, avg(mean_v) AS v, avg(mean_top) AS t, avg(max_v) AS peak, avg(area) AS a FROM q GROUP BY image, cluster)
 SELECT image, cluster FROM c JOIN i USING (image) WHERE (v > m1 + 0.2 * s1 OR t > m2 + 0.2 * s2) AND peak > 0.1 AND a < mid""")
 def outlier_clusters(spark, sf_dir):
-    rows = regions(spark, sf_dir).withColumn("cluster", F.col("label").cast("long") % 4)
+    """Areas in pixels: whole numbers, whose means compare alike in any order of summing."""
+    rows = regions(spark, sf_dir).withColumns({"cluster": F.col("label").cast("long") % 4, "area": F.col("pixels")})
     return features.outlier_clusters(rows, 0.2, 0.2, 0.1)
 
 
