@@ -166,3 +166,34 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+
+
+def sql() -> str:
+    """The same rows in DuckDB: each kind's pattern over the whole text; a match starts after the pieces and matches before it."""
+    cues = {kind: "|".join(form for cue, k in CUES.items() if k == kind for form in (cue, cue.upper(), cue.capitalize())) for kind in ("secret", "account")}
+    value = """["\\']?[ \\t]*[=:][ \\t]*["\\']?""".replace("\\'", "''")
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "login": r"://[A-Za-z0-9._%+~-]+:[^\s/@:]+@", "secret": f"(?:{cues['secret']}){value}[A-Za-z0-9_+/.-]{{8,}}", "account": f"(?:{cues['account']}){value}[A-Za-z0-9_+/.-]{{8,}}",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({digits}), i, 1) AS INT) ELSE (2 * CAST(substr(reverse({digits}), i, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({digits}), i, 1) AS INT)) % 10 END)) % 10 = 0"
+    tail = r"regexp_extract(m, '[A-Za-z0-9_+/.-]*$')"
+    checks = {
+        "email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0", "card": f"len({digits}) BETWEEN 14 AND 19 AND {luhn}", "phone": f"len({digits}) BETWEEN 10 AND 15",
+        "login": "true", "secret": f"regexp_matches({tail}, '[0-9]')", "account": f"regexp_matches({tail}, '[0-9]')",
+    }
+    first = {"login": "a + 3", "secret": f"e - len({tail})", "account": f"e - len({tail})"}
+    last = {"login": "e - 1"}
+    parts = []
+    for k, (kind, p) in enumerate(patterns.items()):
+        parts.append(f"""SELECT rid, {k} AS k, '{kind}' AS kind, {first.get(kind, 'a')} AS s, {last.get(kind, 'e')} AS e FROM (
+  SELECT rid, m, list_sum(list_transform(pieces[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: len(x))), 0) AS a, a + len(m) AS e
+  FROM (SELECT rid, pieces, found, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS i FROM (SELECT rid, regexp_split_to_array(text, '{p}') AS pieces, regexp_extract_all(text, '{p}') AS found FROM d))) WHERE {checks[kind]}""")
+    name = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(parts)})
+SELECT any_value(doc_id) AS doc_id, {', '.join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)},
+  sha256(coalesce({name} FILTER (WHERE k < {len(BASE)}), '')) AS base_sha256, coalesce({name}, '') AS spans
+FROM d LEFT JOIN f ON f.rid = d.rid GROUP BY d.rid"""

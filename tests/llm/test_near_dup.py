@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from oracle import compare
 
 from gyrolith.llm import near_dup
 
@@ -86,3 +87,7 @@ def test_estimates_follow_the_similarity():
             merged = near_dup.registers(near_dup.mixed(np.union1d(x, y)))
             assert (np.maximum(a, b) == merged).all()
         assert abs(np.mean(found) - j) < 0.03 and np.std(found) < 0.07
+
+
+def test_query_against_sql(spark):
+    compare(near_dup.op7_near_dup(spark, "/root/testdata/sf0.01"), near_dup.SQL, "/root/testdata/sf0.01")

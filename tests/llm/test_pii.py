@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import compare
 
 from gyrolith.llm import pii
 
@@ -74,3 +75,7 @@ def test_nulls_empty_table_clashing_names(spark):
     got = pii.find_pii(docs, redact="text").collect()
     assert [len(r.pii_spans) for r in got] == [0, 1, 1] and [r.text for r in got] == [None, "[EMAIL]", "[EMAIL]"]
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark):
+    compare(pii.op10_pii(spark, "/root/testdata/sf0.01"), pii.sql(), "/root/testdata/sf0.01")
