@@ -1,10 +1,10 @@
 """License scan by a positional index of rare words, in DataFrame functions alone.
 
 The templates' words get their inverse document frequencies from all documents. Each template posts its
-rarest key word with that word's place in the template. A file looks up those words among its own; each hit, less the posted
-place, is a candidate start, and only there are the template's mandatory key words compared by position. All
-of it happens within a row, so no key can become hot; the one shuffle carries document counts of the
-templates' words.
+rarest key words with their places in the template. A file looks up the posted words among its own; each hit, less
+the posted place, is a start that this posting allows. The starts of a template's postings are intersected, and only
+where all agree are the template's mandatory key words compared by position. All of it happens within a row, so no key
+can become hot; the one shuffle carries document counts of the templates' words.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows are scanned alike; a
 file that is not text in any of the licences' languages simply has no hits.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from gyrolith.llm.common import ascii_lower
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Key words that a template posts: those with the largest inverse document frequencies.
+POSTED = 2
 
 
 @dataclass(frozen=True)
@@ -93,19 +95,20 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, lines=LINES) -
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
     templates = [*base, *lines]
     idf = inverse_frequencies(docs.select(words_of(F.col(f"`{text}`")).alias("w")), templates)
-    anchor = [max(range(t.key, t.key + t.size), key=lambda k, t=t: (idf[t.words[k]], -k)) for t in templates]
-    rare = sorted({t.words[k] for t, k in zip(templates, anchor, strict=True)})
+    posted = [sorted(range(t.key, t.key + t.size), key=lambda k, t=t: (-idf[t.words[k]], k))[:POSTED] for t in templates]
+    rare = sorted({t.words[k] for t, ks in zip(templates, posted, strict=True) for k in ks})
 
     own = docs.select(*rest, words_of(F.col(f"`{text}`")).alias("__w"))
     w = F.col("__w")
     hit = F.transform(w, lambda x, i: F.when(x.isin(rare), F.struct(x.alias("word"), i.alias("at"))))
     own = own.withColumn("__hits", F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), F.array_compact(hit)))
 
-    def places(t: Template, at: int):
+    def places(t: Template, ks: list[int]):
         """Starts, and shares, of the template where its key words stand."""
         word = lambda s, k: F.get(w, s + k) == F.lit(t.words[k])
-        starts = F.transform(F.filter("__hits", lambda h: h["word"] == t.words[at]), lambda h: h["at"] - at)
-        others = [k for k in range(t.key, t.key + t.size) if k != at]
+        allowed = lambda k: F.transform(F.filter("__hits", lambda h: h["word"] == t.words[k]), lambda h: h["at"] - k)
+        starts = reduce(F.array_intersect, map(allowed, ks))
+        others = [k for k in range(t.key, t.key + t.size) if k not in ks]
         if others:
             starts = F.filter(starts, lambda s: F.coalesce(reduce(and_, (word(s, k) for k in others)), F.lit(False)))
         total = sum(idf[x] for x in t.words)
@@ -113,8 +116,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, lines=LINES) -
         return F.transform(starts, lambda s: F.struct(F.lit(t.label).alias("label"), (s + t.key).cast("long").alias("word"), (F.lit(1.0) if t.size == len(t.words) else share(s)).alias("share")))
 
     none = F.expr("CAST(array() AS array<struct<label:string,word:bigint,share:double>>)")
-    found = lambda some, ats: F.when(F.col("__hits").isNull(), none).otherwise(F.concat(*(places(t, k) for t, k in zip(some, ats, strict=True))))
-    own = own.withColumn("__base", found(base, anchor[: len(base)])).withColumn("__more", found(lines, anchor[len(base) :]))
+    found = lambda some, posts: F.when(F.col("__hits").isNull(), none).otherwise(F.concat(*(places(t, ks) for t, ks in zip(some, posts, strict=True))))
+    own = own.withColumn("__base", found(base, posted[: len(base)])).withColumn("__more", found(lines, posted[len(base) :]))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
     everything = F.concat("__base", "__more")
     return own.select(
