@@ -79,7 +79,7 @@ class LineRuns:
         """A batch: one row (__h1, __h2) for each document and distinct line key."""
         run = keys.groupBy("__h1", "__h2").agg(F.count("*").alias("__n"))
         if self.settled_paths:
-            run = run.join(self.settled(), ["__h1", "__h2"], "left_anti")
+            run = run.join(self.settled().hint("merge"), ["__h1", "__h2"], "left_anti")
         if path := self._write(run):
             self.levels[0].append(path)
         level = 0
