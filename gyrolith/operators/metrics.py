@@ -142,6 +142,16 @@ def two_sided_p(t: str, freedom: Column) -> Column:
     return F.when(F.isnan(p), None).otherwise(p)
 
 
+def histogram(rows: DataFrame, metric: str = "metric", value: str = "value", bins: int = 20) -> DataFrame:
+    """(metric, bin, low, high, n): finite values counted in bins of equal width between each metric's ends; the last bin holds the largest."""
+    own = rows.select(F.col(metric).alias("metric"), finite(F.col(value)).alias("v")).where("v IS NOT NULL")
+    ends = own.groupBy("metric").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    width = F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) / bins).otherwise(1.0 / bins)
+    place = F.least(F.floor((F.col("v") - F.col("a")) / F.col("w")), F.lit(bins - 1)).cast("int")
+    counted = own.join(ends.withColumn("w", width), "metric").groupBy("metric", "a", "w", place.alias("bin")).agg(F.count("*").alias("n"))
+    return counted.select("metric", "bin", (F.col("a") + F.col("w") * F.col("bin")).alias("low"), (F.col("a") + F.col("w") * (F.col("bin") + 1)).alias("high"), "n")
+
+
 def top_rows(rows: DataFrame, by: str, n: int, key: str = "image") -> DataFrame:
     """The n rows with the largest values; ties go to the smaller key."""
     return rows.orderBy(F.col(by).desc_nulls_last(), key).limit(n)

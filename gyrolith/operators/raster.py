@@ -84,6 +84,49 @@ def local_contrast(pixels: DataFrame, radius: int = 7) -> DataFrame:
     return rows.withColumn("contrast", (F.col("v") - F.col("__a")) / (F.col("__b") - F.col("__a") + 1e-10)).drop("__a", "__b")
 
 
+def _beside(value: str, axis: str) -> tuple[Column, Column]:
+    """The values one place before and after along an axis, mirrored at the border without repeating it."""
+    other = "x" if axis == "y" else "y"
+    line = Window.partitionBy("image", other).orderBy(axis)
+    before, after, own = F.lag(value).over(line), F.lead(value).over(line), F.col(value)
+    return F.coalesce(before, after, own), F.coalesce(after, before, own)
+
+
+def gradient(pixels: DataFrame) -> DataFrame:
+    """The pixels with `gradient`: the length of both 3 x 3 Sobel derivatives, a difference along one axis and weights 1, 2, 1 along the other."""
+    (left, right), (up, down) = _beside("v", "x"), _beside("v", "y")
+    rows = pixels.withColumns({"__dx": right - left, "__dy": down - up})
+    (up, down), (left, right) = _beside("__dx", "y"), _beside("__dy", "x")
+    dx, dy = up + 2 * F.col("__dx") + down, left + 2 * F.col("__dy") + right
+    return rows.withColumn("gradient", F.sqrt(dx * dx + dy * dy)).drop("__dx", "__dy")
+
+
+def laplacian(pixels: DataFrame) -> DataFrame:
+    """The pixels with `laplacian`: how far the four neighbours' sum is from four times the value."""
+    (left, right), (up, down) = _beside("v", "x"), _beside("v", "y")
+    return pixels.withColumn("laplacian", F.abs(left + right + up + down - 4 * F.col("v")))
+
+
+def _mirrored(rows: DataFrame, axis: str, radius: int) -> DataFrame:
+    """The rows with copies beyond both borders of an axis, mirrored with the border repeated; size in a column `__n`."""
+    n, at = F.col("__n"), F.col(axis)
+    turns = F.expr(f"sequence(-({radius} DIV (2 * __n)) - 1, {radius} DIV (2 * __n) + 1)")
+    places = F.flatten(F.transform(turns, lambda k: F.array(at + 2 * n * k, 2 * n * (k + 1) - 1 - at)))
+    there = F.filter(places, lambda p: p.between(-radius, n - 1 + radius))
+    return rows.withColumn("__p", F.explode(there)).drop(axis).withColumnRenamed("__p", axis)
+
+
+def local_deviation(pixels: DataFrame, sizes: DataFrame, radius: int = 10) -> DataFrame:
+    """(image, y, x, v, deviation): the deviation within the square of side 2 radius + 1, on grids mirrored at the border."""
+    rows = pixels.join(sizes, "image").select("image", "y", "x", "v", "h", "w", F.col("v").alias("__a"), (F.col("v") * F.col("v")).alias("__b"))
+    for axis, n in (("x", "w"), ("y", "h")):
+        frame = _frame(axis, radius)
+        wide = _mirrored(rows.withColumn("__n", F.col(n)), axis, radius)
+        rows = wide.withColumns({c: F.avg(c).over(frame) for c in ("__a", "__b")}).where(F.col(axis).between(F.lit(0), F.col("__n") - 1)).drop("__n")
+    variance = F.greatest(F.col("__b") - F.col("__a") * F.col("__a"), F.lit(0.0))
+    return rows.select("image", "y", "x", "v", F.sqrt(variance).alias("deviation"))
+
+
 def bright_pixels(pixels: DataFrame, mask, deviations: float = 2.5, share: float = 0.97, least: float = 170.0) -> DataFrame:
     """Pixels of the mask at or above the largest of mean + deviations * sd, the percentile, and `least`, all within the mask."""
     own = pixels.where(mask)

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrolith.operators import centre_torque, components, features, matching, metrics, raster, torque
+from gyrolith.operators import annotations, centre_torque, components, features, matching, metrics, raster, torque
+from gyrolith.plans import segmentation
 from gyrolith.sources.tables import small_images, vectors, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,6 +331,42 @@ def ellipse_close(spark, sf_dir):
     return pixel_rows(raster.closed_by(small_images(spark, sf_dir), 3), "v")
 
 
+BESIDE = """a1 AS (SELECT px.*, coalesce(l.v, r.v) AS lv, coalesce(r.v, l.v) AS rv, coalesce(u.v, d.v) AS uv, coalesce(d.v, u.v) AS dv FROM px
+  LEFT JOIN px l ON l.image = px.image AND l.y = px.y AND l.x = px.x - 1 LEFT JOIN px r ON r.image = px.image AND r.y = px.y AND r.x = px.x + 1
+  LEFT JOIN px u ON u.image = px.image AND u.x = px.x AND u.y = px.y - 1 LEFT JOIN px d ON d.image = px.image AND d.x = px.x AND d.y = px.y + 1)"""
+
+
+@registered(f"""WITH {PX}, {BESIDE}, s AS (SELECT image, y, x, rv - lv AS dx, dv - uv AS dy FROM a1), k AS (SELECT * FROM (VALUES (-1, 1), (0, 2), (1, 1)) t(o, w)),
+gx AS (SELECT s.image, s.y, s.x, sum(w * n.dx) AS g FROM s, k JOIN s n ON n.image = s.image AND n.x = s.x AND n.y = CASE WHEN s.y + o < 0 THEN 1 WHEN s.y + o > 7 THEN 6 ELSE s.y + o END GROUP BY 1, 2, 3),
+gy AS (SELECT s.image, s.y, s.x, sum(w * n.dy) AS g FROM s, k JOIN s n ON n.image = s.image AND n.y = s.y AND n.x = CASE WHEN s.x + o < 0 THEN 1 WHEN s.x + o > 7 THEN 6 ELSE s.x + o END GROUP BY 1, 2, 3)
+SELECT image, y, x, round(sqrt(gx.g * gx.g + gy.g * gy.g), 6) + 0.0 AS gradient FROM gx JOIN gy USING (image, y, x)""")
+def gradient_magnitude(spark, sf_dir):
+    return pixel_rows(raster.gradient(small_images(spark, sf_dir)), "gradient")
+
+
+@registered(f"WITH {PX}, {BESIDE} SELECT image, y, x, round(abs(lv + rv + uv + dv - 4 * v), 6) + 0.0 AS laplacian FROM a1")
+def laplacian(spark, sf_dir):
+    return pixel_rows(raster.laplacian(small_images(spark, sf_dir)), "laplacian")
+
+
+def fold_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 0 THEN -1 - ({p}) WHEN {p} > 7 THEN 15 - ({p}) ELSE {p} END"
+
+
+@registered(f"""WITH {PX}, o AS (SELECT range AS o FROM range(-3, 4)), n AS (SELECT px.image, px.y, px.x, q.v FROM px, o a, o b JOIN px q ON q.image = px.image AND q.y = {fold_sql('px.y + a.o')} AND q.x = {fold_sql('px.x + b.o')})
+SELECT image, y, x, round(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)), 6) + 0.0 AS deviation FROM n GROUP BY image, y, x""")
+def local_deviation(spark, sf_dir):
+    sizes = vectors(spark, sf_dir).select(F.col("id").alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return pixel_rows(raster.local_deviation(small_images(spark, sf_dir), sizes, 3), "deviation")
+
+
+@registered(f"WITH {PX}, hi AS (SELECT image, y, x, CASE WHEN v > 0.1 THEN 255.0 ELSE 0.0 END AS v FROM px), {square_sql('max', 'hi', 'a', 2)}, {square_sql('min', 'a', 'b', 2)} SELECT image, y, x, v + 0.0 AS v FROM b")
+def threshold_close(spark, sf_dir):
+    """A threshold, then closing by a square of five."""
+    rows = small_images(spark, sf_dir).withColumn("v", F.when(F.col("v") > 0.1, 255.0).otherwise(0.0))
+    return pixel_rows(raster.closed(rows, 2), "v")
+
+
 LIMITS = "l AS (SELECT image, avg(v) AS m, stddev_pop(v) AS s, quantile_cont(v, 0.97) AS q FROM px WHERE v > -0.2 GROUP BY image)"
 
 
@@ -445,6 +482,25 @@ def red_pixels(spark, sf_dir):
     return rows.select("image", "k", h.cast("long").alias("hue"), s.cast("long").alias("saturation"), raster.red(b, g, r).alias("red"))
 
 
+COLOUR = GREY + ", cl AS (SELECT image, y, x, g AS b, least(255, g * 2) AS g, greatest(0, 255 - g) AS r FROM gr)"
+
+
+def coloured(spark, sf_dir):
+    """Every grey level as a colour of three channels."""
+    g = F.col("g")
+    return grey(spark, sf_dir).select("image", "y", "x", g.alias("b"), F.least(F.lit(255), g * 2).alias("g"), F.greatest(F.lit(0), 255 - g).alias("r"))
+
+
+@registered(f"""WITH {COLOUR}, l AS (SELECT *, floor(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r + 0.5) AS v, greatest(b, g, r) AS t, greatest(b, g, r) - least(b, g, r) AS s FROM cl),
+m AS (SELECT image, count(DISTINCT v) <= 2 OR (min(v) < 10 AND max(v) > 245) AS is_mask FROM l GROUP BY image),
+h AS (SELECT *, floor(CASE WHEN s = 0 THEN 0 WHEN t = r THEN CASE WHEN g < b THEN 360 + 60 * (g - b) / s ELSE 60 * (g - b) / s END WHEN t = g THEN 120 + 60 * (b - r) / s ELSE 240 + 60 * (r - g) / s END / 2 + 0.5) % 180 AS hue, CASE WHEN t = 0 THEN 0 ELSE floor(s * 255 / t + 0.5) END AS sat FROM l)
+SELECT image, y, x, CASE WHEN is_mask THEN v > 127 ELSE sat > 30 OR ((hue <= 10 OR hue BETWEEN 170 AND 180) AND sat >= 50 AND t >= 50) END AS marked FROM h JOIN m USING (image)""")
+def annotation_mask(spark, sf_dir):
+    """Truth masks from pictures that are masks themselves or have coloured marks."""
+    rows = annotations.annotation_mask(coloured(spark, sf_dir))
+    return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("on").alias("marked"))
+
+
 @registered(f"WITH {PX}, n AS (SELECT p.id AS image, y, x FROM p, range(5) a(y), range(12) b(x)) SELECT n.image, n.y, n.x, round(v, 6) + 0.0 AS v FROM n JOIN px ON px.image = n.image AND px.y = n.y * 8 // 5 AND px.x = n.x * 8 // 12")
 def resize_nearest(spark, sf_dir):
     pixels = small_images(spark, sf_dir)
@@ -506,6 +562,17 @@ def boundary_distances(spark, sf_dir):
     return found.select("image", *(rounded(metrics.finite(F.col(c))).alias(c) for c in ("hausdorff", "surface")))
 
 
+@registered(f"""WITH {MASKS}, {metrics_sql('mk', 'image')}, u AS (SELECT 'iou' AS metric, iou AS v FROM a UNION ALL SELECT 'dice', dice FROM a UNION ALL SELECT 'recall', recall FROM a),
+e AS (SELECT metric, min(v) AS lo, CASE WHEN max(v) > min(v) THEN (max(v) - min(v)) / 20 ELSE 0.05 END AS w FROM u GROUP BY metric)
+SELECT metric, CAST(least(floor((v - lo) / w), 19) AS BIGINT) AS bin, round(lo + w * least(floor((v - lo) / w), 19), 6) AS low, round(lo + w * (least(floor((v - lo) / w), 19) + 1), 6) AS high, count(*) AS n
+FROM u JOIN e USING (metric) GROUP BY ALL""")
+def metric_histograms(spark, sf_dir):
+    """Twenty bins of three metrics over all images."""
+    rows = metrics.mask_metrics(masks(spark, sf_dir), ["image"], F.col("found"), F.col("truth"))
+    found = metrics.histogram(metrics.unpivoted(rows, "image", ("iou", "dice", "recall")))
+    return found.select("metric", F.col("bin").cast("long").alias("bin"), rounded("low").alias("low"), rounded("high").alias("high"), "n")
+
+
 @registered(f"WITH {MASKS} SELECT image, y, x, CASE WHEN found AND truth THEN 'tp' WHEN found THEN 'fp' ELSE 'fn' END AS kind FROM mk WHERE found OR truth")
 def mask_differences(spark, sf_dir):
     """Intersection and both differences of two masks, as sets of pixels."""
@@ -524,29 +591,24 @@ def mask_union(spark, sf_dir):
     return both.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
 
 
-PARTS = """mq AS (SELECT image, y * 8 + x AS a, y, x FROM px WHERE v > 0.08),
-ed AS (SELECT p.image, p.a, q.a AS b FROM mq p JOIN mq q ON p.image = q.image AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1),
-cl AS (SELECT image, a, a AS r FROM mq UNION SELECT cl.image, ed.b, cl.r FROM cl JOIN ed ON ed.image = cl.image AND ed.a = cl.a WHERE cl.r < ed.b),
+#: Components by reaching every pixel from every other of its component: least labels, spread to a fixed point.
+REACHED = """ed AS (SELECT p.image, p.a, q.a AS b FROM mq p JOIN mq q ON p.image = q.image AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1),
+cl AS (SELECT image, a, a AS r FROM mq UNION SELECT cl.image, ed.b, cl.r FROM cl JOIN ed ON ed.image = cl.image AND ed.a = cl.a),
 lb AS (SELECT image, a, min(r) AS r FROM cl GROUP BY image, a), cc AS (SELECT image, a // 8 AS y, a % 8 AS x, dense_rank() OVER (PARTITION BY image ORDER BY r) AS component FROM lb)"""
+PARTS = f"mq AS (SELECT image, y * 8 + x AS a, y, x FROM px WHERE v > 0.08), {REACHED}"
 
 
 def parts(spark, sf_dir):
     return components.components(small_images(spark, sf_dir).where("v > 0.08"))
 
 
-def reach_sql() -> str:
-    """Components by reaching every pixel from the first of its component: least labels, spread to a fixed point."""
-    return PARTS.replace("cl AS (SELECT image, a, a AS r FROM mq UNION SELECT cl.image, ed.b, cl.r FROM cl JOIN ed ON ed.image = cl.image AND ed.a = cl.a WHERE cl.r < ed.b)",
-        "cl AS (SELECT image, a, a AS r FROM mq UNION SELECT cl.image, ed.b, cl.r FROM cl JOIN ed ON ed.image = cl.image AND ed.a = cl.a)")
-
-
-@registered(f"WITH RECURSIVE {PX}, {reach_sql()} SELECT image, component, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM cc GROUP BY image, component")
+@registered(f"WITH RECURSIVE {PX}, {PARTS} SELECT image, component, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM cc GROUP BY image, component")
 def components_area(spark, sf_dir):
     rows = components.component_table(parts(spark, sf_dir))
     return rows.select("image", "component", "area", rounded("cy").alias("cy"), rounded("cx").alias("cx"), *(F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h")))
 
 
-@registered(f"""WITH RECURSIVE {PX}, {reach_sql()}, k AS (SELECT image, component FROM cc GROUP BY image, component HAVING count(*) BETWEEN 2 AND 12 AND min(y) > 0 AND min(x) > 0 AND max(y) < 7 AND max(x) < 7)
+@registered(f"""WITH RECURSIVE {PX}, {PARTS}, k AS (SELECT image, component FROM cc GROUP BY image, component HAVING count(*) BETWEEN 2 AND 12 AND min(y) > 0 AND min(x) > 0 AND max(y) < 7 AND max(x) < 7)
 SELECT image, y, x, component FROM cc JOIN k USING (image, component)""")
 def inner_components(spark, sf_dir):
     """Components off the border, of 2 to 12 pixels."""
@@ -555,6 +617,15 @@ def inner_components(spark, sf_dir):
     return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "component")
 
 
+@registered(f"""WITH RECURSIVE {PX}, hi AS (SELECT image, y, x, CASE WHEN v > -0.15 AND v >= -0.05 THEN 1 ELSE 0 END AS v FROM px), {square_sql('min', 'hi', 'oa')}, {square_sql('max', 'oa', 'ob')},
+mq AS (SELECT image, y * 8 + x AS a, y, x FROM ob WHERE v = 1), {REACHED}, k AS (SELECT image, component FROM cc GROUP BY image, component HAVING count(*) BETWEEN 5 AND 40)
+SELECT image, y, x FROM cc JOIN k USING (image, component)""")
+def intense_spots(spark, sf_dir):
+    """Components of 5 to 40 pixels of what opening leaves of the bright pixels."""
+    rows = segmentation.intense_spots(small_images(spark, sf_dir).withColumn("inside", F.col("v") > -0.15), -0.05, (5, 40))
+    return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+
 @registered()
 def component_shapes(spark, sf_dir):
     return components.shape_table(parts(spark, sf_dir))

@@ -44,6 +44,33 @@ def region_mask(pixels: DataFrame, settings: Settings) -> DataFrame:
     return components.by_area(written(components.components(mask)), *settings.area).select("image", "y", "x")
 
 
+def intense_spots(pixels: DataFrame, least: float = 220.0, area: tuple[int, int] = (5, 3000)) -> DataFrame:
+    """(image, y, x) of components, by area, of the mask's pixels at or above a value, opened by a square of three."""
+    spots = F.when(F.col("inside") & (F.col("v") >= least), 1).otherwise(0)
+    grid = raster.opened(pixels.select("image", "y", "x", spots.alias("v")), 1)
+    return components.by_area(written(components.components(grid.where("v = 1"))), *area).select("image", "y", "x")
+
+
+def cleaned(pixels: DataFrame, found: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
+    """(image, y, x, component) of found pixels, opened and closed on their grids and filtered by border, area and shape."""
+    found = found.select("image", "y", "x").distinct().withColumn("on", F.lit(1))
+    grid = pixels.select("image", "y", "x").join(found, ["image", "y", "x"], "left").withColumn("v", F.coalesce("on", F.lit(0)))
+    grid = raster.closed_by(raster.opened_by(grid, settings.opening), settings.closing)
+    kept = written(components.components(grid.where("v = 1")))
+    kept = components.by_area(components.without_border(kept, sizes), *settings.area)
+    return components.by_shape(written(kept), settings.circularity, settings.solidity)
+
+
+def segment_by_percentiles(pixels: DataFrame, settings: Settings = Settings(), share: float = 0.95, least: float = 170.0) -> DataFrame:
+    """(image, y, x) of the mask's pixels whose top-hat or value is among its highest, cleaned; without regions and clusters."""
+    pixels = written(pixels.select("image", "y", "x", F.col("v").cast("double").alias("v"), "inside"))
+    sizes = written(pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
+    rich = written(raster.top_hat(pixels, settings.kernel).where("inside"))
+    limits = rich.groupBy("image").agg(F.expr(f"percentile(top, {share})").alias("a"), F.expr(f"percentile(v, {share})").alias("b"))
+    found = written(rich.join(limits, "image").where((F.col("top") >= F.col("a")) | (F.col("v") >= F.greatest("b", F.lit(least)))))
+    return cleaned(pixels, found, sizes, settings).select("image", "y", "x")
+
+
 def segment(pixels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(image, y, x) of the inclusions found."""
     inside = F.col("inside")
@@ -52,10 +79,6 @@ def segment(pixels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sizes = written(pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
     rich = written(raster.local_contrast(raster.top_hat(raster.crop(pixels, inside, settings.below), settings.kernel), settings.kernel // 2))
     spots = raster.bright_pixels(rich, inside).select("image", "y", "x").union(raster.spiky_pixels(rich, inside).select("image", "y", "x"))
-    found = written(spots.union(region_mask(rich, settings)).distinct().withColumn("on", F.lit(1)))
-    grid = pixels.select("image", "y", "x", "inside").join(found, ["image", "y", "x"], "left").withColumn("v", F.coalesce("on", F.lit(0)))
-    grid = raster.closed_by(raster.opened_by(grid, settings.opening), settings.closing)
-    kept = written(components.components(grid.where("v = 1")))
-    kept = components.by_area(components.without_border(kept, sizes), *settings.area)
-    kept = components.by_shape(written(kept), settings.circularity, settings.solidity)
+    found = written(spots.union(region_mask(rich, settings)))
+    kept = cleaned(pixels, found, sizes, settings)
     return kept.join(pixels.where(inside).select("image", "y", "x"), ["image", "y", "x"], "left_semi").select("image", "y", "x")
