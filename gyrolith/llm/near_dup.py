@@ -48,6 +48,8 @@ ASKING, MEMBERS = 256, 512
 #: Bits of the bitmap that tells which documents' sets are needed.
 BITMAP = 1 << 24
 MEMORY = 400_000
+#: Hashes that a task counts before it passes them on.
+PART = 1 << 20
 
 _seed = np.random.default_rng(20240607)
 XOR = _seed.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
@@ -235,19 +237,34 @@ def enough(ma: str, mb: str, na: str, nb: str):
     return (100 + PERCENT) * F.least(ma, mb) >= PERCENT * (F.col(na) + F.col(nb))
 
 
-def may_link(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
-    """The rows of large buckets, with n and m, without the documents that the bound shows to have no link there."""
-    ids = rows.select("id").distinct()
-    own = sets.join(ids, "id", "left_semi")
+def hash_counts(sets: DataFrame) -> DataFrame:
+    """(h, k, id): hashes with the number of sets that hold them, and one of these; counted within parts of tasks, to be summed by hash."""
 
     def run(batches):
+        def counted(ids, parts):
+            h, first, k = np.unique(np.concatenate(parts), return_index=True, return_counts=True)
+            owner = np.repeat(np.array(ids, np.int64), list(map(len, parts)))
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int64)), pa.array(owner[first])], names=["h", "k", "id"])
+
+        ids, parts, size = [], [], 0
         for batch in batches:
-            for key, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(hashes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key, np.int64)), pa.array(values)], names=["id", "h"])
+            for one, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(one)
+                parts.append(np.frombuffer(hashes, np.int64))
+                size += len(parts[-1])
+                if size >= PART:
+                    yield counted(ids, parts)
+                    ids, parts, size = [], [], 0
+        if parts:
+            yield counted(ids, parts)
+
+    return sets.select("id", "hashes").mapInArrow(run, "h long, k long, id long")
 
-    listed = own.select("id", "hashes").mapInArrow(run, "id long, h long")
-    single = listed.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+
+def may_link(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """The rows of large buckets, with n and m, without the documents that the bound shows to have no link there."""
+    own = sets.join(rows.select("id").distinct(), "id", "left_semi")
+    single = hash_counts(own).groupBy("h").agg(F.sum("k").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
     bound = written(own.select("id", "n").join(single, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")), f"{folder}/bound")
     rows = written(rows.join(bound, "id"), f"{folder}/bounded")
     kinds = written(rows.groupBy("key", F.col("n").alias("other")).agg(F.max("m").alias("most")), f"{folder}/kinds")  # few sizes in each bucket
