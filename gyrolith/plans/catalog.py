@@ -408,7 +408,7 @@ def outlier_clusters(spark, sf_dir):
 
 @registered()
 def fit_regions(spark, sf_dir):
-    """A model for each image over its regions' features."""
+    """A model for each image over its regions' features; images of 5 to 9 regions, for which no model can be chosen, have no row."""
     rows = regions(spark, sf_dir).select(F.col("image"), F.col("label"), F.array("mean_v", "max_v", "mean_top", "mean_contrast", "area").alias("f"))
     size = rows.groupBy("image").agg(F.count("*").alias("n"))
     rows = rows.join(size.where("n >= 10 OR n < 5"), "image")
