@@ -145,6 +145,7 @@ def iterative_2steps(spark, sf_dir):
 
 @registered()
 def iterative_kmeans(spark, sf_dir):
+    """k-means after 3 rounds of moves; the operator's default is up to 100 with a tolerance of 1e-4, so points may be far from its own stop."""
     return torque.cluster(vectors(spark, sf_dir), "iterative", n_clusters=10, rounds=3)[0]
 
 
