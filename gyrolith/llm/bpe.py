@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gyrolith.llm.common import bounded_batches
+from gyrolith.llm.common import slices
 
 #: Pre-tokens that a worker remembers; beyond it the memory starts anew.
 MEMORY = 400_000
@@ -182,9 +182,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
     With `digests`, columns n_tokens, ids_sha256 and decoded_sha256 come in place of the ids: the digests of the
     comma-joined ids and of the bytes that those ids decode to.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(read_ranks(ranks)))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks)))
     added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {ids: T.ArrayType(T.IntegerType())}
     rest = [c for c in docs.columns if c.lower() not in {a.lower() for a in added} and not (digests and c == text)]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, kind) for c, kind in added.items()])
@@ -192,7 +190,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
     def run(batches):
         encoder = Encoder(vocabulary.value, pattern)
         decoder = Decoder(vocabulary.value)
-        for batch in batches:
+        for batch in slices(batches, text):
             names = batch.schema.names
             found = encoder.encode(batch.column(names.index(text)).to_pylist())
             columns = [batch.column(names.index(c)) for c in rest]
@@ -210,7 +208,6 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
 
 def decode_documents(rows: DataFrame, ranks: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with the bytes that their ids stand for; a null list decodes to no bytes."""
-    bounded_batches(rows.sparkSession)
     vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks)))
     rest = [c for c in rows.columns if c.lower() != text.lower()]
     schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField(text, T.BinaryType())])

@@ -2,13 +2,17 @@
 
 Documents come in batches. A batch counts its line keys, merge-anti-joins the settled runs (keys that already
 reached the threshold need no more counting) and writes what is left as a sorted run of level 0. As soon as a
-level holds `fanout` runs they are compacted: counts add up, keys at the threshold settle, the others form one
-run of the next level. A last compaction over all levels settles the rest. Then the lines whose key is settled
-leave their documents.
+level holds two runs they are merged by a full outer join into one of the next level: counts add up, and keys at the
+threshold settle. A last merge over all levels settles the rest. Then the lines whose key is settled leave their documents.
 
-A key is held as two 64-bit hashes. Counting aggregates before it shuffles, so a line that stands in a third of
-all documents is one row for each task. Texts are shuffled once, by a hash of their row; only lines to
-be dropped are gathered by document.
+A key is held as two 64-bit hashes. Runs are bucketed and sorted by it, so joins between runs need no exchange. A batch
+counts within its tasks before it shuffles, so a line that stands in a third of all documents is one row for each
+task; a condition on the count keeps the optimizer from moving the anti-join below it, where raw lines would be shuffled.
+
+Which lines to drop is found by a broadcast of the settled keys where they are few. Where they are more, only keys of
+at least 1 / HELD of all line rows are broadcast, which can't be more than HELD; each of the others holds too
+small a share to make its partition hot, so they meet their lines in a join. Texts are shuffled once, by a hash of
+their row; only lines to be dropped are gathered by document.
 
 Defined results: a null text is one empty line and stays null unless changed; repeated rows count as documents
 of their own and lose the same lines; a document that loses every line becomes empty.
@@ -16,17 +20,19 @@ of their own and lose the same lines; a document that loses every line becomes e
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import ascii_lower, shared_folder
+from gyrolith.llm.common import ascii_lower, free_names, removed, shared_folder, written
 
 SPACES = " \t\n\x0b\x0c\r"
-#: Documents from which on a line is dropped, batches a table is read in, and runs that make a compaction.
-MIN_DOCS, BATCHES, FANOUT = 10, 4, 2
+#: Documents from which on a line is dropped, batches a table is read in, and keys that every task may hold.
+MIN_DOCS, BATCHES, HELD = 10, 4, 200_000
+KEY = ["__h1", "__h2"]
 
 
 def lines_of(text):
@@ -42,104 +48,127 @@ def hashed(key):
 
 
 class LineRuns:
-    """Runs of (hash, documents with the line), sorted by hash, as tables in the shared folder."""
+    """Runs of (hash, documents with the line), bucketed and sorted by hash, as tables in the shared folder.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.folder, self.made = shared_folder(spark), 0
-        self.levels: list[list[str]] = [[]]
-        self.settled_paths: list[str] = []
+    Buckets need a catalog entry; entries last until `finish`.
+    """
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "__h1 long, __h2 long, __n long"
-        return reduce(DataFrame.unionAll, (self.spark.read.schema(schema).parquet(p) for p in paths)) if paths else self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS):
+        self.spark, self.min_docs = spark, min_docs
+        self.folder, self.name = shared_folder(spark), f"gyrolith_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[str | None] = []
+        self.settled: list[str] = []
+        self.made: list[str] = []
 
     def _write(self, run: DataFrame) -> str:
-        """One run; keys at the threshold go to a folder of their own."""
-        self.made += 1
-        path = f"{self.folder}/run-{self.made}"
-        over = F.when(F.col("__n") >= self.min_docs, 1).otherwise(0)
-        run.withColumn("over", over).sortWithinPartitions("over", "__h1", "__h2").write.partitionBy("over").parquet(path)
-        here = {int(r["over"]) for r in self.spark.read.parquet(path).select("over").distinct().collect()} if not self._empty(path) else set()
-        if 1 in here:
-            self.settled_paths.append(f"{path}/over=1")
-        return f"{path}/over=0" if 0 in here else ""
-
-    def _empty(self, path: str) -> bool:
-        try:
-            self.spark.read.parquet(path)
-        except AnalysisException:  # a run without rows leaves no file that tells its schema
-            return True
-        return False
-
-    def settled(self) -> DataFrame:
-        return self._read(self.settled_paths).select("__h1", "__h2")
+        name = f"{self.name}_{len(self.made)}"
+        self.made.append(name)
+        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _open(self, name: str) -> DataFrame:
+        """A run's keys below the threshold."""
+        return self.spark.table(name).where(F.col("__n") < self.min_docs)
+
+    def _settle(self, name: str) -> str:
+        """Copies a run's keys at the threshold to a run of their own."""
+        over = self.spark.table(name).where(F.col("__n") >= self.min_docs)
+        if not over.isEmpty():
+            self.settled.append(self._write(over))
+        return name
+
+    def unsettled(self, keys: DataFrame) -> DataFrame:
+        """A batch's keys, counted, without those that are settled; `keys` has a row for each document and distinct line key."""
+        run = keys.groupBy(*KEY).agg(F.count("*").alias("__n")).alias("run")
+        for name in self.settled:
+            known = self.spark.table(name).hint("merge").alias("known")
+            same = [F.col(f"run.{k}") == F.col(f"known.{k}") for k in KEY]
+            run = run.join(known, [*same, F.col("run.__n") > 0], "left_anti").alias("run")
+        return run
 
     def add(self, keys: DataFrame) -> None:
-        """A batch: one row (__h1, __h2) for each document and distinct line key."""
-        run = keys.groupBy("__h1", "__h2").agg(F.count("*").alias("__n"))
-        if self.settled_paths:
-            run = run.join(self.settled().hint("merge"), ["__h1", "__h2"], "left_anti")
-        if path := self._write(run):
-            self.levels[0].append(path)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self._compact(self.levels[level], level + 1)
+        name, level = self._settle(self._write(self.unsettled(keys))), 0
+        while level < len(self.levels) and self.levels[level]:
+            name, self.levels[level] = self._merged(self.levels[level], name), None
             level += 1
+        self.levels[level : level + 1] = [name]
 
-    def _compact(self, paths: list[str], into: int) -> None:
-        merged = self._read(list(paths)).groupBy("__h1", "__h2").agg(F.sum("__n").alias("__n"))
-        paths.clear()
-        if into == len(self.levels):
-            self.levels.append([])
-        if path := self._write(merged):
-            self.levels[into].append(path)
+    def _merged(self, a: str, b: str) -> str:
+        n = F.coalesce(F.col("a.__n"), F.lit(0)) + F.coalesce(F.col("b.__n"), F.lit(0))
+        both = self._open(a).hint("merge").alias("a").join(self._open(b).alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY], "full")
+        return self._settle(self._write(both.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY), n.alias("__n"))))
 
     def finish(self) -> DataFrame:
-        """All keys at the threshold."""
-        rest = [p for level in self.levels for p in level]
-        if len(rest) > 1:
-            self.levels = [rest]
-            self._compact(rest, 1)
-        return self.settled()
+        """All keys at the threshold; other runs and the catalog's entries go."""
+        rest = [name for name in self.levels if name]
+        if rest:
+            reduce(self._merged, rest)
+        paths = {name: f"{self.folder}/{name}" for name in self.made}
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE {name}")
+        removed(self.spark, *(p for name, p in paths.items() if name not in self.settled))
+        if not self.settled:
+            return self.spark.createDataFrame([], "__h1 long, __h2 long")
+        return self.spark.read.schema("__h1 long, __h2 long").parquet(*(paths[name] for name in self.settled))
+
+
+def in_batches(docs: DataFrame, text: str, n: int) -> list[DataFrame]:
+    """The rows in n parts: by the files they come from, so that each part reads its own, or where these are too few by a hash of the text."""
+    try:
+        by_file = len(docs.inputFiles()) >= 2 * n
+        parts = [docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n)) == k) for k in range(n)] if by_file else []
+    except AnalysisException:  # rows that come from no files
+        parts = []
+    return parts or [docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(n)) == k) for k in range(n)]
 
 
-def in_batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """The rows in n parts by the files they come from, so that each part reads its own files; one part if they come from none."""
-    try:
-        return [docs.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(n)) == k) for k in range(n)] if n > 1 and len(docs.inputFiles()) > 1 else [docs]
-    except AnalysisException:
-        return [docs]
+def line_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
+    keys = docs.select(F.explode(F.array_distinct(keys_of(F.col(f"`{text}`")))).alias("__key"))
+    return keys.where(F.length("__key") >= min_chars).select(*hashed(F.col("__key")))
 
 
 def common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
     """Hashes (__h1, __h2) of the line keys that stand in at least `min_docs` documents."""
     runs = LineRuns(docs.sparkSession, min_docs)
-    for part in in_batches(docs, batches):
-        keys = part.select(F.explode(F.array_distinct(keys_of(F.col(f"`{text}`")))).alias("__key"))
-        runs.add(keys.where(F.length("__key") >= min_chars).select(*hashed(F.col("__key"))))
+    for part in in_batches(docs, text, batches):
+        runs.add(line_keys(part, text, min_chars))
     return runs.finish()
 
 
-def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
+def dropped_places(places: DataFrame, keys: DataFrame, common: DataFrame, held: int) -> DataFrame:
+    """The places whose key is common; `keys` has a row for each document and distinct line key."""
+    if common.count() <= held:
+        return places.join(F.broadcast(common), KEY, "left_semi")
+    counts = written(keys.groupBy(*KEY).agg(F.count("*").alias("__n")).join(common, KEY, "left_semi"), f"{shared_folder(places.sparkSession)}/counts")
+    least = (keys.count() or 1) / held
+    hot = counts.where(F.col("__n") >= least).select(*KEY)  # at most `held` keys, as each has that share of the rows
+    own = places.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), KEY, "left")
+    cold = own.where("__hot IS NULL").drop("__hot").join(counts.where(F.col("__n") < least).select(*KEY), KEY, "left_semi")
+    return own.where("__hot").drop("__hot").unionByName(cold)
+
+
+def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, held: int = HELD) -> DataFrame:
     """The rows with the text's other lines, and n_lines and n_dropped, which replace columns of those names."""
     common = common_lines(docs, text, min_docs, min_chars, batches)
+    r1, r2, drop = free_names(docs.columns, "__r1", "__r2", "__drop")
     body, row = F.col(f"`{text}`"), F.col(f"`{key}`")
-    ids = (F.xxhash64(row, body).alias("__r1"), F.xxhash64(F.lit(1), body, row).alias("__r2"))
-    places = docs.select(*ids, F.posexplode(keys_of(body)).alias("__at", "__key")).select("__r1", "__r2", "__at", *hashed(F.col("__key")))
-    drops = places.join(common, ["__h1", "__h2"], "left_semi").groupBy("__r1", "__r2").agg(F.sort_array(F.collect_set("__at")).alias("__drop"))
+    ids = (F.xxhash64(row, body).alias(r1), F.xxhash64(F.lit(1), body, row).alias(r2))
+    places = docs.select(*ids, F.posexplode(keys_of(body)).alias("__at", "__key")).select(r1, r2, "__at", *hashed(F.col("__key")))
+    drops = dropped_places(places, line_keys(docs, text, min_chars), common, held)
+    drops = drops.groupBy(r1, r2).agg(F.sort_array(F.collect_set("__at")).alias(drop))
 
     made = ("n_lines", "n_dropped")
     keep = [c for c in docs.columns if c.lower() not in made]
     lines = lines_of(body)
-    starts = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda x: x + 1))
-    ends = F.concat(F.col("__drop"), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(drop, lambda x: x + 1))
+    ends = F.concat(F.col(drop), F.array(F.size(lines)))
     runs = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"]))
-    kept = F.when(F.col("__drop").isNull(), body).otherwise(F.array_join(F.flatten(runs), "\n"))
-    found = docs.select(*(F.col(f"`{c}`") for c in keep), *ids).join(drops, ["__r1", "__r2"], "left")
+    kept = F.when(F.col(drop).isNull(), body).otherwise(F.array_join(F.flatten(runs), "\n"))
+    found = docs.select(*(F.col(f"`{c}`") for c in keep), *ids).join(drops, [r1, r2], "left")
     return found.select(
         *(kept.alias(c) if c == text else F.col(f"`{c}`") for c in keep),
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import bounded_batches, shared_folder, written
+from gyrolith.llm.common import shared_folder, slices, written
 
 #: Words of a shingle; links have at least PERCENT per hundred of their union in common.
 WORDS, PERCENT = 5, 75
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         memory = Words()
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, s1, s2, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text, memory)
@@ -157,7 +157,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         memory, marked = Words(), np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches, 1):
             at = batch.column(2).to_numpy(zero_copy_only=False)
             own = pa.array((marked[at >> 3] >> (at & 7) & 1).astype(bool))
             batch = batch.filter(own)
@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, with the sizes of their intersection and union."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "ha"):
             rows = batch.to_pydict()
             na, nb = np.array(rows["na"], float), np.array(rows["nb"], float)
             out = ([], [], [], [])
@@ -247,7 +247,7 @@ def hash_counts(sets: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int64)), pa.array(owner[first])], names=["h", "k", "id"])
 
         ids, parts, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             for one, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(one)
                 parts.append(np.frombuffer(hashes, np.int64))
@@ -315,9 +315,7 @@ def cross_links(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reached by links) and kept, for every row."""
-    spark = docs.sparkSession
-    bounded_batches(spark, 200)
-    folder = shared_folder(spark)
+    folder = shared_folder(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     table = written(sketches(docs), f"{folder}/sketches")
     classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import bounded_batches
+from gyrolith.llm.common import slices
 
 #: Tokens of a sequence, the id that ends a document, and how many sequences a task keeps open.
 LENGTH, END, OPEN = 1024, 2, 512
@@ -101,13 +101,12 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     A document longer than a sequence is cut from its end into whole sequences, so only its first piece, the
     rest, competes for space.
     """
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         tokens, bins = Tokens(tokenizer, ranks, pattern), OpenBins(length, opened)
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(tokens.encode(body), np.uint32(end)).astype("<u4")

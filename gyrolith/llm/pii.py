@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gyrolith.llm.common import bounded_batches
+from gyrolith.llm.common import slices
 
 #: Kinds in the order in which spans with one start are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "login", "secret", "account")
@@ -132,7 +132,6 @@ def find_pii(docs: DataFrame, text: str = "text", spans: str = "pii_spans", reda
     Columns of the same names are replaced. The scan is a map over partitions: no shuffle, and a lost task is
     simply run again. A null text stays null when redacted.
     """
-    bounded_batches(docs.sparkSession)
     added = [spans] + ([redact] if redact else [])
     lower = {c.lower() for c in added}
     keep = [c for c in docs.columns if c.lower() not in lower or c == text]
@@ -143,7 +142,7 @@ def find_pii(docs: DataFrame, text: str = "text", spans: str = "pii_spans", reda
     def scan(batches):
         anchors = automaton()
         kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found = [spans_of(t, anchors) if t else [] for t in texts]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]

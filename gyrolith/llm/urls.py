@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import bounded_batches
+from gyrolith.llm.common import slices
 
 #: Hashed features, lengths of n-grams, and the settings of the fit.
 FEATURES, GRAMS, ROUNDS, RATE, RIDGE = 1 << 16, (3, 4, 5), 300, 0.5, 1e-3
