@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql(), "op7_near_dup": near_dup.SQL, "op10_pii": pii.sql()}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql(), "op7_near_dup": near_dup.SQL, "op9_urls": urls.sql(), "op10_pii": pii.sql()}
