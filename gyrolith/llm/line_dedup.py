@@ -1,9 +1,9 @@
 """Lines that many documents share, dropped by levelled sorted runs of line hashes; DataFrame functions alone.
 
-Documents come in batches. A batch counts its line keys, merge-anti-joins the settled runs (keys that already
+Documents come in batches. A batch counts its line keys, merge-anti-joins the runs for their settled keys (those that already
 reached the threshold need no more counting) and writes what is left as a sorted run of level 0. As soon as a
-level holds two runs they are merged by a full outer join into one of the next level: counts add up, and keys at the
-threshold settle. A last merge over all levels settles the rest. Then the lines whose key is settled leave their documents.
+level holds two runs they are merged by a full outer join into one of the next level, where counts add up. A last merge
+over all levels gives every count. Then the lines whose key is settled leave their documents.
 
 A key is held as two 64-bit hashes. Runs are bucketed and sorted by it, so joins between runs need no exchange. A batch
 counts within its tasks before it shuffles, so a line that stands in a third of all documents is one row for each
@@ -58,59 +58,56 @@ class LineRuns:
         self.folder, self.name = shared_folder(spark), f"gyrolith_{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[str | None] = []
-        self.settled: list[str] = []
-        self.made: list[str] = []
+        self.made = 0
 
     def _write(self, run: DataFrame) -> str:
-        name = f"{self.name}_{len(self.made)}"
-        self.made.append(name)
+        name, self.made = f"{self.name}_{self.made}", self.made + 1
         run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _open(self, name: str) -> DataFrame:
-        """A run's keys below the threshold."""
-        return self.spark.table(name).where(F.col("__n") < self.min_docs)
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        removed(self.spark, f"{self.folder}/{name}")
 
-    def _settle(self, name: str) -> str:
-        """Copies a run's keys at the threshold to a run of their own."""
-        over = self.spark.table(name).where(F.col("__n") >= self.min_docs)
-        if not over.isEmpty():
-            self.settled.append(self._write(over))
-        return name
+    def runs(self) -> list[str]:
+        return [name for name in self.levels if name]
 
     def unsettled(self, keys: DataFrame) -> DataFrame:
         """A batch's keys, counted, without those that are settled; `keys` has a row for each document and distinct line key."""
         run = keys.groupBy(*KEY).agg(F.count("*").alias("__n")).alias("run")
-        for name in self.settled:
-            known = self.spark.table(name).hint("merge").alias("known")
+        for name in self.runs():
+            known = self.spark.table(name).where(F.col("__n") >= self.min_docs).hint("merge").alias("known")
             same = [F.col(f"run.{k}") == F.col(f"known.{k}") for k in KEY]
             run = run.join(known, [*same, F.col("run.__n") > 0], "left_anti").alias("run")
         return run
 
     def add(self, keys: DataFrame) -> None:
-        name, level = self._settle(self._write(self.unsettled(keys))), 0
+        name, level = self._write(self.unsettled(keys)), 0
         while level < len(self.levels) and self.levels[level]:
             name, self.levels[level] = self._merged(self.levels[level], name), None
             level += 1
         self.levels[level : level + 1] = [name]
 
-    def _merged(self, a: str, b: str) -> str:
+    def both(self, a: str, b: str) -> DataFrame:
+        """The keys of two runs with their counts added."""
         n = F.coalesce(F.col("a.__n"), F.lit(0)) + F.coalesce(F.col("b.__n"), F.lit(0))
-        both = self._open(a).hint("merge").alias("a").join(self._open(b).alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY], "full")
-        return self._settle(self._write(both.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY), n.alias("__n"))))
+        sides = self.spark.table(a).hint("merge").alias("a").join(self.spark.table(b).alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY], "full")
+        return sides.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY), n.alias("__n"))
+
+    def _merged(self, a: str, b: str) -> str:
+        name = self._write(self.both(a, b))
+        self._drop(a)
+        self._drop(b)
+        return name
 
     def finish(self) -> DataFrame:
-        """All keys at the threshold; other runs and the catalog's entries go."""
-        rest = [name for name in self.levels if name]
-        if rest:
-            reduce(self._merged, rest)
-        paths = {name: f"{self.folder}/{name}" for name in self.made}
-        for name in self.made:
-            self.spark.sql(f"DROP TABLE {name}")
-        removed(self.spark, *(p for name, p in paths.items() if name not in self.settled))
-        if not self.settled:
-            return self.spark.createDataFrame([], "__h1 long, __h2 long")
-        return self.spark.read.schema("__h1 long, __h2 long").parquet(*(paths[name] for name in self.settled))
+        """All keys at the threshold. Only the last run's files stay, without a catalog's entry."""
+        self.levels = [reduce(self._merged, rest)] if (rest := self.runs()) else []
+        found = self.spark.createDataFrame([], "__h1 long, __h2 long, __n long")
+        if self.levels:
+            self.spark.sql(f"DROP TABLE {self.levels[0]}")
+            found = self.spark.read.schema(found.schema).parquet(f"{self.folder}/{self.levels[0]}")
+        return found.where(F.col("__n") >= self.min_docs).select(*KEY)
 
 
 def in_batches(docs: DataFrame, text: str, n: int) -> list[DataFrame]:

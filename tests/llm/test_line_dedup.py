@@ -57,8 +57,6 @@ def test_counts_come_before_the_exchange_and_runs_need_none(spark):
     docs = spark.createDataFrame([(k, "same\nother\n" + str(k)) for k in range(60)], "doc_id long, text string")
     runs, keys = line_dedup.LineRuns(spark), line_dedup.line_keys(docs, "text", 1)
     runs.add(keys)
-    runs.add(keys)
-    assert runs.settled
 
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
@@ -67,7 +65,8 @@ def test_counts_come_before_the_exchange_and_runs_need_none(spark):
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1 and "SortMergeJoin" in text
     below = text[text.index("Exchange hashpartitioning") :]
     assert "partial_count" in below and "SortMergeJoin" not in below
-    a, b = runs.made[0], runs.made[-1]
-    both = runs._open(a).hint("merge").alias("a").join(runs._open(b).alias("b"), ["__h1", "__h2"], "full")
-    assert "SortMergeJoin" in plan(both) and "Exchange" not in plan(both)
-    runs.finish()
+    other = runs._write(runs.unsettled(keys))
+    merge = plan(runs.both(runs.levels[0], other))
+    assert "SortMergeJoin" in merge and "Exchange" not in merge
+    runs._drop(other)
+    assert runs.finish().count() == 2
