@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import shared_folder, written
+from gyrolith.llm.common import removed, shared_folder, tidied, written
 from gyrolith.llm.line_dedup import drop_common_lines
 from gyrolith.llm.near_dup import near_duplicates
 from gyrolith.llm.packing import pack_documents
@@ -63,7 +63,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`."""
-    folder, docs = shared_folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, docs, before = shared_folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        with tidied():  # the stage's own tables go when its rows are written
+            docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
