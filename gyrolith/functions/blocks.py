@@ -1,55 +1,177 @@
-"""All pairs of a table of points, in blocks: each task holds two blocks and returns what it knows about the points of the first."""
+"""All pairs of a table of points, in blocks, medians over all pairs, and functions over whole images.
+
+A block of points is packed into one row, so what is copied for pairs of blocks is a few large values and not a row for
+each point. Each two blocks meet once, and the function is called for both orders.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a block, about.
-BLOCK = 512
-
-
-def cogrouped(left: DataFrame, right: DataFrame, keys, function, schema: str) -> DataFrame:
-    """`function` on the rows of both tables for each key.
-
-    The sides of a cogroup must not share columns, or pruning above it drops what the second side needs; so the second
-    side's columns get other names on the way.
-    """
-    right = right.select(*(F.col(c).alias(f"{c}__2") for c in right.columns))
+from gyrolith.sources.tables import shared_folder, written
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return function(a, b.rename(columns=lambda c: c.removesuffix("__2")))
+#: Points of a block, about, and rows of whole images that a function gets at least, if there are as many.
+BLOCK, IMAGE_ROWS = 2048, 100_000
+#: Parts that a pass divides a range of values into, and the bits of the largest finite value.
+CUTS, LARGEST = 256, int(np.float64(np.inf).view(np.int64)) - 1
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{k}__2" for k in keys))).applyInPandas(run, schema)
+Points = dict[str, np.ndarray]
 
 
-def against_all(points: DataFrame, function: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, within: tuple[str, ...] = ()) -> DataFrame:
-    """`function`(points of one block, points of another) for every two blocks; blocks never mix values of `within`.
-
-    Points have a column id. Results for one point come from several blocks and are to be merged by the caller.
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances by differences, so that equal points are at distance 0 exactly."""
+    out = np.empty((len(a), len(b)))
+    for k, row in enumerate(a):
+        d = b - row
+        np.einsum("ij,ij->i", d, d, out=out[k])
+    return np.sqrt(out, out=out)
+
+
+def packed(points: DataFrame, block: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, n, i, data): the points of each block, sorted by id; a group of `within` has n blocks."""
+    if within:
+        sizes = points.groupBy(*within).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+        rows = points.join(sizes, list(within))
+    else:
+        rows = points.withColumn("n", F.lit(-(-points.count() // block) or 1))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    keys = [*within, "n", "i"]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys) + ", data binary"
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        held = {c: table[c].to_numpy() for c in table.column_names if c not in ("n", "i", "v")}
+        if "v" in table.column_names:
+            held["v"] = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "data": pa.array([pickle.dumps(held, 5)], pa.binary())})
+
+    return rows.groupBy(*keys).applyInArrow(pack, schema)
+
+
+def block_pairs(packs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, k, a, b): each two blocks of a group once, and each with itself (k = 0)."""
+    n, i, k = F.col("n"), F.col("i"), F.col("k")
+    left = packs.select(*within, "n", "i", F.col("data").alias("a"), F.explode(F.sequence(F.lit(0), F.floor(n / 2).cast("int"))).alias("k"))
+    left = left.where(~((k > 0) & (2 * k == n) & (2 * i >= n))).withColumn("j", (i + k) % n)
+    right = packs.select(*within, F.col("i").alias("j"), F.col("data").alias("b"))
+    return left.hint("merge").join(right, [*within, "j"]).select(*within, "k", "a", "b")
+
+
+def both_orders(function: Callable[[Points, Points, np.ndarray], pd.DataFrame], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, x, y in zip(batch["k"], batch["a"], batch["b"], strict=True):
+            a, b = pickle.loads(x), pickle.loads(y)
+            d = distances(a["v"], b["v"])
+            yield function(a, b, d)
+            if k:
+                yield function(b, a, d.T)
+
+
+def against_all(points: DataFrame, function: Callable[[Points, Points, np.ndarray], pd.DataFrame], schema: str, block: int = BLOCK, within: tuple[str, ...] = ()) -> DataFrame:
+    """`function`(points of one block, points of another, their distances) for every two blocks; blocks never mix values of `within`.
+
+    Points have columns id and v. Results for one point come from several blocks and are to be merged by the caller.
     """
-    n = -(-points.count() // block) or 1
-    own, every = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = points.select("*", own.alias("__i"), every.alias("__j")), points.select("*", every.alias("__i"), own.alias("__j"))
-    names = [x.strip().split()[0] for x in schema.split(",")]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return function(a, b) if len(a) and len(b) else pd.DataFrame({c: [] for c in names})
-
-    return cogrouped(left, right, ("__i", "__j", *within), run, schema)
+    pairs = block_pairs(packed(points, block, within), within).select("k", "a", "b")
+    return pairs.mapInPandas(lambda batches: both_orders(function, batches), schema)
 
 
-def matrix(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
-    return np.stack(pdf[column].to_numpy()).astype(float)
+def medians(points: DataFrame, value: Callable[[Points, Points, np.ndarray], np.ndarray], within: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(*within, mid): the exact median of `value` over all ordered pairs of each group, points with themselves included.
 
+    Values are at least 0, so their bits order them. A group of one block has its median at once. For others each pass
+    over the blocks counts values in CUTS parts of the range that holds a middle rank, and goes on in one of them.
+    """
+    folder, keys = shared_folder(points.sparkSession), list(within)
+    packs = written(packed(points, block, within), f"{folder}/packs")
+    kinds = "".join(f"{c} {packs.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def alone(batches):
+        for batch in batches:
+            sets = [pickle.loads(x) for x in batch["data"]]
+            yield pd.DataFrame({**{c: batch[c] for c in keys}, "mid": [float(np.median(value(a, a, distances(a["v"], a["v"])))) for a in sets]})
+
+    found = packs.where("n = 1").select(*keys, "data").mapInPandas(alone, f"{kinds}mid double")
+    many = packs.where("n > 1")
+    if many.isEmpty():
+        return found
+
+    pairs = written(block_pairs(many, within), f"{folder}/pairs")
+    size = points.groupBy(*keys).agg(F.count("*").alias("s")).withColumn("s", F.col("s") * F.col("s"))
+    size = size.join(many.select(*keys).distinct(), keys, "left_semi") if keys else size
+    ranks = F.explode(F.array_distinct(F.array(F.expr("(s - 1) DIV 2"), F.expr("s DIV 2"))))
+    state = written(size.select(*keys, ranks.alias("rank")).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(LARGEST).cast("long")}), f"{folder}/state-0")
+
+    def counted(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = row._asdict()
+                a, b = pickle.loads(own["a"]), pickle.loads(own["b"])
+                d = distances(a["v"], b["v"])
+                bits = [value(a, b, d).ravel().view(np.int64)] + ([value(b, a, d.T).ravel().view(np.int64)] if own["k"] else [])
+                bits = np.concatenate(bits)
+                for s in own["limits"]:
+                    low, high = int(s["low"]), int(s["high"])
+                    step = (high - low) // CUTS + 1
+                    part = np.where(bits < low, 0, (np.maximum(bits, low) - low) // step + 1)
+                    n = np.bincount(part[bits <= high], minlength=CUTS + 1)
+                    at = np.flatnonzero(n)
+                    yield pd.DataFrame({**{c: own[c] for c in keys}, "rank": s["rank"], "part": at, "n": n[at]})
+
+    for step in range(1, 10):
+        limits = state.groupBy(*keys).agg(F.collect_list(F.struct("rank", "low", "high")).alias("limits"))
+        rows = pairs.join(limits, keys) if keys else pairs.crossJoin(F.broadcast(limits))  # one row
+        sums = rows.mapInPandas(counted, f"{kinds}rank long, part long, n long").groupBy(*keys, "rank", "part").agg(F.sum("n").alias("n"))
+        up_to = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("part"))
+        place = sums.withColumn("up_to", up_to).where("up_to > rank").groupBy(*keys, "rank").agg(F.min("part").alias("part"))
+        width = F.expr(f"(high - low) DIV {CUTS} + 1")
+        low = F.col("low") + (F.col("part") - 1) * width
+        state = written(state.join(place, [*keys, "rank"]).select(*keys, "rank", low.alias("low"), F.least("high", low + width - 1).alias("high")), f"{folder}/state-{step}")
+        if state.where("low < high").isEmpty():
+            break
+
+    def as_values(batches):
+        for batch in batches:
+            yield pd.DataFrame({**{c: batch[c] for c in keys}, "x": batch["low"].to_numpy(np.int64).view(np.float64)})
+
+    ends = state.mapInPandas(as_values, f"{kinds}x double").groupBy(*keys).agg(F.avg("x").alias("mid"))
+    return found.unionByName(ends)
+
+
+def over_images(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`function` on the rows of many images at once: each call gets whole images, one after the other.
+
+    An image stays in one task, a call takes no more images than it needs for IMAGE_ROWS rows.
+    """
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by differences, so that equal points are at distance 0 exactly."""
-    out = np.empty((len(a), len(b)))
-    for k, row in enumerate(a):
-        out[k] = np.sqrt(((b - row) ** 2).sum(1))
-    return out
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = int((batch["image"].to_numpy() != batch["image"].iloc[-1]).sum())  # rows are sorted: where the last image starts
+            if size + last >= IMAGE_ROWS:
+                if last or batch["image"].iloc[0] != held[-1]["image"].iloc[-1]:
+                    ready = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+                    yield function(ready)
+                    held, size = [], 0
+                    batch = batch.iloc[last:]
+            held.append(batch)
+            size += len(batch)
+        if held:
+            yield function(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("image").sortWithinPartitions("image").mapInPandas(run, schema)
+
+
+def codes(images: pd.Series) -> np.ndarray:
+    """0, 0, 1, 2, 2 ... for images that stand one after the other."""
+    x = images.to_numpy()
+    return np.concatenate([[0], np.cumsum(x[1:] != x[:-1])]) if len(x) else np.zeros(0, int)

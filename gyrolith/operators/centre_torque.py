@@ -13,7 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrolith.functions.blocks import against_all, distances, matrix
+from gyrolith.functions.blocks import against_all, codes, distances, medians, over_images
+
+
+#: Centres that every task may hold.
+MOST_CENTRES = 10_000
+#: What a median distance gets, so that it can divide.
+TINY = 1e-10
 
 
 @dataclass(frozen=True)
@@ -37,14 +43,16 @@ def density(points: DataFrame, width: float | None = None) -> DataFrame:
     """(id, density): sums of Gaussians of the distances to all points, itself included."""
     h = bandwidth(points) if width is None else width
 
-    def part(a, b):
-        return pd.DataFrame({"id": a["id"], "density": np.exp(-0.5 * (distances(matrix(a), matrix(b)) / h) ** 2).sum(1)})
+    def part(a, b, d):
+        return pd.DataFrame({"id": a["id"], "density": np.exp(-0.5 * (d / h) ** 2).sum(1)})
 
-    return against_all(points, part, "id long, density double").groupBy("id").agg(F.sum("density").alias("density"))
+    return against_all(points.select("id", "v"), part, "id long, density double").groupBy("id").agg(F.sum("density").alias("density"))
 
 
 def centre_distances(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, k, d) for centres (k, c): every point with every centre; centres are as few as clusters."""
+    """(id, k, d) for centres (k, c): every point with every centre, of which there are at most MOST_CENTRES."""
+    if centres.count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
     d = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     return points.crossJoin(F.broadcast(centres)).select("id", "k", d.alias("d"))
 
@@ -65,7 +73,7 @@ def assign(points: DataFrame, centres: DataFrame, exponent: float = 2.0) -> Data
 
 def inertia(points: DataFrame, centres: DataFrame) -> DataFrame:
     """One row: the sum of squared distances from points (id, v, cluster) to the centre of their cluster."""
-    rows = points.join(F.broadcast(centres.withColumnRenamed("k", "cluster")), "cluster")
+    rows = points.join(centres.withColumnRenamed("k", "cluster"), "cluster")
     return rows.agg(F.sum(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("inertia"))
 
 
@@ -78,16 +86,13 @@ def means(points: DataFrame) -> DataFrame:
 def weighted_centres(points: DataFrame) -> DataFrame:
     """(k, c): means of clusters weighted by closeness: sums of exp(-d / median d) over the cluster, itself included."""
 
-    def gaps(a, b):
-        d = distances(matrix(a), matrix(b))
-        return pd.DataFrame({"cluster": a["cluster"].iloc[0], "d": d.ravel()})
-
-    middle = against_all(points, gaps, "cluster long, d double", within=("cluster",)).groupBy("cluster").agg(F.expr("percentile(d, 0.5)").alias("mid"))
+    middle = medians(points.select("id", "v", "cluster"), lambda a, b, d: d, within=("cluster",))
 
-    def near(a, b):
-        return pd.DataFrame({"id": a["id"], "w": np.exp(-distances(matrix(a), matrix(b)) / max(a["mid"].iloc[0], 1e-300)).sum(1)})
+    def near(a, b, d):
+        return pd.DataFrame({"id": a["id"], "w": np.exp(-d / (a["mid"][:, None] + TINY)).sum(1)})
 
-    weights = against_all(points.join(F.broadcast(middle), "cluster"), near, "id long, w double", within=("cluster",)).groupBy("id").agg(F.sum("w").alias("w"))
+    own = points.select("id", "v", "cluster").join(middle, "cluster")
+    weights = against_all(own, near, "id long, w double", within=("cluster",)).groupBy("id").agg(F.sum("w").alias("w"))
     rows = points.join(weights, "id").select("cluster", "w", F.posexplode("v").alias("at", "x")).groupBy("cluster", "at").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
     return rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).select(F.col("cluster").alias("k"), F.transform("s", lambda s: s["x"]).alias("c"))
 
@@ -95,14 +100,14 @@ def weighted_centres(points: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame) -> DataFrame:
     """One row: the mean silhouette of points (id, v, cluster). A point alone in its cluster has inner distance 0; fewer than two clusters give -1."""
 
-    def part(a, b):
-        d, cluster = distances(matrix(a), matrix(b)), b["cluster"].to_numpy()
-        out = []
-        for c in np.unique(cluster):
-            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "own": a["cluster"].to_numpy(), "c": c, "total": d[:, cluster == c].sum(1), "n": int((cluster == c).sum())}))
-        return pd.concat(out)
+    def part(a, b, d):
+        kinds, at = np.unique(b["cluster"], return_inverse=True)
+        one = (at[:, None] == np.arange(len(kinds))).astype(float)
+        n = len(a["id"])
+        return pd.DataFrame({"id": np.repeat(a["id"], len(kinds)), "own": np.repeat(a["cluster"], len(kinds)), "c": np.tile(kinds, n), "total": (d @ one).ravel(), "n": np.tile(one.sum(0).astype(int), n)})
 
-    sums = against_all(points, part, "id long, own long, c long, total double, n long").groupBy("id", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = against_all(points.select("id", "v", "cluster"), part, "id long, own long, c long, total double, n long")
+    sums = rows.groupBy("id", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     inner = F.max(F.when(F.col("c") == F.col("own"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)).otherwise(0.0)))
     outer = F.min(F.when(F.col("c") != F.col("own"), F.col("total") / F.col("n")))
     rows = sums.groupBy("id").agg(inner.alias("a"), outer.alias("b"))
@@ -126,23 +131,30 @@ def seeded_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarra
 
 def pulled_mean(x: np.ndarray) -> np.ndarray:
     d = distances(x, x)
-    w = np.exp(-d / max(np.median(d), 1e-300)).sum(1)
+    w = np.exp(-d / (np.median(d) + TINY)).sum(1)
     return (w[:, None] * x).sum(0) / w.sum()
 
 
 def fit_k(x: np.ndarray, k: int, settings: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, centres); labels are those by which the centres last moved."""
-    centres = seeded_centres(x, k, rng)
+    """(labels, centres); labels are those by which the centres last moved. Ends when the inertia changes by less than the tolerance.
+
+    The centre of an empty cluster goes to the point farthest from all centres, and all points are assigned anew; if
+    it stays empty its centre is drawn among the points. A point's torque scales all its distances alike, so the
+    nearest centre is that with the least weighted distance.
+    """
+    centres, before = seeded_centres(x, k, rng), np.inf
     for _ in range(settings.rounds):
-        d = distances(x, centres)
-        labels = d.argmin(1)
-        for c in range(k):
-            if not (labels == c).any():
-                labels[int(d.min(1).argmax())] = c  # an empty cluster takes the farthest point
-        new = np.stack([pulled_mean(x[labels == c]) if (labels == c).any() else x[rng.integers(len(x))] for c in range(k)])
-        moved, centres = np.sqrt(((new - centres) ** 2).sum()), new
-        if moved < settings.tolerance:
+        labels = distances(x, centres).argmin(1)
+        empty = np.setdiff1d(np.arange(k), labels)
+        if len(empty):
+            for c in empty:
+                centres[c] = x[distances(x, centres).min(1).argmax()]
+            labels = distances(x, centres).argmin(1)
+        centres = np.stack([pulled_mean(x[labels == c]) if (labels == c).any() else x[rng.integers(len(x))] for c in range(k)])
+        inertia = float(((x - centres[labels]) ** 2).sum())
+        if abs(before - inertia) < settings.tolerance:
             break
+        before = inertia
     return labels, centres
 
 
@@ -162,17 +174,28 @@ def plain_silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(top > 0, (b - inner) / np.where(top > 0, top, 1), 0.0).mean())
 
 
+def standardised(x: np.ndarray) -> np.ndarray:
+    """Columns less their mean over their deviation, where they vary."""
+    sd = x.std(0)
+    return np.where(sd > 1e-10, (x - x.mean(0)) / np.where(sd > 1e-10, sd, 1), x)
+
+
+def fit_fixed(x: np.ndarray, k: int, settings: Settings = Settings()) -> np.ndarray:
+    """Labels of k clusters; fewer points than that are one cluster."""
+    if len(x) < k:
+        return np.zeros(len(x), np.int64)
+    return fit_k(standardised(x), k, settings, np.random.default_rng(settings.seed))[0]
+
+
 def fit_best(x: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
-    """Labels of the number of clusters with the best silhouette; the first of equals. Standardises columns that vary."""
+    """Labels of the number of clusters with the best silhouette; the first of equals."""
     n = len(x)
     if n < settings.least_points:
         return np.zeros(n, np.int64)
-    most = min(settings.most_k, n // 5)
+    most = min(settings.most_k, n // settings.least_points)
     if most < settings.least_k:
-        raise ValueError(f"{n} points are too few for {settings.least_k} clusters: at least {5 * settings.least_k} are needed")
-    sd = x.std(0)
-    x = np.where(sd > 1e-10, (x - x.mean(0)) / np.where(sd > 1e-10, sd, 1), x)
-    rng, best = np.random.default_rng(settings.seed), (-np.inf, None)
+        raise ValueError(f"{n} points are too few for {settings.least_k} clusters: at least {settings.least_points * settings.least_k} are needed")
+    x, rng, best = standardised(x), np.random.default_rng(settings.seed), (-np.inf, None)
     for k in range(settings.least_k, most + 1):
         labels, _ = fit_k(x, k, settings, rng)
         score = plain_silhouette(x, labels)
@@ -181,12 +204,20 @@ def fit_best(x: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
     return best[1]
 
 
-def fit_images(regions: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(image, label, cluster) for regions (image, label, f array<double>): a model of its own for each image."""
+def fit_images(regions: DataFrame, settings: Settings = Settings(), k: int | None = None) -> DataFrame:
+    """(image, label, cluster) for regions (image, label, f array<double>): a model of its own for each image.
+
+    With `k` every image has so many clusters. An image with too few regions to choose a number, 5 to 9 by default, has null clusters.
+    """
     kind = regions.schema["image"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("label")
-        return pd.DataFrame({"image": pdf["image"], "label": pdf["label"], "cluster": fit_best(matrix(pdf, "f"), settings)})
-
-    return regions.select("image", "label", "f").groupBy("image").applyInPandas(run, f"image {kind}, label int, cluster long")
+        pdf = pdf.sort_values(["image", "label"], kind="stable")
+        starts = np.flatnonzero(np.diff(codes(pdf["image"]), prepend=-1))
+        parts = []
+        for x in np.split(np.stack(pdf["f"].to_numpy()).astype(float), starts[1:]):
+            few = k is None and settings.least_points <= len(x) < settings.least_points * settings.least_k
+            parts.append(np.full(len(x), np.nan) if few else (fit_best(x, settings) if k is None else fit_fixed(x, k, settings)))
+        return pd.DataFrame({"image": pdf["image"], "label": pdf["label"], "cluster": pd.array(np.concatenate(parts), "Int64")})
+
+    return over_images(regions.select("image", "label", "f"), run, f"image {kind}, label int, cluster long")

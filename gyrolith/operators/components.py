@@ -1,6 +1,6 @@
 """Connected components of masks (image, y, x), eight neighbours, and filters on their border, area and shape.
 
-An image's mask is one group: a picture fits a task, and images spread over the cluster.
+An image stays in one task, as a picture fits there. A task works on many images at once, laid out one below the other.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.functions.blocks import cogrouped
+from gyrolith.functions.blocks import codes, over_images
 
 EIGHT = ((0, 1), (1, 1), (1, 0), (1, -1))
 FOUR = ((0, 1), (1, 0))
@@ -43,14 +43,23 @@ def numbered(y: np.ndarray, x: np.ndarray, steps=EIGHT) -> np.ndarray:
     return out
 
 
+def one_below_another(images: np.ndarray, y: np.ndarray, height: int | None = None) -> np.ndarray:
+    """Rows of pixels when images stand one below the other, two rows apart."""
+    height = (int(y.max()) if len(y) else 0) + 1 if height is None else height
+    return images * (height + 2) + y
+
+
 def components(mask: DataFrame) -> DataFrame:
     """(image, y, x, component) with components numbered from 1 in each image."""
     kind = mask.schema["image"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image": pdf["image"], "y": pdf["y"], "x": pdf["x"], "component": numbered(pdf["y"].to_numpy(), pdf["x"].to_numpy())})
+        of = codes(pdf["image"])
+        label = numbered(one_below_another(of, pdf["y"].to_numpy(np.int64)), pdf["x"].to_numpy())
+        first = pd.Series(label).groupby(of).transform("min").to_numpy()
+        return pd.DataFrame({"image": pdf["image"], "y": pdf["y"], "x": pdf["x"], "component": label - first + 1})
 
-    return mask.select("image", "y", "x").distinct().groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, component long")
+    return over_images(mask.select("image", "y", "x").distinct(), run, f"image {kind}, y int, x int, component long")
 
 
 def component_table(labelled: DataFrame) -> DataFrame:
@@ -123,13 +132,20 @@ def shape_table(labelled: DataFrame) -> DataFrame:
     kind = labelled.schema["image"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        path = outline(pdf["y"].to_numpy(), pdf["x"].to_numpy())
-        area, length = polygon(path)
-        whole, _ = polygon(hull(path))
-        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "component": [pdf["component"].iloc[0]], "outline_area": [area], "perimeter": [length],
-            "circularity": [4 * np.pi * area / (length * length + 1e-10)], "solidity": [area / whole if whole > 0 else 0.0]})
-
-    return labelled.groupBy("image", "component").applyInPandas(run, f"image {kind}, component long, outline_area double, perimeter double, circularity double, solidity double")
+        pdf = pdf.sort_values(["image", "component"], kind="stable")
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        changes = np.diff(codes(pdf["image"]), prepend=-1) | np.diff(pdf["component"].to_numpy(), prepend=-1)
+        starts, out = np.flatnonzero(changes), []
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            path = outline(y[a:b], x[a:b])
+            area, length = polygon(path)
+            whole, _ = polygon(hull(path))
+            out.append((area, length, 4 * np.pi * area / (length * length + 1e-10), area / whole if whole > 0 else 0.0))
+        table = pd.DataFrame(out, columns=["outline_area", "perimeter", "circularity", "solidity"])
+        return pd.concat([pdf[["image", "component"]].iloc[starts].reset_index(drop=True), table], axis=1)
+
+    schema = f"image {kind}, component long, outline_area double, perimeter double, circularity double, solidity double"
+    return over_images(labelled.select("image", "component", "y", "x"), run, schema)
 
 
 def by_shape(labelled: DataFrame, circularity: tuple[float, float] = (0.15, 1.0), solidity: float = 0.4) -> DataFrame:
@@ -138,22 +154,56 @@ def by_shape(labelled: DataFrame, circularity: tuple[float, float] = (0.15, 1.0)
     return labelled.join(ok.select("image", "component"), ["image", "component"], "left_semi")
 
 
-def filled(mask: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The mask with its holes: pixels outside it that four-neighbour steps don't connect with the border."""
+def outside(images: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grid of what is outside the masks and connected with their frames by four-neighbour steps, rows and columns of the pixels in it).
+
+    Images stand one below the other, each with a frame of one pixel; frames are outside.
+    """
+    row, col = one_below_another(images, y.astype(np.int64)) + 1, x.astype(np.int64) + 1
+    grid = np.ones((int(row.max()) + 2, int(col.max()) + 2), bool)
+    grid[row, col] = False
+    v, u = np.nonzero(grid)
+    label = numbered(v, u, FOUR)
+    grid[v, u] = label == label[0]
+    return grid, row, col
+
+
+def filled(mask: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The mask with its holes: pixels outside it that four-neighbour steps don't connect with the border.
+
+    Holes lie between pixels of the mask, so images' sizes make no difference.
+    """
     kind = mask.schema["image"].dataType.simpleString()
 
-    def run(own: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(size):
-            return own[["image", "y", "x"]]
-        h, w = int(size["h"].iloc[0]), int(size["w"].iloc[0])
-        open_ = np.ones((h + 2, w + 2), bool)
-        open_[own["y"].to_numpy() + 1, own["x"].to_numpy() + 1] = False
-        y, x = np.nonzero(open_)
-        label = numbered(y, x, FOUR)
-        outside = label == label[0]
-        grid = np.ones((h + 2, w + 2), bool)
-        grid[y[outside], x[outside]] = False
-        y, x = np.nonzero(grid[1:-1, 1:-1])
-        return pd.DataFrame({"image": own["image"].iloc[0], "y": y, "x": x})
-
-    return cogrouped(mask.select("image", "y", "x"), sizes.select("image", "h", "w"), ("image",), run, f"image {kind}, y int, x int")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = codes(pdf["image"])
+        grid, row, _ = outside(of, pdf["y"].to_numpy(), pdf["x"].to_numpy())
+        step = int(pdf["y"].max()) + 3
+        v, u = np.nonzero(~grid)
+        names = pdf["image"].iloc[np.flatnonzero(np.diff(of, prepend=-1))].to_numpy()
+        return pd.DataFrame({"image": names[(v - 1) // step], "y": (v - 1) % step, "x": u - 1})
+
+    return over_images(mask.select("image", "y", "x"), run, f"image {kind}, y int, x int")
+
+
+def outer_contours(mask: DataFrame) -> DataFrame:
+    """(image, y, x, visits): pixels of the outer outlines of components, and how often an outline passes through each.
+
+    An outline follows pixels beside the outside, so holes and what lies in them have none. A pixel is passed
+    once for each run of outside around it: runs hold a side of the pixel, and go on from side to side over free corners.
+    """
+    kind = mask.schema["image"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, row, col = outside(codes(pdf["image"]), pdf["y"].to_numpy(), pdf["x"].to_numpy())
+        held = np.zeros(grid.shape, bool)
+        held[row, col] = True
+        sides = [grid[row + dy, col + dx] for dy, dx in ((-1, 0), (0, 1), (1, 0), (0, -1))]
+        corners = [~held[row + dy, col + dx] for dy, dx in ((-1, 1), (1, 1), (1, -1), (-1, -1))]
+        joins = [sides[k] & sides[(k + 1) % 4] & corners[k] for k in range(4)]
+        visits = sum(s.astype(int) for s in sides) - sum(j.astype(int) for j in joins)
+        visits = np.where(np.all(sides, 0) & np.all(corners, 0), 1, visits)
+        some = visits > 0
+        return pd.DataFrame({"image": pdf["image"][some], "y": pdf["y"][some], "x": pdf["x"][some], "visits": visits[some]})
+
+    return over_images(mask.select("image", "y", "x").distinct(), run, f"image {kind}, y int, x int, visits long")

@@ -23,11 +23,17 @@ def best(rows: DataFrame, key: str, *order) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def parts_of(names: DataFrame, column: str, part: str) -> DataFrame:
-    """Every substring of each name: names are short, and with them `contains` becomes an equi-join."""
-    start = names.select(column, F.explode(F.sequence(F.lit(1), F.length(column))).alias("__a"))
-    length = start.select(column, "__a", F.explode(F.sequence(F.lit(1), F.length(column) - F.col("__a") + 1)).alias("__n"))
-    return length.select(column, F.substring(F.col(column), F.col("__a"), F.col("__n")).alias(part)).distinct()
+def parts_of(names: DataFrame, column: Column, part: str, needles: DataFrame, needle: str) -> DataFrame:
+    """The names with every part of `column` that is as long as one of the needles: with them `contains` becomes an equi-join.
+
+    File systems bound a name's length, so lengths are few.
+    """
+    lengths = [r[0] for r in needles.select(F.length(needle)).distinct().collect() if r[0]]
+    if not lengths:
+        return names.withColumn(part, F.lit("")).limit(0)
+    rows = names.withColumn("__whole", column).withColumn("__n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where("length(__whole) >= __n")
+    rows = rows.withColumn("__a", F.explode(F.sequence(F.lit(1), F.length("__whole") - F.col("__n") + 1)))
+    return rows.withColumn(part, F.substring(F.col("__whole"), F.col("__a"), F.col("__n"))).drop("__whole", "__n", "__a").distinct()
 
 
 def match_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
@@ -35,7 +41,7 @@ def match_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     left = images.select("image", base_of(F.col("image")).alias("b")).where("b <> ''")
     same = left.select("image").join(masks.select(F.col("mask").alias("image"), "mask"), "image").select("image", "mask", F.lit(True).alias("exact"))
     cleaned = masks.select("mask", without(base_of(F.col("mask")), "_stone_mask", "_mask").alias("b"))
-    near = left.join(cleaned.unionByName(parts_of(masks, "mask", "b")), "b").select("image", "mask", F.lit(False).alias("exact"))
+    near = left.join(cleaned.unionByName(parts_of(masks.select("mask"), F.col("mask"), "b", left, "b")), "b").select("image", "mask", F.lit(False).alias("exact"))
     return best(same.unionByName(near), "image", F.col("exact").desc(), "mask")
 
 
@@ -62,25 +68,55 @@ def match_stems(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return best(rows, "prediction", "priority").select("prediction", "truth")
 
 
-def match_patterns(truths: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(truth, prediction): fixed candidates first, then any prediction whose name contains the cleaned stem."""
-    stem = without(base_of(F.col("truth")), "_gt", "_ground_truth", "_annotated", "_mask")
-    left = truths.select("truth", stem.alias("stem")).where("stem <> ''")
-    names = F.array(*(F.concat("stem", F.lit(e)) for e in ("_stone_mask.npy", "_mask.npy", ".npy", "_stone_mask.png", "_mask.png", ".png")))
-    fixed = left.select("truth", F.posexplode(names).alias("priority", "prediction")).join(predictions.select("prediction"), "prediction")
-    loose = left.join(parts_of(predictions, "prediction", "stem"), "stem").select("prediction", "truth", F.lit(99).alias("priority"))
-    return best(fixed.unionByName(loose), "truth", "priority", "prediction").select("truth", "prediction")
+def match_patterns(truths: DataFrame, predictions: DataFrame, arrays: bool = True) -> DataFrame:
+    """(truth, prediction): the prediction, by its path below the predictions' folder, of each annotated image.
+
+    Four fixed places come first: stone_mask in a folder of the cleaned stem, or of the whole stem, then <clean>_stone_mask and
+    <clean> beside them; then, at any depth, names that start with the cleaned stem and have `stone` after it, and
+    last names that hold the cleaned stem, and `stone` in any case. With `arrays` false, PNG files are looked for, and neither
+    the fourth place nor the last kind counts. Stems that are empty when cleaned match nothing.
+    """
+    end = ".npy" if arrays else ".png"
+    base = base_of(F.col("truth"))
+    left = truths.select("truth", base.alias("base"), without(base, "_gt", "_ground_truth", "_annotated", "_mask").alias("clean")).where("clean <> ''")
+    at = [F.concat("clean", F.lit(f"/stone_mask{end}")), F.concat("base", F.lit(f"/stone_mask{end}")), F.concat("clean", F.lit(f"_stone_mask{end}"))]
+    at += [F.concat("clean", F.lit(end))] if arrays else []
+    files = predictions.select("prediction").where(F.col("prediction").endswith(end))
+    fixed = left.select("truth", F.posexplode(F.array(*at)).alias("priority", "prediction")).join(files, "prediction")
+
+    name = F.element_at(F.split("prediction", "/"), -1)
+    named = files.withColumn("name", F.expr(f"left(element_at(split(prediction, '/'), -1), length(element_at(split(prediction, '/'), -1)) - {len(end)})")).where(F.contains(F.lower(name), F.lit("stone")))
+    held = left.join(parts_of(named, F.col("name"), "clean", left, "clean"), "clean")
+    rest = F.expr("substring(name, length(clean) + 1)")
+    kind = F.when(F.startswith("name", "clean") & F.contains(rest, F.lit("stone")), 4)
+    loose = held.withColumn("priority", kind.otherwise(5) if arrays else kind).where("priority IS NOT NULL")
+    rows = fixed.select("truth", "priority", "prediction").unionByName(loose.select("truth", "priority", "prediction"))
+    return best(rows, "truth", "priority", "prediction").select("truth", "prediction")
 
 
 def common_names(a: DataFrame, b: DataFrame, name: str = "image") -> DataFrame:
     return a.select(name).intersect(b.select(name))
 
 
+#: Characters of a short needle's start that texts are searched for by key.
+START = 8
+
+
+def starts_of(text: str, length: int) -> Column:
+    """Hashes of all runs of so many characters of a text, each once; characters are split once."""
+
+    def runs(chars):
+        keys = F.transform(F.sequence(F.lit(0), F.size(chars) - length), lambda k: F.xxhash64(F.lit(length), *(F.get(chars, k + i) for i in range(length))))
+        return F.when(F.size(chars) >= length, keys).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.transform(F.array(F.split(F.col(text), "")), runs)[0])
+
+
 def contained(needles: DataFrame, haystacks: DataFrame, needle: str = "text", haystack: str = "text", width: int = 3) -> DataFrame:
     """(item_id, doc_id) where the haystack's text contains the needle's.
 
     A needle of enough words is looked up by words that lie wholly within it; only texts that hold these words in
-    sequence are searched. Shorter needles, if any, are compared with every text.
+    sequence are searched. A shorter one is looked up by its first START characters, or all that it has.
     """
     words = lambda c: F.split(F.col(c), " ", -1)
     own = needles.select("item_id", F.col(needle).alias("n")).withColumn("w", words("n"))
@@ -88,8 +124,15 @@ def contained(needles: DataFrame, haystacks: DataFrame, needle: str = "text", ha
     texts = haystacks.select("doc_id", F.col(haystack).alias("t"))
     grams = texts.withColumn("w", words("t")).where(F.size("w") >= width)
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda k: F.xxhash64(F.slice("w", k, width))))
-    hits = grams.select("doc_id", F.explode(keys).alias("key")).join(keyed.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    found = hits.join(texts, "doc_id").join(keyed.select("item_id", "n"), "item_id").where(F.contains("t", "n"))
-    short = own.where(F.size("w") < width + 2).select("item_id", "n")
-    rest = texts.join(short, F.contains(F.col("t"), F.col("n")))
-    return found.select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id"))
+    hits = grams.select("doc_id", F.explode(keys).alias("key")).join(keyed.select("item_id", "key"), "key").select("item_id", "doc_id")
+
+    short = own.where(F.size("w") < width + 2).select("item_id", "n", F.least(F.length("n"), F.lit(START)).alias("size"))
+    for size in sorted(r["size"] for r in short.select("size").distinct().collect()):  # at most START + 1
+        if size:
+            some = short.where(F.col("size") == size).withColumn("head", F.left("n", F.lit(size))).select("item_id", starts_of("head", size)[0].alias("key"))
+            found = texts.select("doc_id", F.explode(starts_of("t", size)).alias("key")).join(some, "key")
+        else:  # an empty needle is in every text
+            found = texts.where("t IS NOT NULL").withColumn("key", F.lit(0)).join(short.where("size = 0").select("item_id", F.lit(0).alias("key")), "key")
+        hits = hits.unionByName(found.select("item_id", "doc_id"))
+    found = hits.distinct().join(texts, "doc_id").join(own.select("item_id", "n"), "item_id").where(F.contains("t", "n"))
+    return found.select("item_id", "doc_id")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gyrolith.functions.blocks import cogrouped
+from gyrolith.functions.blocks import codes, over_images
+from gyrolith.operators.components import outer_contours
 
 MASK_METRICS = ("iou", "dice", "pixel_accuracy", "precision", "recall", "specificity", "f1_score")
 
@@ -43,37 +44,45 @@ def skip_reasons(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy(reason.alias("reason")).agg(F.count("*").alias("images"))
 
 
-def edges(mask: DataFrame) -> DataFrame:
-    """Pixels of a mask (image, y, x) with at least one of their four neighbours outside it."""
-    steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
-    near = mask.select("image", "y", "x", steps.alias("o")).select("image", "y", "x", (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"))
-    held = mask.select("image", F.col("y").alias("ny"), F.col("x").alias("nx"))
-    return near.join(held, ["image", "ny", "nx"], "left_anti").select("image", "y", "x").distinct()
-
-
 def boundary_distances(found: DataFrame, truth: DataFrame, images: DataFrame) -> DataFrame:
-    """(image, hausdorff, surface): symmetric largest, and mean of both mean, distances between edge pixels; inf if a mask is empty.
+    """(image, hausdorff, surface): symmetric largest, and mean of both mean, distances between outer outlines; inf if a mask is empty.
 
-    An image's two outlines meet in one task, a block of rows at a time; outlines are as long as a picture is wide.
+    Outlines are those of `outer_contours`; a point that an outline passes twice counts twice in a mean. An image's
+    outlines meet in one task, a block of points at a time; they are about as long as a picture is wide.
     """
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"image": [], "hausdorff": [], "surface": []})
-        x, y = a[["y", "x"]].to_numpy(float), b[["y", "x"]].to_numpy(float)
-
-        def nearest(p, q):
-            return np.concatenate([np.sqrt(((p[k : k + 256, None, :] - q[None]) ** 2).sum(2).min(1)) for k in range(0, len(p), 256)])
-
-        u, v = nearest(x, y), nearest(y, x)
-        return pd.DataFrame({"image": [a["image"].iloc[0]], "hausdorff": [max(u.max(), v.max())], "surface": [(u.mean() + v.mean()) / 2]})
-
     kind = images.schema["image"].dataType.simpleString()
-    rows = cogrouped(edges(found), edges(truth), ("image",), pair, f"image {kind}, hausdorff double, surface double")
-    inf = F.lit(float("inf"))
+    sides = outer_contours(found).withColumn("side", F.lit(0)).unionByName(outer_contours(truth).withColumn("side", F.lit(1)))
+
+    def nearest(p, q):
+        return np.concatenate([np.sqrt(((p[k : k + 256, None, :] - q[None]) ** 2).sum(2).min(1)) for k in range(0, len(p), 256)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, side = codes(pdf["image"]), pdf["side"].to_numpy()
+        points, visits, out = pdf[["y", "x"]].to_numpy(float), pdf["visits"].to_numpy(), []
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            own = side[a:b] == 0
+            if own.all() or not own.any():
+                out.append((np.inf, np.inf))
+                continue
+            p, q, n, m = points[a:b][own], points[a:b][~own], visits[a:b][own], visits[a:b][~own]
+            u, v = nearest(p, q), nearest(q, p)
+            out.append((max(u.max(), v.max()), (np.average(u, weights=n) + np.average(v, weights=m)) / 2))
+        table = pd.DataFrame(out, columns=["hausdorff", "surface"])
+        return pd.concat([pdf[["image"]].iloc[starts].reset_index(drop=True), table], axis=1)
+
+    rows, inf = over_images(sides, run, f"image {kind}, hausdorff double, surface double"), F.lit(float("inf"))
     return images.select("image").join(rows, "image", "left").select("image", F.coalesce("hausdorff", inf).alias("hausdorff"), F.coalesce("surface", inf).alias("surface"))
 
 
+def all_metrics(rows: DataFrame, found: Column, truth: Column, skip_empty: bool = True) -> DataFrame:
+    """(image, counts, the seven metrics, hausdorff, surface) of dense pixel rows; with `skip_empty` only of images in which neither mask is empty."""
+    flags = rows.select("image", "y", "x", found.alias("found"), truth.alias("truth"))
+    table = scored(mask_metrics(flags, ["image"], F.col("found"), F.col("truth")), skip_empty)
+    distances = boundary_distances(flags.where("found").select("image", "y", "x"), flags.where("truth").select("image", "y", "x"), flags.select("image").distinct())
+    return table.join(distances, "image")
+
+
 def finite(value: Column) -> Column:
     """The value, or null where it is NaN or infinite."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)

@@ -11,25 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrolith.functions.blocks import against_all, distances, matrix
+from gyrolith.functions.blocks import against_all, medians
 from gyrolith.sources.tables import shared_folder, written
 
 SMALL = 1e-9
 MASSES = ("uniform", "density", "feature_sum", "feature_variance")
 
 
-def nearest_rows(points: DataFrame, k: int, columns: str = "d double, j long", more=lambda b, at: {}) -> DataFrame:
-    """The k + 1 nearest points of each point, itself among them, with their rank from 0."""
+def nearest_rows(points: DataFrame, k: int) -> DataFrame:
+    """(id, d, j, rank): the k + 1 nearest points of each point, itself among them, with their rank from 0."""
 
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id", kind="stable")
-        d, ids, out = distances(matrix(a), matrix(b)), b["id"].to_numpy(), []
-        for k_, i in enumerate(a["id"]):
-            at = np.argsort(d[k_], kind="stable")[: k + 1]
-            out.append(pd.DataFrame({"id": i, "d": d[k_][at], "j": ids[at], **more(b, at)}))
-        return pd.concat(out)
+    def near(a, b, d):
+        at = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+        return pd.DataFrame({"id": np.repeat(a["id"], at.shape[1]), "d": np.take_along_axis(d, at, 1).ravel(), "j": b["id"][at].ravel()})
 
-    rows = against_all(points, near, f"id long, {columns}")
+    rows = against_all(points.select("id", "v"), near, "id long, d double, j long")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "j")) - 1
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -55,12 +51,11 @@ def mass(points: DataFrame, method: str = "density", k: int = 5) -> DataFrame:
 def distance_summary(points: DataFrame) -> DataFrame:
     """(id, nearest, farthest, total): each point's distances to all others."""
 
-    def part(a, b):
-        d = distances(matrix(a), matrix(b))
-        other = a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
+    def part(a, b, d):
+        other = a["id"][:, None] != b["id"][None, :]
         return pd.DataFrame({"id": a["id"], "nearest": np.where(other, d, np.inf).min(1), "farthest": d.max(1), "total": d.sum(1)})
 
-    rows = against_all(points, part, "id long, nearest double, farthest double, total double")
+    rows = against_all(points.select("id", "v"), part, "id long, nearest double, farthest double, total double")
     return rows.groupBy("id").agg(F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"), F.sum("total").alias("total"))
 
 
@@ -71,17 +66,15 @@ def torque(points: DataFrame, power: float = 2.0, neighbours: int | None = None)
     """
     if neighbours is None:
 
-        def pull(a, b):
-            x, y, m = matrix(a), matrix(b), b["m"].to_numpy()
-            w = m / (distances(x, y) ** power + SMALL) * (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
-            t = np.stack([(r[:, None] * (y - p)).sum(0) for r, p in zip(w, x, strict=True)])
-            return pd.DataFrame({"id": a["id"].to_numpy(), "t": list(t)})
+        def pull(a, b, d):
+            w = b["m"] / (d**power + SMALL) * (a["id"][:, None] != b["id"][None, :])
+            t = np.stack([r @ (b["v"] - p) for r, p in zip(w, a["v"], strict=True)])
+            return pd.DataFrame({"id": a["id"], "t": list(t)})
 
-        parts = against_all(points, pull, "id long, t array<double>").select("id", F.posexplode("t").alias("at", "t"))
+        parts = against_all(points.select("id", "v", "m"), pull, "id long, t array<double>").select("id", F.posexplode("t").alias("at", "t"))
         sums = parts.groupBy("id", "at").agg(F.sum("t").alias("t"))
     else:
-        more = lambda b, at: {"m": b["m"].to_numpy()[at], "o": [b["v"].to_numpy()[k] for k in at]}
-        near = nearest_rows(points, neighbours, "d double, j long, m double, o array<double>", more).where("rank > 0")
+        near = nearest_rows(points, neighbours).where("rank > 0").join(points.select(F.col("id").alias("j"), "m", F.col("v").alias("o")), "j")
         near = near.withColumn("w", F.col("m") / (F.pow("d", F.lit(power)) + SMALL)).join(points.select("id", "v"), "id")
         parts = near.select("id", "w", F.posexplode(F.zip_with("o", "v", lambda o, v: o - v)).alias("at", "t"))
         sums = parts.groupBy("id", "at").agg((F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("t"))
@@ -91,15 +84,14 @@ def torque(points: DataFrame, power: float = 2.0, neighbours: int | None = None)
 def nearest_heavier(points: DataFrame) -> DataFrame:
     """(id, parent, d) for points (id, v, m): the nearest of strictly greater mass; null where there is none."""
 
-    def part(a, b):
-        b = b.sort_values("id", kind="stable")
-        d = np.where(b["m"].to_numpy()[None, :] > a["m"].to_numpy()[:, None], distances(matrix(a), matrix(b)), np.inf)
+    def part(a, b, d):
+        d = np.where(b["m"][None, :] > a["m"][:, None], d, np.inf)
         at = d.argmin(1)
-        best = d[np.arange(len(a)), at]
+        best = d[np.arange(len(d)), at]
         ok = np.isfinite(best)
-        return pd.DataFrame({"id": a["id"].to_numpy()[ok], "d": best[ok], "j": b["id"].to_numpy()[at][ok]})
+        return pd.DataFrame({"id": a["id"][ok], "d": best[ok], "j": b["id"][at][ok]})
 
-    best = against_all(points, part, "id long, d double, j long").groupBy("id").agg(F.min(F.struct("d", "j")).alias("b"))
+    best = against_all(points.select("id", "v", "m"), part, "id long, d double, j long").groupBy("id").agg(F.min(F.struct("d", "j")).alias("b"))
     return points.select("id").join(best, "id", "left").select("id", F.col("b.j").alias("parent"), F.col("b.d").alias("d"))
 
 
@@ -110,48 +102,23 @@ def edge_torques(points: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select("id", "parent", "d", (F.col("m") * F.col("pm") / (F.col("d") * F.col("d") + SMALL)).alias("torque"))
 
 
-def torque_counts(points: DataFrame, limits: list[float]) -> tuple[int, list[int]]:
-    """Entries of the torque matrix, diagonal included, and how many are at most each limit."""
-    edges = np.array(limits)
-
-    def part(a, b):
-        t = a["m"].to_numpy()[:, None] * b["m"].to_numpy()[None, :] / (distances(matrix(a), matrix(b)) ** 2 + SMALL)
-        n = np.searchsorted(np.sort(t.ravel()), edges, "right")
-        return pd.DataFrame({"total": [t.sum()], "size": [t.size], "n": [n.tolist()]})
-
-    parts = against_all(points, part, "total double, size long, n array<long>")
-    row = parts.agg(F.sum("size").alias("size"), *(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(len(limits)))).first()
-    return row["size"], [row[f"n{k}"] for k in range(len(limits))]
+def pair_torques(a, b, d) -> np.ndarray:
+    """Entries of the torque matrix; the diagonal is large, as its distances are 0."""
+    return a["m"][:, None] * b["m"][None, :] / (d**2 + SMALL)
 
 
 def mean_torque(points: DataFrame) -> float:
-    def part(a, b):
-        t = a["m"].to_numpy()[:, None] * b["m"].to_numpy()[None, :] / (distances(matrix(a), matrix(b)) ** 2 + SMALL)
+    def part(a, b, d):
+        t = pair_torques(a, b, d)
         return pd.DataFrame({"total": [t.sum()], "size": [t.size]})
 
-    row = against_all(points, part, "total double, size long").agg(F.sum("total") / F.sum("size")).first()
+    row = against_all(points.select("id", "v", "m"), part, "total double, size long").agg(F.sum("total") / F.sum("size")).first()
     return row[0]
 
 
-def median_torque(points: DataFrame, cuts: int = 255) -> float:
-    """Exact median of the n² entries without gathering them: torques are positive, so their bits order them, and each
-    pass over the blocks narrows the range of bits by the number of cuts."""
-
-    def as_float(bits: int) -> float:
-        return float(np.int64(bits).view(np.float64))
-
-    def at_rank(rank: int) -> float:
-        low, high = 0, int(np.float64(np.inf).view(np.int64)) - 1
-        while low < high:
-            step = max(1, (high - low) // (cuts + 1))
-            bits = sorted({min(high, low + step * (k + 1) - 1) for k in range(cuts)} | {high})
-            _, below = torque_counts(points, [as_float(b) for b in bits])
-            k = next(k for k, n in enumerate(below) if n > rank)
-            low, high = (bits[k - 1] + 1 if k else low), bits[k]
-        return as_float(low)
-
-    size, _ = torque_counts(points, [0.0])
-    return at_rank(size // 2) if size % 2 else (at_rank(size // 2 - 1) + at_rank(size // 2)) / 2
+def median_torque(points: DataFrame) -> float:
+    """Exact median of the n² entries, without gathering them."""
+    return medians(points.select("id", "v", "m"), pair_torques).first()["mid"]
 
 
 def threshold_of(points: DataFrame, threshold: str | float) -> float:
@@ -225,13 +192,12 @@ def iterate(points: DataFrame, rate: float = 0.01, power: float = 2.0, neighbour
 def coincident_labels(points: DataFrame) -> DataFrame:
     """(id, cluster): the smallest id among points at the same place."""
 
-    def part(a, b):
-        b = b.sort_values("id", kind="stable")
-        d = distances(matrix(a), matrix(b))
+    def part(a, b, d):
         at = d.argmin(1)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "d": d[np.arange(len(a)), at], "j": b["id"].to_numpy()[at]})
+        return pd.DataFrame({"id": a["id"], "d": d[np.arange(len(d)), at], "j": b["id"][at]})
 
-    return against_all(points, part, "id long, d double, j long").groupBy("id").agg(F.min(F.struct("d", "j"))["j"].alias("cluster"))
+    rows = against_all(points.select("id", "v"), part, "id long, d double, j long")
+    return rows.groupBy("id").agg(F.min(F.struct("d", "j"))["j"].alias("cluster"))
 
 
 def kmeans_labels(points: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -7,13 +7,15 @@ Doubles are rounded alike on both sides; adding 0.0 turns -0.0 into 0.0.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrolith.operators import annotations, centre_torque, components, features, matching, metrics, raster, torque
-from gyrolith.plans import segmentation
-from gyrolith.sources.tables import small_images, vectors, written
+from gyrolith.plans import clustering, segmentation
+from gyrolith.sources import png
+from gyrolith.sources.tables import DETECTIONS, as_arrays, boxes_of, encoded, list_files, read_arrays, shared_folder, small_images, vectors, write_csv, write_files, write_json, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -149,10 +151,13 @@ def iterative_kmeans(spark, sf_dir):
     return torque.cluster(vectors(spark, sf_dir), "iterative", n_clusters=10, rounds=3)[0]
 
 
-@registered(f"WITH {POINTS} SELECT a.id, min(b.id) AS cluster FROM p a JOIN p b ON a.v = b.v GROUP BY a.id")
+@registered(f"""WITH {MASS}, c0 AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM p),
+w0 AS (SELECT i, j, m / (d ** 2 + 1e-9) AS w FROM d JOIN m ON m.id = j WHERE i <> j),
+c1 AS (SELECT i AS id, a.pos, any_value(a.x) + 0.01 * sum(w * (b.x - a.x)) AS x FROM w0 JOIN c0 a ON a.id = i JOIN c0 b ON b.id = j AND b.pos = a.pos GROUP BY i, a.pos),
+s1 AS (SELECT id, list(round(x, 9) ORDER BY pos) AS v FROM c1 GROUP BY id) SELECT a.id, min(b.id) AS cluster FROM s1 a JOIN s1 b ON a.v = b.v GROUP BY a.id""")
 def iterative_nearest(spark, sf_dir):
-    """Points that no step has moved: each is its own nearest, or the first of those at its place."""
-    return torque.coincident_labels(vectors(spark, sf_dir).select("id", "v"))
+    """One step of the iteration without a number of clusters: each point is its own nearest, or the first of those at its place."""
+    return torque.cluster(vectors(spark, sf_dir), "iterative", rounds=1)[0]
 
 
 @registered(f"WITH {HEAVIER} SELECT p.id, h.parent, round(h.d, 6) AS d FROM p LEFT JOIN h ON h.id = p.id")
@@ -249,7 +254,7 @@ def inertia(spark, sf_dir):
 
 
 @registered(f"""WITH {CELLS}, d AS (SELECT a.id AS i, a.label AS k, b.id AS j, list_distance(a.v, b.v) AS d FROM p a JOIN p b USING (label)),
-w AS (SELECT i, k, sum(exp(-d / s)) AS w FROM d JOIN (SELECT k, quantile_cont(d, 0.5) AS s FROM d GROUP BY k) USING (k) GROUP BY i, k)
+w AS (SELECT i, k, sum(exp(-d / (s + 1e-10))) AS w FROM d JOIN (SELECT k, quantile_cont(d, 0.5) AS s FROM d GROUP BY k) USING (k) GROUP BY i, k)
 SELECT k, pos, round(sum(w * x) / sum(w), 6) + 0.0 AS c FROM w JOIN e ON e.id = w.i GROUP BY k, pos""")
 def weighted_centres(spark, sf_dir):
     rows = centre_torque.weighted_centres(labelled(spark, sf_dir))
@@ -332,6 +337,34 @@ def ellipse_close(spark, sf_dir):
     return pixel_rows(raster.closed_by(small_images(spark, sf_dir), 3), "v")
 
 
+def ellipse_sql(size: int) -> str:
+    """of: offsets of an ellipse, row by row, from its half axes."""
+    r = size // 2
+    return f"""of AS (SELECT y - {r} AS dy, x - {r} AS dx FROM range(0, {size}) a(y), range(0, {size}) b(x)
+  WHERE abs(y - {r}) <= {r} AND x BETWEEN {r} - round({r} * sqrt(1 - ((y - {r}) / {float(r)}) ** 2)) AND {r} + round({r} * sqrt(1 - ((y - {r}) / {float(r)}) ** 2)))"""
+
+
+def kernel_sql(f: str, source: str, name: str, sign: int) -> str:
+    return f"{name} AS (SELECT a.image, a.y, a.x, {f}(b.v) AS v FROM {source} a, of JOIN {source} b ON b.image = a.image AND b.y = a.y + {sign} * dy AND b.x = a.x + {sign} * dx GROUP BY a.image, a.y, a.x)"
+
+
+@registered(f"WITH {PX}, {ellipse_sql(2)}, {kernel_sql('min', 'px', 'er', 1)}, {kernel_sql('max', 'er', 'op', -1)} SELECT image, y, x, round(v, 6) + 0.0 AS v FROM op")
+def ellipse_open_2(spark, sf_dir):
+    """Opening by the smallest ellipse, which is not symmetric."""
+    return pixel_rows(raster.opened_by(small_images(spark, sf_dir), 2), "v")
+
+
+@registered(f"WITH {PX}, {ellipse_sql(5)}, {kernel_sql('max', 'px', 'di', -1)}, {kernel_sql('min', 'di', 'cl', 1)} SELECT image, y, x, round(v, 6) + 0.0 AS v FROM cl")
+def ellipse_close_5(spark, sf_dir):
+    return pixel_rows(raster.closed_by(small_images(spark, sf_dir), 5), "v")
+
+
+@registered(f"WITH {PX}, {ellipse_sql(15)}, {kernel_sql('min', 'px', 'er', 1)}, {kernel_sql('max', 'er', 'op', -1)} SELECT px.image, px.y, px.x, round(px.v - op.v, 6) + 0.0 AS top FROM px JOIN op USING (image, y, x)")
+def top_hat_15(spark, sf_dir):
+    """The default kernel, wider than the images."""
+    return pixel_rows(raster.top_hat(small_images(spark, sf_dir), 15), "top")
+
+
 BESIDE = """a1 AS (SELECT px.*, coalesce(l.v, r.v) AS lv, coalesce(r.v, l.v) AS rv, coalesce(u.v, d.v) AS uv, coalesce(d.v, u.v) AS dv FROM px
   LEFT JOIN px l ON l.image = px.image AND l.y = px.y AND l.x = px.x - 1 LEFT JOIN px r ON r.image = px.image AND r.y = px.y AND r.x = px.x + 1
   LEFT JOIN px u ON u.image = px.image AND u.x = px.x AND u.y = px.y - 1 LEFT JOIN px d ON d.image = px.image AND d.x = px.x AND d.y = px.y + 1)"""
@@ -409,11 +442,8 @@ def outlier_clusters(spark, sf_dir):
 
 @registered()
 def fit_regions(spark, sf_dir):
-    """A model for each image over its regions' features; images of 5 to 9 regions, for which no model can be chosen, have no row."""
-    rows = regions(spark, sf_dir).select(F.col("image"), F.col("label"), F.array("mean_v", "max_v", "mean_top", "mean_contrast", "area").alias("f"))
-    size = rows.groupBy("image").agg(F.count("*").alias("n"))
-    rows = rows.join(size.where("n >= 10 OR n < 5"), "image")
-    return centre_torque.fit_images(rows)
+    """A model for each image over its regions' features; regions of images of 5 to 9, for which no number of clusters can be chosen, have a null cluster."""
+    return centre_torque.fit_images(regions(spark, sf_dir).select("image", "label", F.array("mean_v", "max_v", "mean_top", "mean_contrast", "area").alias("f")))
 
 
 BOXES = "bx AS (SELECT id AS image, 0 AS box, label % 4 AS x1, label // 4 AS y1, label % 4 + 4 AS x2, label // 4 + 3 AS y2 FROM p UNION ALL SELECT id, 1, 2, 2, 5, 5 FROM p UNION ALL SELECT id, 2, label - 3, 5, 12, label FROM p)"
@@ -547,16 +577,29 @@ def label_metrics(spark, sf_dir):
     return rounded_metrics(metrics.mask_metrics(rows, ["source"], F.col("toxic") == 0, F.col("quality") == 1), "source")
 
 
-def edge_sql(flag: str, name: str) -> str:
-    return f"{name} AS (SELECT image, y, x FROM mk a WHERE {flag} AND (SELECT count(*) FROM mk b WHERE b.{flag} AND b.image = a.image AND abs(a.y - b.y) + abs(a.x - b.x) = 1) < 4)"
+def outline_sql(flag: str, n: str) -> str:
+    """o{n}: (image, y, x, visits) of outer outlines: what is outside is found by steps from a corner of each image's frame."""
+    near = lambda dy, dx: f"list_contains(out, (c.y + {dy}) * 100 + c.x + {dx})"
+    free = lambda dy, dx: f"NOT list_contains(held, (c.y + {dy}) * 100 + c.x + {dx})"
+    sides, corners = ((-1, 0), (0, 1), (1, 0), (0, -1)), ((-1, 1), (1, 1), (1, -1), (-1, -1))
+    number = lambda xs: " + ".join(f"CAST({x} AS INT)" for x in xs)
+    joins = [f"({near(*sides[k])} AND {near(*sides[(k + 1) % 4])} AND {free(*corners[k])})" for k in range(4)]
+    alone = " AND ".join([*(near(*s) for s in sides), *(free(*c) for c in corners)])
+    return f"""bg{n} AS (SELECT fr.* FROM fr LEFT JOIN (SELECT image, y, x FROM mk WHERE {flag}) m USING (image, y, x) WHERE m.image IS NULL),
+ou{n} AS (SELECT image, y, x FROM bg{n} WHERE y = -1 AND x = -1 UNION SELECT b.image, b.y, b.x FROM ou{n} JOIN bg{n} b ON b.image = ou{n}.image AND abs(b.y - ou{n}.y) + abs(b.x - ou{n}.x) = 1),
+ol{n} AS (SELECT image, list(y * 100 + x) AS out FROM ou{n} GROUP BY image), hl{n} AS (SELECT image, list(y * 100 + x) AS held FROM mk WHERE {flag} GROUP BY image),
+o{n} AS (SELECT * FROM (SELECT c.image, c.y, c.x, CASE WHEN {alone} THEN 1 ELSE {number(near(*s) for s in sides)} - ({number(joins)}) END AS visits FROM mk c JOIN ol{n} USING (image) JOIN hl{n} USING (image) WHERE c.{flag}) WHERE visits > 0)"""
+
+
+OUTLINES = f"""{MASKS.replace('v > 0 AS found', 'v > 0.3 AS found')}, fr AS (SELECT p.id AS image, y, x FROM p, range(-1, 9) a(y), range(-1, 9) b(x)), {outline_sql('found', '1')}, {outline_sql('truth', '2')},
+g AS (SELECT a.image, a.y AS ay, a.x AS ax, a.visits AS av, b.y AS by_, b.x AS bx, b.visits AS bv, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM o1 a JOIN o2 b USING (image)),
+u AS (SELECT image, max(m) AS h, sum(m * n) / sum(n) AS s FROM (SELECT image, min(d) AS m, any_value(av) AS n FROM g GROUP BY image, ay, ax) GROUP BY image), w AS (SELECT image, max(m) AS h, sum(m * n) / sum(n) AS s FROM (SELECT image, min(d) AS m, any_value(bv) AS n FROM g GROUP BY image, by_, bx) GROUP BY image)"""
+DISTANCES = "SELECT p.id AS image, round(greatest(u.h, w.h), 6) AS hausdorff, round((u.s + w.s) / 2, 6) AS surface FROM p LEFT JOIN u ON u.image = p.id LEFT JOIN w ON w.image = p.id"
 
 
-@registered(f"""WITH {MASKS.replace('v > 0 AS found', 'v > 0.3 AS found')}, {edge_sql('found', 'ea')}, {edge_sql('truth', 'eb')},
-g AS (SELECT a.image, a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM ea a JOIN eb b USING (image)),
-u AS (SELECT image, max(m) AS h, avg(m) AS s FROM (SELECT image, min(d) AS m FROM g GROUP BY image, ay, ax) GROUP BY image), w AS (SELECT image, max(m) AS h, avg(m) AS s FROM (SELECT image, min(d) AS m FROM g GROUP BY image, by_, bx) GROUP BY image)
-SELECT p.id AS image, round(greatest(u.h, w.h), 6) AS hausdorff, round((u.s + w.s) / 2, 6) AS surface FROM p LEFT JOIN u ON u.image = p.id LEFT JOIN w ON w.image = p.id""")
+@registered(f"WITH RECURSIVE {OUTLINES} {DISTANCES}")
 def boundary_distances(spark, sf_dir):
-    """Edge pixels stand for outlines; an undefined distance is null here."""
+    """Distances between outer outlines; an undefined distance is null here."""
     rows = masks(spark, sf_dir)
     images = vectors(spark, sf_dir).select(F.col("id").alias("image"))
     found = metrics.boundary_distances(rows.where("v > 0.3"), rows.where("truth"), images)
@@ -671,9 +714,17 @@ def method_compare(spark, sf_dir):
     return rows.select(*(rounded(c).alias(c) for c in ("old_mean", "old_std", "new_mean", "new_std")), "pairs", rounded("improvement").alias("improvement"), rounded("t_statistic").alias("t_statistic"))
 
 
-@registered()
+#: Two-sided p-values by Simpson's rule over the density of the t distribution.
+PAIRED = f"""WITH {SIDES}, c AS (SELECT count(old - new) AS n, avg(old - new) / (stddev_samp(old - new) / sqrt(count(old - new))) AS t FROM o),
+k AS (SELECT n, t, exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) AS c, abs(t) / 2000 AS h FROM c),
+s AS (SELECT n, t, sum(c * (1 + (i * h) ** 2 / (n - 1)) ** (-n / 2) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * any_value(h) / 3 AS area FROM k, range(0, 2001) r(i) GROUP BY n, t)
+SELECT n AS pairs, round(t, 6) AS t_statistic, round(1 - 2 * area, 6) + 0.0 AS p_value, 1 - 2 * area < 0.05 AS significant FROM s"""
+
+
+@registered(PAIRED)
 def paired_t(spark, sf_dir):
-    return metrics.compared(sides(spark, sf_dir).withColumn("metric", F.lit("value"))).select("pairs", "t_statistic", "p_value", "significant")
+    rows = metrics.compared(sides(spark, sf_dir).withColumn("metric", F.lit("value")))
+    return rows.select("pairs", rounded("t_statistic").alias("t_statistic"), rounded("p_value").alias("p_value"), "significant")
 
 
 @registered(f"WITH {SIDES} SELECT image, round(new - old, 6) + 0.0 AS gain FROM o WHERE new - old IS NOT NULL ORDER BY new - old DESC, image LIMIT 15")
@@ -729,14 +780,39 @@ def stem_match(spark, sf_dir):
     return matching.match_stems(predictions, own.union(numbers.select(F.concat(F.col("n").cast("string"), F.lit(".JPG")))).distinct())
 
 
-@registered(f"""WITH {NAMES}, tr AS (SELECT DISTINCT page_id || '_gt.png' AS truth, CAST(page_id AS VARCHAR) AS stem FROM pages), pr AS (SELECT n || CASE WHEN n % 2 = 0 THEN '_stone_mask.npy' ELSE '_x.npy' END AS prediction FROM nu),
-c AS (SELECT truth, prediction, CASE WHEN prediction = stem || '_stone_mask.npy' THEN 0 ELSE 99 END AS r FROM tr JOIN pr ON contains(prediction, stem))
-SELECT truth, prediction FROM c QUALIFY row_number() OVER (PARTITION BY truth ORDER BY r, prediction) = 1""")
+PATTERNS = f"""{NAMES}, tr AS (SELECT DISTINCT page_id || CASE page_id % 3 WHEN 0 THEN '_gt' WHEN 1 THEN '_annotated' ELSE '' END || '.jpg' AS truth FROM pages),
+bs AS (SELECT truth, regexp_replace(truth, '\\.[^.]*$', '') AS base, replace(replace(replace(replace(regexp_replace(truth, '\\.[^.]*$', ''), '_gt', ''), '_ground_truth', ''), '_annotated', ''), '_mask', '') AS clean FROM tr),
+pr AS (SELECT CASE n % 7 WHEN 0 THEN n || '/stone_mask.@' WHEN 1 THEN n || '_annotated/stone_mask.@' WHEN 2 THEN n || '_stone_mask.@' WHEN 3 THEN n || '.@' WHEN 4 THEN 'deep/' || n || '_x_stone.@' WHEN 5 THEN 'deep/er/Stone_' || n || '.@' ELSE n || '_mask.@' END AS prediction FROM nu),
+nm AS (SELECT prediction, regexp_replace(regexp_extract(prediction, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM pr)"""
+
+
+@registered(f"""WITH {PATTERNS.replace('@', 'npy')}, c AS (SELECT truth, prediction, CASE WHEN prediction = clean || '/stone_mask.npy' THEN 0 WHEN prediction = base || '/stone_mask.npy' THEN 1 WHEN prediction = clean || '_stone_mask.npy' THEN 2 WHEN prediction = clean || '.npy' THEN 3
+  WHEN starts_with(stem, clean) AND contains(substr(stem, length(clean) + 1), 'stone') THEN 4 WHEN contains(stem, clean) AND contains(lower(stem), 'stone') THEN 5 END AS r FROM bs, nm)
+SELECT truth, prediction FROM c WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth ORDER BY r, prediction) = 1""")
 def pattern_match(spark, sf_dir):
+    """Arrays for annotated images, by all six rules."""
+    return matching.match_patterns(*pattern_files(spark, sf_dir, ".npy"))
+
+
+@registered(f"""WITH {PATTERNS.replace('@', 'png')}, c AS (SELECT truth, prediction, CASE WHEN prediction = clean || '/stone_mask.png' THEN 0 WHEN prediction = base || '/stone_mask.png' THEN 1 WHEN prediction = clean || '_stone_mask.png' THEN 2
+  WHEN starts_with(stem, clean) AND contains(substr(stem, length(clean) + 1), 'stone') THEN 4 END AS r FROM bs, nm)
+SELECT truth, prediction FROM c WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth ORDER BY r, prediction) = 1""")
+def pattern_match_png(spark, sf_dir):
+    """Pictures for annotated images, by the four rules that pictures have."""
+    return matching.match_patterns(*pattern_files(spark, sf_dir, ".png"), arrays=False)
+
+
+def pattern_files(spark, sf_dir, end: str):
     _, numbers = names(spark, sf_dir)
-    truths = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.col("page_id").cast("string"), F.lit("_gt.png")).alias("truth")).distinct()
-    end = F.when(F.col("n") % 2 == 0, "_stone_mask.npy").otherwise("_x.npy")
-    return matching.match_patterns(truths, numbers.select(F.concat(F.col("n").cast("string"), end).alias("prediction")))
+    page = F.col("page_id").cast("string")
+    mark = F.when(F.col("page_id") % 3 == 0, "_gt").when(F.col("page_id") % 3 == 1, "_annotated").otherwise("")
+    truths = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(page, mark, F.lit(".jpg")).alias("truth")).distinct()
+    n, kind = F.col("n").cast("string"), F.col("n") % 7
+    forms = (("", "/stone_mask"), ("", "_annotated/stone_mask"), ("", "_stone_mask"), ("", ""), ("deep/", "_x_stone"), ("deep/er/Stone_", ""))
+    path = F.concat(n, F.lit("_mask"))
+    for k, (before, after) in enumerate(forms):
+        path = F.when(kind == k, F.concat(F.lit(before), n, F.lit(after))).otherwise(path)
+    return truths, numbers.select(F.concat(path, F.lit(end)).alias("prediction"))
 
 
 @registered(f"WITH {NAMES} SELECT image FROM im INTERSECT SELECT n || '.png' FROM nu")
@@ -748,3 +824,145 @@ def common_names(spark, sf_dir):
 @registered("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def passages_contained(spark, sf_dir):
     return matching.contained(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# Sources and sinks: files are written to a shared folder, listed and read again.
+
+LABELS = PX + ", lm AS (SELECT image, y, x, CASE WHEN v > 0.1 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END AS v FROM px)"
+
+
+def label_maps(spark, sf_dir):
+    return small_images(spark, sf_dir).withColumn("v", F.when(F.col("v") > 0.1, 2).when(F.col("v") > 0, 1).otherwise(0))
+
+
+def as_long(rows):
+    return rows.select("image", *(F.col(c).cast("long").alias(c) for c in ("y", "x", "v")))
+
+
+@registered(f"WITH {LABELS} SELECT image || '_mask.npy' AS image, y, x, CASE WHEN v > 0 THEN 1 ELSE 0 END AS v FROM lm")
+def npy_round_trip(spark, sf_dir):
+    """Label maps written as arrays, beside files of other names, and read as predictions: any label is foreground."""
+    path = shared_folder(spark)
+    write_files(as_arrays(label_maps(spark, sf_dir)), path)
+    write_files(spark.createDataFrame([("other.npy", b"x"), ("notes.txt", b"y")], "file string, content binary"), path)
+    return as_long(read_arrays(spark, path, pattern="*_mask.npy", recursive=True))
+
+
+@registered(f"WITH {LABELS}, t AS (SELECT *, max(v) OVER (PARTITION BY image) AS top FROM lm) SELECT image || '_mask.png' AS image, y, x, CASE WHEN top > 0 THEN v * 255 // top ELSE v END AS v FROM t")
+def png_round_trip(spark, sf_dir):
+    """Label maps written as grey pictures, stretched to 255, and read as grey values."""
+    path = shared_folder(spark)
+    write_files(png.as_pictures(label_maps(spark, sf_dir)), path)
+    return as_long(png.read_pictures(spark, path))
+
+
+@registered(f"""WITH {LABELS}, t AS (SELECT *, max(v) OVER (PARTITION BY image) AS top FROM lm)
+SELECT image || CASE WHEN image % 2 = 0 THEN '_mask.npy' ELSE '_mask.png' END AS image, y, x, CASE WHEN image % 2 = 0 THEN CASE WHEN v > 0 THEN 1 ELSE 0 END WHEN top > 0 AND v * 255 // top > 127 THEN 1 ELSE 0 END AS v FROM t""")
+def prediction_dispatch(spark, sf_dir):
+    """Predictions of both kinds in folders of one folder: arrays count above 0, pictures above 127."""
+    path, maps = shared_folder(spark), label_maps(spark, sf_dir)
+    write_files(as_arrays(maps.where("image % 2 = 0")), f"{path}/arrays")
+    write_files(png.as_pictures(maps.where("image % 2 = 1")), f"{path}/pictures")
+    return as_long(png.read_predictions(spark, path, recursive=True))
+
+
+@registered(f"WITH {GREY} SELECT image || '_mask.png' AS image, y, x, g AS b, g AS g, g AS r FROM gr")
+def colour_scan(spark, sf_dir):
+    """Grey pictures, of which each holds 255, read as three equal channels."""
+    path = shared_folder(spark)
+    grey_maps = grey(spark, sf_dir).select("image", "y", "x", F.col("g").alias("v"))
+    plain = encoded(grey_maps, png.encode, "_mask.png")
+    write_files(plain, path)
+    return png.read_colours(spark, path).select("image", *(F.col(c).cast("long").alias(c) for c in ("y", "x", "b", "g", "r")))
+
+
+LISTED = """nf AS (SELECT DISTINCT page_id % 400 AS n FROM pages), fl AS (SELECT n, n || ['.png', '.jpg', '.JPEG', '.txt', '_mask.npy', '.bmp'][n % 6 + 1] AS file, n % 3 = 0 AS deep FROM nf)"""
+
+
+def folder_of_files(spark, sf_dir):
+    """Files of many endings, a third of them in a folder of the folder."""
+    path = shared_folder(spark)
+    n = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") % 400).alias("n")).distinct()
+    endings = F.array(*map(F.lit, (".png", ".jpg", ".JPEG", ".txt", "_mask.npy", ".bmp")))
+    files = written(n.select("n", F.concat(F.col("n").cast("string"), F.get(endings, (F.col("n") % 6).cast("int"))).alias("file"), F.lit(b"x").alias("content")), f"{path}-names")
+    write_files(files.where("n % 3 = 0"), f"{path}/deep")
+    write_files(files.where("n % 3 <> 0"), path)
+    return path
+
+
+@registered(f"WITH {LISTED} SELECT file, 'all' AS kind FROM fl WHERE n % 6 IN (0, 1, 2, 5) UNION ALL SELECT file, 'flat' FROM fl WHERE NOT deep AND n % 6 IN (0, 1, 2, 5) UNION ALL SELECT file, 'mask' FROM fl WHERE n % 6 = 4 UNION ALL SELECT file, 'exact' FROM fl WHERE NOT deep AND n % 6 = 1")
+def file_listing(spark, sf_dir):
+    """Listings: pictures at any depth or in the folder alone, masks of predictions, and endings in lower case only."""
+    path = folder_of_files(spark, sf_dir)
+    kinds = {
+        "all": list_files(spark, path, recursive=True), "flat": list_files(spark, path), "mask": list_files(spark, path, ("npy",), recursive=True),
+        "exact": list_files(spark, path, ("jpg", "jpeg"), any_case=False),
+    }
+    parts = [rows.select("file", F.lit(kind).alias("kind")) for kind, rows in kinds.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@registered(f"WITH {POINTS} SELECT CAST(id AS VARCHAR) AS image, list_transform([label - 1, label // 2, label + 3, 5], lambda x: CAST(x AS BIGINT)) AS corners FROM p WHERE id % 3 <> 0")
+def json_round_trip(spark, sf_dir):
+    """Detection metadata written as JSON lines and read with its schema; boxes have whole corners."""
+    path = shared_folder(spark)
+    p = vectors(spark, sf_dir).where("id % 3 <> 0").select(F.col("id").cast("string").alias("filename"), "label")
+    box = F.array(F.col("label") - 1.0, F.floor(F.col("label") / 2) + 0.75, F.col("label") + 3.25, F.lit(5.0))
+    write_json(p.select("filename", F.array(F.lit(8), F.lit(8)).alias("image_shape"), F.lit(1).alias("num_detections"), F.array(box).alias("bboxes"), F.lit(1).alias("segmentation_labels")), path)
+    rows = boxes_of(spark.read.schema(DETECTIONS).json(path))
+    return rows.select("image", F.array(*(F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2"))).alias("corners"))
+
+
+@registered(f"WITH {MASKS}, {metrics_sql('mk', 'image')} SELECT image, round(iou, 6) AS iou, round(dice, 6) AS dice FROM a")
+def csv_round_trip(spark, sf_dir):
+    """Detailed results written as CSV and read again."""
+    path = shared_folder(spark)
+    write_csv(mask_metrics(spark, sf_dir).select("image", "iou", "dice"), path)
+    return spark.read.schema("image long, iou double, dice double").csv(path, header=True)
+
+
+# Whole paths of the reference
+
+@registered(f"""WITH RECURSIVE {{outlines}}, {{flat}} SELECT a.image, tp, fp, fn, tn, {ROUNDED}, h.hausdorff, h.surface FROM a JOIN ({{ends}}) h USING (image) WHERE tp + fp > 0 AND tp + fn > 0""".format(outlines=OUTLINES, flat=metrics_sql("mk", "image"), ends=DISTANCES))
+def all_metrics(spark, sf_dir):
+    """The nine metrics in one call; images with an empty mask on either side are left out."""
+    rows = metrics.all_metrics(masks(spark, sf_dir), F.col("v") > 0.3, F.col("truth"))
+    return rounded_metrics(rows, "image", *(rounded(c).alias(c) for c in ("hausdorff", "surface")))
+
+
+@registered()
+def segment(spark, sf_dir):
+    """Inclusions found in every image, by brightness and by clusters of regions; the thresholds are those of small images."""
+    pixels = grey(spark, sf_dir).select("image", "y", "x", F.col("g").cast("double").alias("v"), (F.col("v") > -0.2).alias("inside"))
+    settings = segmentation.Settings(least_pixels=10, kernel=3, regions=16, area=(1, 40), opening=1, closing=1, circularity=(0.0, 10.0), solidity=0.0)
+    return segmentation.segment(pixels, settings)
+
+
+@registered()
+def cluster_images(spark, sf_dir):
+    """Images clustered by mean value and texture, in two clusters, after two rounds of moves."""
+    table = clustering.image_features(small_images(spark, sf_dir), F.col("v") > 0)
+    return clustering.cluster_images(table, 2, rounds=2)
+
+
+@registered(f"""WITH RECURSIVE {POINTS}, all_p AS (SELECT * FROM p), pt AS (SELECT 'test' AS part UNION ALL SELECT 'train'),
+d AS (SELECT part, a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM pt, all_p a, all_p b WHERE (a.id % 5 = 0) = (part = 'test') AND (b.id % 5 = 0) = (part = 'test')),
+k AS (SELECT part, i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) - 1 AS r FROM d), q AS (SELECT part, i AS id, 1 / (avg(d) + 1e-9) AS raw FROM k WHERE r BETWEEN 1 AND 5 GROUP BY part, i),
+m AS (SELECT part, id, raw / sum(raw) OVER (PARTITION BY part) AS m FROM q),
+h AS (SELECT d.part, d.i AS id, d.j AS parent, d.d FROM d JOIN m a ON a.id = d.i JOIN m b ON b.id = d.j WHERE b.m > a.m QUALIFY row_number() OVER (PARTITION BY d.i ORDER BY d.d, d.j) = 1),
+f AS (SELECT d.part, quantile_cont(a.m * b.m / (d.d * d.d + 1e-9), 0.5) AS mid FROM d JOIN m a ON a.id = d.i JOIN m b ON b.id = d.j GROUP BY d.part),
+t AS (SELECT h.part, h.id, parent FROM h JOIN m a ON a.id = h.id JOIN m b ON b.id = parent JOIN f ON f.part = h.part WHERE a.m * b.m / (d * d + 1e-9) <= mid),
+u AS (SELECT m.part, m.id, t.parent FROM m LEFT JOIN t ON t.id = m.id),
+w AS (SELECT part, id, id AS a FROM u UNION ALL SELECT w.part, w.id, u.parent FROM w JOIN u ON u.id = w.a WHERE u.parent IS NOT NULL),
+l AS (SELECT part, a AS id, min(id) AS least FROM w GROUP BY part, a), r AS (SELECT l.part, p.label AS truth, l.least AS found FROM l JOIN all_p p USING (id)),
+o AS (SELECT part, truth, found, count(*) AS k FROM r GROUP BY ALL), s1 AS (SELECT part, truth, sum(k) AS k FROM o GROUP BY ALL), s2 AS (SELECT part, found, sum(k) AS k FROM o GROUP BY ALL),
+g AS (SELECT part, sum(k) AS n, sum(k * (k - 1) / 2) AS i FROM o GROUP BY part),
+y AS (SELECT g.part, n, i, (SELECT sum(k * (k - 1) / 2) FROM s1 WHERE s1.part = g.part) AS a, (SELECT sum(k * (k - 1) / 2) FROM s2 WHERE s2.part = g.part) AS b,
+  (SELECT -sum(k / n * ln(k / n)) FROM s1 WHERE s1.part = g.part) AS h1, (SELECT -sum(k / n * ln(k / n)) FROM s2 WHERE s2.part = g.part) AS h2,
+  (SELECT sum(o.k / n * ln(n * o.k / (s1.k * s2.k))) FROM o JOIN s1 ON s1.part = o.part AND s1.truth = o.truth JOIN s2 ON s2.part = o.part AND s2.found = o.found WHERE o.part = g.part) AS mi FROM g)
+SELECT part, CAST(n AS BIGINT) AS n, round((i - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) + 0.0 AS ari, round(mi / ((h1 + h2) / 2), 6) + 0.0 AS nmi FROM y""")
+def train_and_evaluate(spark, sf_dir):
+    """A fifth of the points and the others, each clustered on its own by links to the nearest heavier point below the median, and held against the labels."""
+    rows = vectors(spark, sf_dir)
+    found = clustering.train_and_evaluate({"train": rows.where("id % 5 <> 0"), "test": rows.where("id % 5 = 0")})
+    return found.select("part", "n", rounded("ari").alias("ari"), rounded("nmi").alias("nmi"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from gyrolith.sources.tables import PIXELS
+from gyrolith.sources.tables import PIXELS, array_rows, encoded, files_of
 
 # Fixed values of the format: its signature, and samples of a pixel by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -65,9 +65,45 @@ def decode(content: bytes) -> np.ndarray:
     return out[:, :, :1] if step in (1, 2) else out[:, :, :3]
 
 
+def encode(a: np.ndarray) -> bytes:
+    """A grey picture (height, width) or one of three channels, of 8-bit samples, as a file."""
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    height, width = a.shape[:2]
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes((8, 2 if a.ndim == 3 else 0, 0, 0, 0))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), a.astype(np.uint8).reshape(height, -1)], axis=1)
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def as_pictures(labels: DataFrame) -> DataFrame:
+    """(file, content) of grey pictures for dense label maps (image, y, x, v), named <image>_mask.png: labels stretched so that the largest is 255."""
+    return encoded(labels, lambda a: encode(a * 255 // a.max() if a.max() > 0 else a), "_mask.png")
+
+
 def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][nN][gG]").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "content")
+    return files_of(spark, path, "*.[pP][nN][gG]", recursive)
+
+
+def grey_rows(name: str, content: bytes, above: float | None) -> pd.DataFrame:
+    a = decode(content).astype(float)
+    v = np.floor(a @ (0.299, 0.587, 0.114) + 0.5) if a.shape[2] == 3 else a[:, :, 0]
+    y, x = np.indices(v.shape)
+    return pd.DataFrame({"image": name.rsplit("/", 1)[-1], "y": y.ravel(), "x": x.ravel(), "v": v.ravel() if above is None else (v.ravel() > above).astype(float)})
+
+
+def read_predictions(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(image, y, x, v) of every file below the path by its ending: arrays where they are above 0, pictures above 127; other endings are an error."""
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                if name.endswith(".npy"):
+                    yield array_rows(name, content, 0.0, True)
+                elif name.lower().endswith(".png"):
+                    yield grey_rows(name, content, 127.0)
+                else:
+                    raise ValueError(f"unsupported file format: {name}")
+
+    return files_of(spark, path, "*", recursive).mapInPandas(run, PIXELS)
 
 
 def read_colours(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -91,9 +127,6 @@ def read_pictures(spark: SparkSession, path: str, above: float | None = None, re
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = decode(content).astype(float)
-                v = np.floor(a @ (0.299, 0.587, 0.114) + 0.5) if a.shape[2] == 3 else a[:, :, 0]
-                y, x = np.indices(v.shape)
-                yield pd.DataFrame({"image": name.rsplit("/", 1)[-1], "y": y.ravel(), "x": x.ravel(), "v": v.ravel() if above is None else (v.ravel() > above).astype(float)})
+                yield grey_rows(name, content, above)
 
     return _files(spark, path, recursive).mapInPandas(run, PIXELS)

@@ -58,20 +58,34 @@ def list_files(spark: SparkSession, path: str, extensions=IMAGES, recursive: boo
     return rows.where(name.rlike(r"\.(" + "|".join(extensions) + ")$"))
 
 
-def read_arrays(spark: SparkSession, path: str, above: float = 0.0, recursive: bool = False) -> DataFrame:
-    """(image, y, x, v) of every `.npy` file: values above the threshold as 1; of three channels their mean, else channel 0."""
+def array_rows(name: str, content: bytes, above: float, luma: bool) -> pd.DataFrame:
+    a = np.load(io.BytesIO(content), allow_pickle=False)
+    if a.ndim == 3:
+        if a.shape[2] != 3:
+            a = a[:, :, 0]
+        else:
+            a = np.floor(a.astype(np.uint8) @ (0.299, 0.587, 0.114) + 0.5) if luma else a.max(axis=2)
+    y, x = np.indices(a.shape)
+    return pd.DataFrame({"image": name.rsplit("/", 1)[-1], "y": y.ravel(), "x": x.ravel(), "v": (a.ravel() > above).astype(float)})
+
+
+def files_of(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select("path", "content")
+
+
+def read_arrays(spark: SparkSession, path: str, above: float = 0.0, recursive: bool = False, pattern: str = "*.npy", luma: bool = True) -> DataFrame:
+    """(image, y, x, v) of `.npy` files, `*_mask.npy` being those of predictions: values above the threshold as 1.
+
+    Of three channels their luma counts, rounded, or with `luma` false any of them; of other numbers of channels the first.
+    """
 
     def decode(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                if a.ndim == 3:
-                    a = a.mean(axis=2) if a.shape[2] == 3 else a[:, :, 0]
-                y, x = np.indices(a.shape)
-                yield pd.DataFrame({"image": name.rsplit("/", 1)[-1], "y": y.ravel(), "x": x.ravel(), "v": (a.ravel() > above).astype(float)})
+                yield array_rows(name, content, above, luma)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "content").mapInPandas(decode, PIXELS)
+    return files_of(spark, path, pattern, recursive).mapInPandas(decode, PIXELS)
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
@@ -90,3 +104,52 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_files(files: DataFrame, path: str) -> int:
+    """Writes each row (file, content) as a file below `path`, which all tasks and the driver share; gives their number.
+
+    A task writes under a name of its own first, so that a task that is run again leaves no half file.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        mark, n = TaskContext.get().taskAttemptId(), 0
+        target, root = fs.FileSystem.from_uri(path)
+        target.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["file"], pdf["content"], strict=True):
+                own = f"{root}/_{mark}-{name}"
+                with target.open_output_stream(own) as out:
+                    out.write(content)
+                target.move(own, f"{root}/{name}")
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return files.select("file", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def as_arrays(labels: DataFrame) -> DataFrame:
+    """(file, content) of `.npy` files for dense label maps (image, y, x, v), named <image>_mask.npy; one picture in one task."""
+
+    def encode(a: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        np.save(out, a)
+        return out.getvalue()
+
+    return encoded(labels, encode, "_mask.npy")
+
+
+def encoded(labels: DataFrame, encode, ending: str) -> DataFrame:
+    """(file, content) of each image's array of whole numbers, by `encode`."""
+    from gyrolith.functions.blocks import codes, over_images
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(of=codes(pdf["image"])).sort_values(["of", "y", "x"], kind="stable")
+        parts = [(one["image"].iloc[0], one["v"].to_numpy(np.int32).reshape(int(one["y"].max()) + 1, -1)) for _, one in pdf.groupby("of", sort=True)]
+        return pd.DataFrame({"file": [f"{name}{ending}" for name, _ in parts], "content": [encode(a) for _, a in parts]})
+
+    rows = labels.select(F.col("image").cast("string").alias("image"), "y", "x", F.col("v").cast("int").alias("v"))
+    return over_images(rows, run, "file string, content binary")
