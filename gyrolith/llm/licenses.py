@@ -20,7 +20,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import ascii_lower
+from gyrolith.llm.common import ascii_lower, free_names
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Key words that a template posts: those with the largest inverse document frequencies.
@@ -98,15 +98,16 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, lines=LINES) -
     posted = [sorted(range(t.key, t.key + t.size), key=lambda k, t=t: (-idf[t.words[k]], k))[:POSTED] for t in templates]
     rare = sorted({t.words[k] for t, ks in zip(templates, posted, strict=True) for k in ks})
 
-    own = docs.select(*rest, words_of(F.col(f"`{text}`")).alias("__w"))
-    w = F.col("__w")
+    w_, hits, base_, more = free_names(docs.columns, "__w", "__hits", "__base", "__more")
+    own = docs.select(*rest, words_of(F.col(f"`{text}`")).alias(w_))
+    w = F.col(w_)
     hit = F.transform(w, lambda x, i: F.when(x.isin(rare), F.struct(x.alias("word"), i.alias("at"))))
-    own = own.withColumn("__hits", F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), F.array_compact(hit)))
+    own = own.withColumn(hits, F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), F.array_compact(hit)))
 
     def places(t: Template, ks: list[int]):
         """Starts, and shares, of the template where its key words stand."""
         word = lambda s, k: F.get(w, s + k) == F.lit(t.words[k])
-        allowed = lambda k: F.transform(F.filter("__hits", lambda h: h["word"] == t.words[k]), lambda h: h["at"] - k)
+        allowed = lambda k: F.transform(F.filter(hits, lambda h: h["word"] == t.words[k]), lambda h: h["at"] - k)
         starts = reduce(F.array_intersect, map(allowed, ks))
         others = [k for k in range(t.key, t.key + t.size) if k not in ks]
         if others:
@@ -116,14 +117,14 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, lines=LINES) -
         return F.transform(starts, lambda s: F.struct(F.lit(t.label).alias("label"), (s + t.key).cast("long").alias("word"), (F.lit(1.0) if t.size == len(t.words) else share(s)).alias("share")))
 
     none = F.expr("CAST(array() AS array<struct<label:string,word:bigint,share:double>>)")
-    found = lambda some, posts: F.when(F.col("__hits").isNull(), none).otherwise(F.concat(*(places(t, ks) for t, ks in zip(some, posts, strict=True))))
-    own = own.withColumn("__base", found(base, posted[: len(base)])).withColumn("__more", found(lines, posted[len(base) :]))
+    found = lambda some, posts: F.when(F.col(hits).isNull(), none).otherwise(F.concat(*(places(t, ks) for t, ks in zip(some, posts, strict=True))))
+    own = own.withColumn(base_, found(base, posted[: len(base)])).withColumn(more, found(lines, posted[len(base) :]))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
-    everything = F.concat("__base", "__more")
+    everything = F.concat(base_, more)
     return own.select(
-        *rest, F.size(w).cast("long").alias("n_words"), F.size("__base").cast("long").alias("n_base"),
-        F.array_min(F.transform("__base", lambda p: p["word"])).alias("first_word"), F.array_max(F.transform("__base", lambda p: p["word"])).alias("last_word"),
-        names(F.col("__base")).alias("base_labels"), names(everything).alias("labels"),
+        *rest, F.size(w).cast("long").alias("n_words"), F.size(base_).cast("long").alias("n_base"),
+        F.array_min(F.transform(base_, lambda p: p["word"])).alias("first_word"), F.array_max(F.transform(base_, lambda p: p["word"])).alias("last_word"),
+        names(F.col(base_)).alias("base_labels"), names(everything).alias("labels"),
         F.round(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(everything, lambda p: p["share"])), F.lit(0.0))), 6).alias("score"),
         F.transform(everything, lambda p: F.struct(p["label"].alias("label"), p["word"].alias("word"))).alias("places"),
     )
