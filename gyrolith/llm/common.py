@@ -93,6 +93,21 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bitmap_bits(count: int) -> int:
+    """Bits of a bitmap over so many values: 16 for each, a power of two from 2 ** 16 to 2 ** 28, so at most 32 MB."""
+    return 1 << min(28, max(16, (16 * count).bit_length()))
+
+
+def bitmap(places: DataFrame, bits: int) -> bytes:
+    """The bits set at `places` (p, from 0); Spark makes it in pieces of 4096 bytes, which are put together here."""
+    at = F.col("p") + 1
+    parts = places.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
+    return bytes(out)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -3,8 +3,8 @@
 A rolling gear hash cuts each payload where its last 32 bytes say so, so equal passages of some length fall into equal
 chunks wherever they stand. A first pass counts chunk digests. Documents none of whose chunks occurs elsewhere
 keep their chunks in their own row and are never shuffled; the others keep an ordered list of digests, and their
-chunks are stored once, deduplicated by digest. To tell both apart each task gets a bitmap of fixed size
-over digests that occur more than once; where the bitmap errs, a chunk goes to the store that need not.
+chunks are stored once, deduplicated by digest. To tell both apart each task gets a bitmap, sized by the number of
+digests that occur more than once and 32 MB at most; where it errs, a chunk goes to the store that need not.
 
 Reading rebuilds the bytes: rows with their own chunks directly, the others by a join of distinct lists with the store. Each
 chunk is verified against its digest and each payload against its own.
@@ -27,14 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import shared_folder, written
+from gyrolith.llm.common import bitmap, bitmap_bits, shared_folder, written
 
 #: Payloads are filled up with spaces to a multiple of this many samples.
 BLOCK = 192
 #: Bytes of a chunk: least, most, and the bits that must be 0 at a cut (one place in 2048).
 LEAST, MOST, CUT_BITS = 512, 16_384, np.uint32(0x7FF << 21)
-#: Bits of the bitmap of repeated digests.
-BITMAP = 1 << 24
 SEGMENT, WINDOW = 1 << 20, 32
 
 RECIPE = "doc_id long, n_bytes long, payload_bytes long, payload binary, digests array<binary>, chunks array<binary>, apart boolean"
@@ -115,26 +113,25 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "digest binary")
 
 
-def repeated_bitmap(docs: DataFrame) -> bytes:
-    """Bit k is set if a chunk whose digest starts with the 24 bits k occurs more than once; always BITMAP / 8 bytes."""
-    many = chunk_digests(docs).groupBy("digest").count().where("count > 1")
-    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long") + 1
-    parts = many.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = bytearray(BITMAP // 8)
-    for r in parts.collect():  # 512 rows of 4096 bytes at most
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
-    return bytes(out)
+def repeated_bitmap(docs: DataFrame, folder: str) -> bytes:
+    """Bit k is set if a chunk whose digest starts with a number that is k modulo the bits occurs more than once."""
+    many = written(chunk_digests(docs).groupBy("digest").count().where("count > 1").select("digest"), f"{folder}/repeated")
+    bits = bitmap_bits(many.count())
+    start = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    return bitmap(many.select((start % bits).alias("p")), bits)
 
 
 def store_payloads(docs: DataFrame, key: str = "doc_id", text: str = "text") -> MediaStore:
     """Stores the payload of every row in a new folder below the shared one."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    bitmap = spark.sparkContext.broadcast(repeated_bitmap(docs))
+    folder = shared_folder(spark)
+    marked = spark.sparkContext.broadcast(repeated_bitmap(docs, folder))
 
     def repeated(digest: bytes) -> int:
-        k = int.from_bytes(digest[:3], "big")
-        return bitmap.value[k >> 3] >> (k & 7) & 1
+        held = marked.value
+        k = int.from_bytes(digest[:4], "big") % (8 * len(held))
+        return held[k >> 3] >> (k & 7) & 1
 
     def recipes(batches):
         gear, pack = gear_table(), zstandard.ZstdCompressor(level=3).compress
@@ -157,7 +154,6 @@ def store_payloads(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     found |= zip(digests, own, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(map(pack, found.values())), pa.binary())], names=["digest", "data"])
 
-    folder = shared_folder(spark)
     own = written(docs.mapInArrow(recipes, RECIPE), f"{folder}/recipes")
     once = docs.mapInArrow(shared, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
     return MediaStore(own, written(once, f"{folder}/chunks"), folder)

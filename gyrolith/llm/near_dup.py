@@ -14,7 +14,7 @@ union. Documents that by this bound can reach the threshold with no size of part
 out, so unrelated texts that share a passage, or copies with many changes, do not meet pair by pair. The others
 are held against the larger components of their buckets, block by block, on full sets.
 
-Sets are built a second time, for the documents of some pair only; a bitmap of fixed size over their ids tells
+Sets are built a second time, for the documents of some pair only; a bitmap over their ids, of 32 MB at most, tells
 tasks which ones, so texts are never shuffled.
 
 Defined results: a text without words, or null, has no shingles and links with nothing; fewer words than a shingle
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import shared_folder, slices, written
+from gyrolith.llm.common import bitmap, bitmap_bits, shared_folder, slices, written
 
 #: Words of a shingle; links have at least PERCENT per hundred of their union in common.
 WORDS, PERCENT = 5, 75
@@ -45,8 +45,6 @@ LEAST_ESTIMATE = 0.5
 SMALL = 32
 #: Documents and members of a block, about, where documents meet whole components.
 ASKING, MEMBERS = 256, 512
-#: Bits of the bitmap that tells which documents' sets are needed.
-BITMAP = 1 << 24
 MEMORY = 400_000
 #: Hashes that a task counts before it passes them on.
 PART = 1 << 20
@@ -140,20 +138,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
 
 
-def id_bitmap(ids: DataFrame) -> bytes:
-    """A bit for each id's hash; always BITMAP / 8 bytes, so a full one only means that no document is skipped."""
-    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP)) + 1
-    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = bytearray(BITMAP // 8)
-    for r in parts.collect():
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
-    return bytes(out)
-
-
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, n, sketch, hashes) of the documents among `ids`, and of a few others whose bit is set too."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    size = bitmap_bits(ids.count())
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("p")), size))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
 
     def run(batches):
         memory, marked = Words(), np.frombuffer(bits.value, np.uint8)
@@ -326,7 +315,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = written(rows.join(sizes, "key").select("key", "id", "n", "size"), f"{folder}/buckets")
 
     pairs = written(star_pairs(buckets, folder), f"{folder}/stars")
-    sets = written(full_sets(docs, buckets.select("id")), f"{folder}/sets")
+    sets = written(full_sets(docs, buckets.select("id").distinct()), f"{folder}/sets")
     links = written(verified(pairs, sets), f"{folder}/star-links")
     labels = components(links, f"{folder}/first")
 
