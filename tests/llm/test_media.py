@@ -1,7 +1,10 @@
 import hashlib
 import random
+import statistics
 import zlib
 
+import zstandard
+
 from gyrolith.llm import media
 
 
@@ -27,13 +30,30 @@ def test_chunks_join_to_the_payload_and_follow_the_content():
     assert [x for x in media.candidates(big, gear) if x > 32] == [x for x in slow(big) if x > 32]
 
 
+def plain_stored(data):
+    """Chunks cut byte by byte, each compressed and after its length."""
+    gear, out, start, h = [int(x) for x in media.gear_table()], b"", 0, 0
+    for k, b in enumerate(data, 1):
+        h = (2 * h + gear[b]) & 0xFFFFFFFF
+        size = k - start
+        if k == len(data) or size == media.MOST or (size >= media.LEAST and not h & int(media.CUT_BITS)):
+            packed = zstandard.ZstdCompressor(level=3).compress(data[start:k])
+            out += len(packed).to_bytes(4, "big") + packed
+            start = k
+    return out
+
+
 def check(rows, texts):
     for r in rows:
         raw = (texts[r.doc_id] or "").encode()
         pad = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(pad))
         assert r.payload_sha256 == hashlib.sha256(pad).hexdigest() and r.tail_crc32 == zlib.crc32(pad[-16:])
-        assert r.media_bytes > 0 and len(r.media_sha256) == 64
+        stored = plain_stored(pad)
+        assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        planes = [pad[c::3] for c in range(3)]
+        want = [statistics.fmean(p) for p in planes] + [statistics.pstdev(p) for p in planes]
+        assert all(abs(float(x) - y) <= 1e-4 for x, y in zip(r.feature.split(), want, strict=True))
 
 
 def test_query(spark, sf):
