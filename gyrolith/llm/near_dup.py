@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolith.llm.common import bitmap, bitmap_bits, shared_folder, slices, written
+from gyrolith.llm.common import bitmap, bitmap_bits, shared_folder, slices, tidied, written
 
 #: Words of a shingle; links have at least PERCENT per hundred of their union in common.
 WORDS, PERCENT = 5, 75
@@ -304,30 +304,32 @@ def cross_links(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reached by links) and kept, for every row."""
-    folder = shared_folder(docs.sparkSession)
+    kept = shared_folder(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    table = written(sketches(docs), f"{folder}/sketches")
-    classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
-    classes = written(classes.select("s1", "s2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), f"{folder}/classes")
-
-    rows = classes.select("id", "n", F.explode("bands").alias("key"))
-    sizes = written(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{folder}/sizes")
-    buckets = written(rows.join(sizes, "key").select("key", "id", "n", "size"), f"{folder}/buckets")
-
-    pairs = written(star_pairs(buckets, folder), f"{folder}/stars")
-    sets = written(full_sets(docs, buckets.select("id").distinct()), f"{folder}/sets")
-    links = written(verified(pairs, sets), f"{folder}/star-links")
-    labels = components(links, f"{folder}/first")
-
-    own = written(buckets.join(labels, "id", "left").select("key", "id", "n", "size", F.coalesce("c", "id").alias("c")), f"{folder}/own")
-    rest = open_buckets(own, f"{folder}/open")
-    small, large = rest.where(f"size <= {SMALL}"), written(rest.where(f"size > {SMALL}").select("key", "id", "c"), f"{folder}/large")
-    more = written(pairs_within(small.withColumn("m", F.col("n"))).join(pairs, ["a", "b"], "left_anti"), f"{folder}/rest")
-    found = [links.select("a", "b"), verified(more, sets).select("a", "b"), cross_links(may_link(large, sets, folder), sets, folder)]
-    links = written(found[0].unionAll(found[1]).unionAll(found[2]), f"{folder}/all-links")
-    labels = components(links, f"{folder}/second")
-
-    found = written(classes.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("c", "id").alias("c")), f"{folder}/found")
+    with tidied():  # all but two tables go at the end
+        folder = shared_folder(docs.sparkSession)
+        table = written(sketches(docs), f"{kept}/sketches")
+        classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
+        classes = written(classes.select("s1", "s2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), f"{folder}/classes")
+
+        rows = classes.select("id", "n", F.explode("bands").alias("key"))
+        sizes = written(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{folder}/sizes")
+        buckets = written(rows.join(sizes, "key").select("key", "id", "n", "size"), f"{folder}/buckets")
+
+        pairs = written(star_pairs(buckets, folder), f"{folder}/stars")
+        sets = written(full_sets(docs, buckets.select("id").distinct()), f"{folder}/sets")
+        links = written(verified(pairs, sets), f"{folder}/star-links")
+        labels = components(links, f"{folder}/first")
+
+        own = written(buckets.join(labels, "id", "left").select("key", "id", "n", "size", F.coalesce("c", "id").alias("c")), f"{folder}/own")
+        rest = open_buckets(own, f"{folder}/open")
+        small, large = rest.where(f"size <= {SMALL}"), written(rest.where(f"size > {SMALL}").select("key", "id", "c"), f"{folder}/large")
+        more = written(pairs_within(small.withColumn("m", F.col("n"))).join(pairs, ["a", "b"], "left_anti"), f"{folder}/rest")
+        found = [links.select("a", "b"), verified(more, sets).select("a", "b"), cross_links(may_link(large, sets, folder), sets, folder)]
+        links = written(found[0].unionAll(found[1]).unionAll(found[2]), f"{folder}/all-links")
+        labels = components(links, f"{folder}/second")
+
+        found = written(classes.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("c", "id").alias("c")), f"{kept}/found")
     out = table.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
     part = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     part = F.when(F.col("doc_id").isNotNull(), part)
