@@ -933,7 +933,8 @@ def all_metrics(spark, sf_dir):
 @registered()
 def segment(spark, sf_dir):
     """Inclusions found in every image, by brightness and by clusters of regions; the thresholds are those of small images."""
-    pixels = grey(spark, sf_dir).select("image", "y", "x", F.col("g").cast("double").alias("v"), (F.col("v") > -0.2).alias("inside"))
+    value = F.floor(F.least(F.greatest(F.col("v") * 500 + 128, F.lit(0.0)), F.lit(255.0)))
+    pixels = small_images(spark, sf_dir).select("image", "y", "x", value.alias("v"), (F.col("v") > -0.2).alias("inside"))
     settings = segmentation.Settings(least_pixels=10, kernel=3, regions=16, area=(1, 40), opening=1, closing=1, circularity=(0.0, 10.0), solidity=0.0)
     return segmentation.segment(pixels, settings)
 
