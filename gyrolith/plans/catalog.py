@@ -932,11 +932,12 @@ def all_metrics(spark, sf_dir):
 
 @registered()
 def segment(spark, sf_dir):
-    """Inclusions found in every image, by brightness and by clusters of regions; the thresholds are those of small images."""
-    value = F.floor(F.least(F.greatest(F.col("v") * 500 + 128, F.lit(0.0)), F.lit(255.0)))
-    pixels = small_images(spark, sf_dir).select("image", "y", "x", value.alias("v"), (F.col("v") > -0.2).alias("inside"))
-    settings = segmentation.Settings(least_pixels=10, kernel=3, regions=16, area=(1, 40), opening=1, closing=1, circularity=(0.0, 10.0), solidity=0.0)
-    return segmentation.segment(pixels, settings)
+    """Inclusions found in every image, by brightness and by clusters of regions, with the default settings; images are enlarged to 32 x 32 pixels."""
+    sizes = vectors(spark, sf_dir).select(F.col("id").alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    wide = raster.resized(small_images(spark, sf_dir), sizes, 32, 32)
+    bright = F.greatest(F.col("v"), F.lit(0.0)) / 0.3
+    value = F.floor(F.least(F.lit(255.0), bright * bright * 255))
+    return segmentation.segment(wide.select("image", "y", "x", value.alias("v"), (F.col("v") > -1).alias("inside")))
 
 
 @registered()
