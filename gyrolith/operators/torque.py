@@ -22,8 +22,15 @@ def nearest_rows(points: DataFrame, k: int) -> DataFrame:
     """(id, d, j, rank): the k + 1 nearest points of each point, itself among them, with their rank from 0."""
 
     def near(a, b, d):
-        at = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-        return pd.DataFrame({"id": np.repeat(a["id"], at.shape[1]), "d": np.take_along_axis(d, at, 1).ravel(), "j": b["id"][at].ravel()})
+        if d.shape[1] > k + 1:
+            hit = d <= np.partition(d, k, axis=1)[:, k : k + 1]
+            for row in np.flatnonzero(hit.sum(1) > k + 1):  # equal distances at the end: those of the smallest ids
+                hit[row] = False
+                hit[row, np.argsort(d[row], kind="stable")[: k + 1]] = True
+        else:
+            hit = np.ones(d.shape, bool)
+        row, at = np.nonzero(hit)
+        return pd.DataFrame({"id": a["id"][row], "d": d[row, at], "j": b["id"][at]})
 
     rows = against_all(points.select("id", "v"), near, "id long, d double, j long")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "j")) - 1
