@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls
+from gyrolith.llm import bpe, exact_dedup, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
+        "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql(), "op7_near_dup": near_dup.SQL, "op9_urls": urls.sql(), "op10_pii": pii.sql()}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql(), "op7_near_dup": near_dup.SQL, "op9_urls": urls.sql(), "op10_pii": pii.sql(), "op13_exact_dedup": exact_dedup.SQL}
