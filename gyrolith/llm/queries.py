@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, exact_dedup, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls
+from gyrolith.llm import bpe, exact_dedup, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls, whitening
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
+        "op11_whitening": whitening.op11_whitening,
         "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 
