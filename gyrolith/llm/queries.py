@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyrolith.llm import bpe, exact_dedup, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls, whitening
+from gyrolith.llm import bpe, exact_dedup, hard_negatives, licenses, line_dedup, media, near_dup, neighbours, packing, pii, toxicity, urls, whitening
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
         "op11_whitening": whitening.op11_whitening,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql(), "op7_near_dup": near_dup.SQL, "op9_urls": urls.sql(), "op10_pii": pii.sql(), "op13_exact_dedup": exact_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_licenses": licenses.sql(), "op7_near_dup": near_dup.SQL, "op9_urls": urls.sql(), "op10_pii": pii.sql(), "op12_hard_negatives": hard_negatives.SQL, "op13_exact_dedup": exact_dedup.SQL}
