@@ -34,20 +34,23 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
-def packed(points: DataFrame, block: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """(*within, n, i, data): the points of each block, sorted by id; a group of `within` has n blocks."""
+def packed(points: DataFrame, block: int, within: tuple[str, ...] = (), n: int | None = None) -> DataFrame:
+    """(*within, n, i, data): the points of each block, sorted by id; a group of `within` has n blocks. `n`: how many points there are, if known."""
     if within:
         sizes = points.groupBy(*within).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
         rows = points.join(sizes, list(within))
     else:
-        rows = points.withColumn("n", F.lit(-(-points.count() // block) or 1))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    keys = [*within, "n", "i"]
+        rows = points.withColumn("n", F.lit(-(-(points.count() if n is None else n) // block) or 1))
+    return packed_by(rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")), (*within, "n", "i"))
+
+
+def packed_by(rows: DataFrame, keys: tuple[str, ...] = ("i",)) -> DataFrame:
+    """(*keys, data): the points of each block, sorted by id."""
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys) + ", data binary"
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        held = {c: table[c].to_numpy() for c in table.column_names if c not in ("n", "i", "v")}
+        held = {c: table[c].to_numpy() for c in table.column_names if c not in ("n", "i", "v")} | {"i": table["i"][0].as_py()}
         if "v" in table.column_names:
             held["v"] = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
         return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "data": pa.array([pickle.dumps(held, 5)], pa.binary())})
@@ -145,7 +148,7 @@ def medians(points: DataFrame, value: Callable[[Points, Points, np.ndarray], np.
     return found.unionByName(ends)
 
 
-def over_images(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def over_images(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """`function` on the rows of many images at once: each call gets whole images, one after the other.
 
     An image stays in one task, a call takes no more images than it needs for IMAGE_ROWS rows.

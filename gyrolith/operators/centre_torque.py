@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrolith.functions.blocks import against_all, codes, distances, medians, over_images
+from gyrolith.functions.blocks import against_all, codes, distances, medians, over_images, packed_by
+from gyrolith.functions.folds import FEW, all_asks, block_size, folded
+from gyrolith.sources.tables import starts, written
 
 
 #: Centres that every task may hold.
@@ -97,22 +99,63 @@ def weighted_centres(points: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).select(F.col("cluster").alias("k"), F.transform("s", lambda s: s["x"]).alias("c"))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """One row: the mean silhouette of points (id, v, cluster). A point alone in its cluster has inner distance 0; fewer than two clusters give -1."""
+class Silhouettes:
+    """Each point's silhouette while blocks pass by, for points whose clusters lie together in few blocks.
 
-    def part(a, b, d):
-        kinds, at = np.unique(b["cluster"], return_inverse=True)
-        one = (at[:, None] == np.arange(len(kinds))).astype(float)
+    A cluster's mean distance is taken as soon as all its points have passed (`size` says how many they are), so what is
+    held for a point is its inner distance, the least outer one, and sums for the few clusters that are not through.
+    """
+
+    schema = "id long, score double"
+
+    def start(self, a):
         n = len(a["id"])
-        return pd.DataFrame({"id": np.repeat(a["id"], len(kinds)), "own": np.repeat(a["cluster"], len(kinds)), "c": np.tile(kinds, n), "total": (d @ one).ravel(), "n": np.tile(one.sum(0).astype(int), n)})
-
-    rows = against_all(points.select("id", "v", "cluster"), part, "id long, own long, c long, total double, n long")
-    sums = rows.groupBy("id", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    inner = F.max(F.when(F.col("c") == F.col("own"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)).otherwise(0.0)))
-    outer = F.min(F.when(F.col("c") != F.col("own"), F.col("total") / F.col("n")))
-    rows = sums.groupBy("id").agg(inner.alias("a"), outer.alias("b"))
-    score = F.when(F.col("b").isNull(), -1.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return rows.agg(F.avg(score).alias("silhouette"))
+        return {"inner": np.zeros(n), "outer": np.full(n, np.inf), "open": {}}
+
+    def step(self, state, a, b):
+        order = np.argsort(b["cluster"], kind="stable")
+        kinds, first, counts = np.unique(b["cluster"][order], return_index=True, return_counts=True)
+        sums = np.add.reduceat(distances(a["v"], b["v"][order]), first, axis=1)
+        sizes = b["size"][order][first]
+        self.through(state, a, kinds[counts == sizes], sums[:, counts == sizes], sizes[counts == sizes])
+        for k in np.flatnonzero(counts < sizes):
+            total, seen = state["open"].pop(kinds[k], (0.0, 0))
+            total, seen = total + sums[:, k], seen + counts[k]
+            if seen < sizes[k]:
+                state["open"][kinds[k]] = (total, seen)
+            else:
+                self.through(state, a, kinds[k : k + 1], total[:, None], sizes[k : k + 1])
+
+    def through(self, state, a, kinds, sums, sizes):
+        if len(kinds):
+            own = a["cluster"][:, None] == kinds[None, :]
+            at, k = np.nonzero(own)
+            state["inner"][at] = sums[at, k] / np.maximum(sizes[k] - 1, 1)
+            state["outer"] = np.minimum(state["outer"], np.where(own, np.inf, sums / sizes[None, :]).min(1))
+
+    def finish(self, state, a):
+        inner, outer = state["inner"], state["outer"]
+        top = np.maximum(inner, outer)
+        some = np.isfinite(outer)
+        score = np.where(some, np.where(top > 0, np.where(some, outer - inner, 0) / np.where(some & (top > 0), top, 1), 0.0), -1.0)
+        return pd.DataFrame({"id": a["id"], "score": score})
+
+
+def silhouette(points: DataFrame, block: int | None = None) -> DataFrame:
+    """One row: the mean silhouette of points (id, v, cluster). A point alone in its cluster has inner distance 0; fewer than two clusters give -1.
+
+    Points are dealt into blocks in order of their clusters: small clusters share a block, large ones have several of their own.
+    """
+    n = points.count()
+    block = block or block_size(points, n)
+    sizes = starts(points.groupBy("cluster").agg(F.count("*").alias("size")), "cluster", "size")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(block)))
+    rows = points.select("id", "v", "cluster").join(sizes, "cluster").withColumn("i", (F.floor(F.col("start") / F.lit(block)) + part).cast("int")).drop("start")
+    packs = packed_by(rows)
+    if n > FEW:
+        packs = written(packs)
+    count = 1 if n <= block else n // block + 2  # numbers up to this; some may have no points
+    return folded(packs, all_asks(packs, count), Silhouettes(), count).agg(F.avg("score").alias("silhouette"))
 
 
 # One image's regions, in numpy.

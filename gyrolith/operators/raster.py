@@ -1,4 +1,4 @@
-"""Grid operators over pixel rows (image, y, x, v): neighbourhoods as windows along rows and columns.
+"""Grid operators over pixel rows (image, y, x, v): neighbourhoods as windows along rows and columns, kernels over whole images.
 
 Grids are dense: every pixel of an image has its row. Beyond the border there are no pixels, so they don't count.
 """
@@ -7,8 +7,13 @@ from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from gyrolith.functions.blocks import codes, over_images
 
 
 def _frame(axis: str, radius: int):
@@ -16,18 +21,86 @@ def _frame(axis: str, radius: int):
     return Window.partitionBy("image", other).orderBy(axis).rangeBetween(-radius, radius)
 
 
+Offsets = list[tuple[int, int]]
+
+
+def runs_of(offsets: Offsets, largest: bool) -> dict[int, tuple[int, int]]:
+    """Each kernel row's run of columns; a maximum uses the reflected kernel, so that opening and closing stay in place."""
+    sign, rows = -1 if largest else 1, {}
+    for dy, dx in offsets:
+        rows.setdefault(sign * dy, []).append(sign * dx)
+    return {dy: (min(dx), max(dx)) for dy, dx in rows.items()}
+
+
+def extremes(grid: np.ndarray, inside: np.ndarray, steps: list[tuple[Offsets, bool]]) -> np.ndarray:
+    """Minima or maxima of a grid over kernels whose rows are runs, one after the other; places not inside don't count.
+
+    Extremes over 1, 2, 4, 8 ... columns come each from two of the level before; every run is the extreme of two of
+    them that overlap. So a kernel costs a pass over the grid for each of its rows, whatever its width.
+    """
+    for offsets, largest in steps:
+        f, empty = (np.maximum, -np.inf) if largest else (np.minimum, np.inf)
+        runs = runs_of(offsets, largest)
+        up = max(map(abs, runs))
+        side = max(max(-low, high, 0) for low, high in runs.values())
+        levels = [np.pad(np.where(inside, grid, empty), ((up, up), (side, side)), constant_values=empty)]
+        h, w = grid.shape
+        out = np.full(grid.shape, empty)
+        made: dict[tuple[int, int], np.ndarray] = {}
+        for dy, (low, high) in runs.items():
+            k = (high - low + 1).bit_length() - 1
+            while len(levels) <= k:
+                last, step = levels[-1], 1 << (len(levels) - 1)
+                levels.append(last.copy())
+                f(last[:, :-step], last[:, step:], out=levels[-1][:, :-step])
+            if (low, high) not in made:
+                a, b = side + low, side + high - (1 << k) + 1
+                made[low, high] = f(levels[k][:, a : a + w], levels[k][:, b : b + w])
+            f(out, made[low, high][up + dy : up + dy + h], out=out)
+        grid = out
+    return grid
+
+
+def with_extremes(pixels: DataFrame, made: dict[str, tuple[str, list[tuple[Offsets, bool]]]]) -> DataFrame:
+    """The pixels with new or changed columns: name -> (value, kernels one after the other, each with whether it takes maxima).
+
+    An image stays in one task, and a task lays many of them one below the other.
+    """
+    gap = max((abs(dy) for _, steps in made.values() for offsets, _ in steps for dy, _ in offsets), default=0)
+    fields = [f for f in pixels.schema.fields if f.name not in made] + [StructField(n, pixels.schema[v].dataType) for n, (v, _) in made.items()]
+    schema = StructType(fields)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, x = codes(pdf["image"]), pdf["x"].to_numpy(np.int64)
+        heights = pdf["y"].groupby(of).max().to_numpy() + 1
+        row = np.concatenate([[0], np.cumsum(heights + gap)])[of] + pdf["y"].to_numpy(np.int64)
+        inside = np.zeros((int(row.max()) + 1, int(x.max()) + 1), bool)
+        inside[row, x] = True
+        new = {}
+        for name, (value, steps) in made.items():
+            grid = np.zeros(inside.shape)
+            grid[row, x] = pdf[value]
+            new[name] = extremes(grid, inside, steps)[row, x].astype(pdf[value].dtype)
+        return pdf.assign(**new)[[f.name for f in fields]]
+
+    return over_images(pixels, run, schema).select(*pixels.columns, *(n for n in made if n not in pixels.columns))
+
+
 def square(pixels: DataFrame, radius: int, largest: bool, value: str = "v") -> DataFrame:
     """Minimum or maximum over the square of side 2 radius + 1."""
-    f = F.max if largest else F.min
-    return pixels.withColumn(value, f(value).over(_frame("x", radius))).withColumn(value, f(value).over(_frame("y", radius)))
+    return with_extremes(pixels, {value: (value, [(block(radius), largest)])})
+
+
+def block(radius: int) -> Offsets:
+    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
 
 
 def opened(pixels: DataFrame, radius: int, value: str = "v") -> DataFrame:
-    return square(square(pixels, radius, False, value), radius, True, value)
+    return with_extremes(pixels, {value: (value, [(block(radius), False), (block(radius), True)])})
 
 
 def closed(pixels: DataFrame, radius: int, value: str = "v") -> DataFrame:
-    return square(square(pixels, radius, True, value), radius, False, value)
+    return with_extremes(pixels, {value: (value, [(block(radius), True), (block(radius), False)])})
 
 
 def ellipse(size: int) -> list[tuple[int, int]]:
@@ -42,48 +115,42 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def with_kernel(pixels: DataFrame, offsets: list[tuple[int, int]], largest: bool, value: str = "v") -> DataFrame:
-    """Minimum or maximum over a kernel whose rows are runs, such as an ellipse, on dense grids.
-
-    Each run is a window along rows; one more window along columns picks, for every kernel row, the result of its run.
-    A maximum uses the reflected kernel, so that opening and closing stay in place.
-    """
-    sign = -1 if largest else 1
-    rows: dict[int, list[int]] = {}
-    for dy, dx in offsets:
-        rows.setdefault(sign * dy, []).append(sign * dx)
-    runs = {dy: (min(dx), max(dx)) for dy, dx in rows.items()}
-    f, best = (F.max, F.greatest) if largest else (F.min, F.least)
-    along = Window.partitionBy("image", "y").orderBy("x")
-    down = Window.partitionBy("image", "x").orderBy("y")
-    names = {run: f"__run{k}" for k, run in enumerate(sorted(set(runs.values())))}
-    wide = pixels.withColumns({n: f(value).over(along.rangeBetween(*run)) for run, n in names.items()})
-    picked = [f(names[run]).over(down.rangeBetween(dy, dy)) for dy, run in sorted(runs.items())]
-    return wide.withColumn(value, best(*picked) if len(picked) > 1 else picked[0]).drop(*names.values())
+def with_kernel(pixels: DataFrame, offsets: Offsets, largest: bool, value: str = "v") -> DataFrame:
+    """Minimum or maximum over a kernel whose rows are runs, such as an ellipse, on dense grids."""
+    return with_extremes(pixels, {value: (value, [(offsets, largest)])})
 
 
 def opened_by(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
     """Opening by an ellipse; a size of 0 or less changes nothing."""
-    return pixels if size <= 0 else with_kernel(with_kernel(pixels, ellipse(size), False, value), ellipse(size), True, value)
+    return pixels if size <= 0 else with_extremes(pixels, {value: (value, [(ellipse(size), False), (ellipse(size), True)])})
 
 
 def closed_by(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
-    return pixels if size <= 0 else with_kernel(with_kernel(pixels, ellipse(size), True, value), ellipse(size), False, value)
+    return pixels if size <= 0 else with_extremes(pixels, {value: (value, [(ellipse(size), True), (ellipse(size), False)])})
 
 
 def top_hat(pixels: DataFrame, size: int = 15) -> DataFrame:
     """The pixels with `top`: the value less its opening by an ellipse."""
-    low = opened_by(pixels.select("image", "y", "x", F.col("v").alias("__o")), size, "__o")
-    return pixels.join(low, ["image", "y", "x"]).withColumn("top", F.col("v") - F.col("__o")).drop("__o")
+    low = with_extremes(pixels, {"__o": ("v", [(ellipse(size), False), (ellipse(size), True)])})
+    return low.withColumn("top", F.col("v") - F.col("__o")).drop("__o")
 
 
 def local_contrast(pixels: DataFrame, radius: int = 7) -> DataFrame:
     """The pixels with `contrast`: where the value lies between the minimum and maximum of its square."""
-    rows = pixels.withColumns({"__a": F.col("v"), "__b": F.col("v")})
-    rows = square(square(rows, radius, False, "__a"), radius, True, "__b")
+    return with_contrast(with_extremes(pixels, {"__a": ("v", [(block(radius), False)]), "__b": ("v", [(block(radius), True)])}))
+
+
+def with_contrast(rows: DataFrame) -> DataFrame:
     return rows.withColumn("contrast", (F.col("v") - F.col("__a")) / (F.col("__b") - F.col("__a") + 1e-10)).drop("__a", "__b")
 
 
+def top_and_contrast(pixels: DataFrame, size: int = 15, radius: int = 7) -> DataFrame:
+    """The pixels with `top` and `contrast`, from one pass over each image."""
+    kernel = ellipse(size)
+    rows = with_extremes(pixels, {"__o": ("v", [(kernel, False), (kernel, True)]), "__a": ("v", [(block(radius), False)]), "__b": ("v", [(block(radius), True)])})
+    return with_contrast(rows.withColumn("top", F.col("v") - F.col("__o")).drop("__o"))
+
+
 def _beside(value: str, axis: str) -> tuple[Column, Column]:
     """The values one place before and after along an axis, mirrored at the border without repeating it."""
     other = "x" if axis == "y" else "y"

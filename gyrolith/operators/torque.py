@@ -6,35 +6,80 @@ Ties in distance go to the smaller id.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from gyrolith.functions.blocks import against_all, medians
-from gyrolith.sources.tables import shared_folder, written
+from gyrolith.functions.blocks import against_all, distances, medians, packed
+from gyrolith.functions.folds import FEW, MARGIN, all_asks, beyond, block_size, folded, gaps, over_all, over_near
+from gyrolith.sources.tables import removed, shared_folder, written
 
 SMALL = 1e-9
 MASSES = ("uniform", "density", "feature_sum", "feature_variance")
 
 
-def nearest_rows(points: DataFrame, k: int) -> DataFrame:
-    """(id, d, j, rank): the k + 1 nearest points of each point, itself among them, with their rank from 0."""
+def nearer(a: np.ndarray, b: dict, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, places in b) of the up to k nearest points of block b for some rows of `a`, smaller ids first among equals."""
+    d = distances(a[rows], b["v"])
+    if d.shape[1] <= k:
+        at = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        return d, at
+    hit = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    for row in np.flatnonzero(hit.sum(1) > k):  # equal distances at the end: those of the smallest ids
+        hit[row] = False
+        hit[row, np.argsort(d[row], kind="stable")[:k]] = True
+    at = np.nonzero(hit)[1].reshape(len(d), k)
+    return np.take_along_axis(d, at, 1), at
+
+
+class Nearest:
+    """The k nearest points of each point, itself among them, with columns that are wanted of them."""
+
+    schema = "id long, d double, j long, rank int"
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def start(self, a):
+        n = len(a["id"])
+        return {"d": np.full((n, self.k), np.inf), "j": np.full((n, self.k), np.iinfo(np.int64).max), "v": np.zeros((n, self.k, 0)), "m": np.zeros((n, self.k))}
 
-    def near(a, b, d):
-        if d.shape[1] > k + 1:
-            hit = d <= np.partition(d, k, axis=1)[:, k : k + 1]
-            for row in np.flatnonzero(hit.sum(1) > k + 1):  # equal distances at the end: those of the smallest ids
-                hit[row] = False
-                hit[row, np.argsort(d[row], kind="stable")[: k + 1]] = True
-        else:
-            hit = np.ones(d.shape, bool)
-        row, at = np.nonzero(hit)
-        return pd.DataFrame({"id": a["id"][row], "d": d[row, at], "j": b["id"][at]})
+    def step(self, state, a, b):
+        rows = np.arange(len(a["id"]))
+        if "centre" in b and a is not b:
+            rows = np.flatnonzero(beyond(gaps(a["v"], b["centre"][None])[:, 0], b["radius"]) <= state["d"][:, -1])
+        if not len(rows):
+            return
+        d, at = nearer(a["v"], b, self.k, rows)
+        d, j = np.hstack([state["d"][rows], d]), np.hstack([state["j"][rows], b["id"][at]])
+        best = np.lexsort((j, d), axis=-1)[:, : self.k]
+        state["d"][rows], state["j"][rows] = np.take_along_axis(d, best, 1), np.take_along_axis(j, best, 1)
+        self.carry(state, rows, best, at, b)
 
-    rows = against_all(points.select("id", "v"), near, "id long, d double, j long")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "j")) - 1
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    def carry(self, state, rows, best, at, b):
+        """Nothing but ids and distances are kept of the others."""
+
+    def bounds(self, state, a):
+        return state["d"][:, -1]
+
+    def narrowed(self, bounds, a, summaries, centres):
+        whole = np.where(summaries["size"] >= self.k, (centres + summaries["radius"]) * (1 + MARGIN), np.inf)
+        return np.minimum(bounds, whole.min(1))
+
+    def matters(self, a, summaries):
+        return None
+
+    def finish(self, state, a):
+        n, row, rank = len(a["id"]), *np.nonzero(np.isfinite(state["d"]))
+        return pd.DataFrame({"id": a["id"][row], "d": state["d"][row, rank], "j": state["j"][row, rank], "rank": rank.astype(np.int32)}) if n else pd.DataFrame(columns=["id", "d", "j", "rank"])
+
+
+def nearest_rows(points: DataFrame, k: int, block: int | None = None, few: int = FEW) -> DataFrame:
+    """(id, d, j, rank): the k + 1 nearest points of each point, itself among them, with their rank from 0."""
+    return over_near(points.select("id", "v"), Nearest(k + 1), block, few)
 
 
 def mass(points: DataFrame, method: str = "density", k: int = 5) -> DataFrame:
@@ -66,40 +111,112 @@ def distance_summary(points: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"), F.sum("total").alias("total"))
 
 
-def torque(points: DataFrame, power: float = 2.0, neighbours: int | None = None) -> DataFrame:
+class Pull:
+    """The sum over others of m / (d ** power + 1e-9) times the difference, one row a point."""
+
+    schema = "id long, t array<double>"
+
+    def __init__(self, power: float):
+        self.power = power
+
+    def start(self, a):
+        return np.zeros(a["v"].shape)
+
+    def step(self, state, a, b):
+        w = b["m"] / (distances(a["v"], b["v"]) ** self.power + SMALL) * (a["id"][:, None] != b["id"][None, :])
+        for row, (r, p) in enumerate(zip(w, a["v"], strict=True)):
+            state[row] += r @ (b["v"] - p)
+
+    def pulls(self, state, a) -> np.ndarray:
+        return state
+
+    def finish(self, state, a):
+        return pd.DataFrame({"id": a["id"], "t": list(self.pulls(state, a))})
+
+
+class NearPull(Nearest):
+    """The pull of the next so many after the nearest point (in general the point itself), as a weighted mean."""
+
+    schema = Pull.schema
+
+    def __init__(self, power: float, neighbours: int):
+        super().__init__(neighbours + 1)
+        self.power = power
+
+    def start(self, a):
+        state = super().start(a)
+        state["v"] = np.zeros((*state["d"].shape, a["v"].shape[1]))
+        return state
+
+    def carry(self, state, rows, best, at, b):
+        state["m"][rows] = np.take_along_axis(np.hstack([state["m"][rows], b["m"][at]]), best, 1)
+        state["v"][rows] = np.take_along_axis(np.concatenate([state["v"][rows], b["v"][at]], 1), best[:, :, None], 1)
+
+    def pulls(self, state, a):
+        known = np.isfinite(state["d"][:, 1:])
+        w = np.where(known, state["m"][:, 1:] / (np.where(known, state["d"][:, 1:], 1.0) ** self.power + SMALL), 0.0)
+        total = w.sum(1)
+        t = np.einsum("ij,ijk->ik", w, state["v"][:, 1:] - a["v"][:, None])
+        return t / np.where(total > 0, total, 1.0)[:, None]
+
+    def finish(self, state, a):
+        return pd.DataFrame({"id": a["id"], "t": list(self.pulls(state, a))})
+
+
+def pull(power: float, neighbours: int | None):
+    return Pull(power) if neighbours is None else NearPull(power, neighbours)
+
+
+def torque(points: DataFrame, power: float = 2.0, neighbours: int | None = None, block: int | None = None) -> DataFrame:
     """(id, t array<double>) for points (id, v, m): the sum over others of m / (d ** power + 1e-9) times the difference.
 
     With `neighbours`, only the next so many after the nearest (in general the point itself), as a weighted mean.
     """
-    if neighbours is None:
+    over = over_all if neighbours is None else over_near
+    return over(points.select("id", "v", "m"), pull(power, neighbours), block)
 
-        def pull(a, b, d):
-            w = b["m"] / (d**power + SMALL) * (a["id"][:, None] != b["id"][None, :])
-            t = np.stack([r @ (b["v"] - p) for r, p in zip(w, a["v"], strict=True)])
-            return pd.DataFrame({"id": a["id"], "t": list(t)})
 
-        parts = against_all(points.select("id", "v", "m"), pull, "id long, t array<double>").select("id", F.posexplode("t").alias("at", "t"))
-        sums = parts.groupBy("id", "at").agg(F.sum("t").alias("t"))
-    else:
-        near = nearest_rows(points, neighbours).where("rank > 0").join(points.select(F.col("id").alias("j"), "m", F.col("v").alias("o")), "j")
-        near = near.withColumn("w", F.col("m") / (F.pow("d", F.lit(power)) + SMALL)).join(points.select("id", "v"), "id")
-        parts = near.select("id", "w", F.posexplode(F.zip_with("o", "v", lambda o, v: o - v)).alias("at", "t"))
-        sums = parts.groupBy("id", "at").agg((F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("t"))
-    return sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("s")).select("id", F.transform("s", lambda s: s["t"]).alias("t"))
+class Heavier:
+    """The nearest point of strictly greater mass."""
 
+    schema = "id long, d double, j long"
 
-def nearest_heavier(points: DataFrame) -> DataFrame:
-    """(id, parent, d) for points (id, v, m): the nearest of strictly greater mass; null where there is none."""
+    def start(self, a):
+        n = len(a["id"])
+        return {"d": np.full(n, np.inf), "j": np.full(n, np.iinfo(np.int64).max)}
 
-    def part(a, b, d):
-        d = np.where(b["m"][None, :] > a["m"][:, None], d, np.inf)
-        at = d.argmin(1)
-        best = d[np.arange(len(d)), at]
-        ok = np.isfinite(best)
-        return pd.DataFrame({"id": a["id"][ok], "d": best[ok], "j": b["id"][at][ok]})
+    def step(self, state, a, b):
+        may = a["m"] < b["m"].max(initial=-np.inf)
+        if "centre" in b and a is not b:
+            may &= beyond(gaps(a["v"], b["centre"][None])[:, 0], b["radius"]) <= state["d"]
+        rows = np.flatnonzero(may)
+        if len(rows):
+            d = np.where(b["m"][None, :] > a["m"][rows, None], distances(a["v"][rows], b["v"]), np.inf)
+            at = d.argmin(1)
+            d, j = d[np.arange(len(rows)), at], b["id"][at]
+            better = (d < state["d"][rows]) | ((d == state["d"][rows]) & np.isfinite(d) & (j < state["j"][rows]))
+            state["d"][rows[better]], state["j"][rows[better]] = d[better], j[better]
+
+    def bounds(self, state, a):
+        return state["d"]
 
-    best = against_all(points.select("id", "v", "m"), part, "id long, d double, j long").groupBy("id").agg(F.min(F.struct("d", "j")).alias("b"))
-    return points.select("id").join(best, "id", "left").select("id", F.col("b.j").alias("parent"), F.col("b.d").alias("d"))
+    def narrowed(self, bounds, a, summaries, centres):
+        """The heaviest point of a block is a heavier one for many points of others."""
+        tops = np.where(summaries["mass"][None, :] > a["m"][:, None], gaps(a["v"], summaries["top"]) * (1 + MARGIN), np.inf)
+        return np.minimum(bounds, tops.min(1))
+
+    def matters(self, a, summaries):
+        return summaries["mass"][None, :] > a["m"][:, None]
+
+    def finish(self, state, a):
+        ok = np.isfinite(state["d"])
+        return pd.DataFrame({"id": a["id"][ok], "d": state["d"][ok], "j": state["j"][ok]})
+
+
+def nearest_heavier(points: DataFrame, block: int | None = None, few: int = FEW) -> DataFrame:
+    """(id, parent, d) for points (id, v, m): the nearest of strictly greater mass; null where there is none."""
+    best = over_near(points.select("id", "v", "m"), Heavier(), block, few)
+    return points.select("id").join(best, "id", "left").select("id", F.col("j").alias("parent"), "d")
 
 
 def edge_torques(points: DataFrame, parents: DataFrame) -> DataFrame:
@@ -177,23 +294,43 @@ def connection_clusters(points: DataFrame, threshold: str | float = "median") ->
     return walk_labels(points, links)
 
 
-def moved(points: DataFrame, rate: float = 0.01, power: float = 2.0, neighbours: int | None = None) -> DataFrame:
-    """One step: points (id, v, m) after following their torque."""
-    t = torque(points, power, neighbours)
-    return points.join(t, "id").select("id", F.zip_with("v", "t", lambda v, x: v + rate * x).alias("v"), "m")
+class Step:
+    """One step of all points of a block along their pull: the block anew, and how far its points went."""
+
+    schema = "i int, data binary, far double"
 
+    def __init__(self, rate: float, pull):
+        self.rate, self.pull, self.start, self.step = rate, pull, pull.start, pull.step
 
-def iterate(points: DataFrame, rate: float = 0.01, power: float = 2.0, neighbours: int | None = None, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """Positions after at most `rounds` steps; stops from the second on when the norm of the whole move over n is below the tolerance."""
-    folder, n = shared_folder(points.sparkSession), points.count()
-    points = written(points.select("id", "v", "m"), f"{folder}/0")
+    def finish(self, state, a):
+        move = self.rate * self.pull.pulls(state, a)
+        return pd.DataFrame({"i": [a["i"]], "data": [pickle.dumps({**a, "v": a["v"] + move}, 5)], "far": [float(np.square(move).sum())]})
+
+
+def iterate(points: DataFrame, rate: float = 0.01, power: float = 2.0, neighbours: int | None = None, rounds: int = 100, tolerance: float = 1e-4, block: int | None = None) -> DataFrame:
+    """Positions after at most `rounds` steps; stops from the second on when the norm of the whole move over n is below the tolerance.
+
+    Points are packed into blocks once; a round reads the blocks of the one before, writes them moved, and removes those.
+    """
+    spark, folder, n = points.sparkSession, shared_folder(points.sparkSession), points.count()
+    block = block or block_size(points, n)
+    count, pulls = -(-n // block) or 1, pull(power, neighbours)
+    packs = written(packed(points.select("id", "v", "m"), block, n=n).select("i", "data"), f"{folder}/0")
     for k in range(1, rounds + 1):
-        new = written(moved(points, rate, power, neighbours), f"{folder}/{k}")
-        far = new.join(points.select("id", F.col("v").alias("w")), "id").agg(F.sum(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))).first()[0]
-        points = new
-        if k > 1 and (far or 0.0) ** 0.5 / max(1, n) < tolerance:
+        seen = Observation()  # the norm comes with the write
+        packs = written(folded(packs.select("i", "data"), all_asks(packs, count), Step(rate, pulls), count).observe(seen, F.sum("far").alias("far")), f"{folder}/{k}")
+        removed(spark, f"{folder}/{k - 1}")
+        far = seen.get["far"] or 0.0
+        if k > 1 and far**0.5 / max(1, n) < tolerance:
             break
-    return points
+
+    def rows(batches):
+        for batch in batches:
+            for data in batch["data"]:
+                a = pickle.loads(data)
+                yield pd.DataFrame({"id": a["id"], "v": list(a["v"]), "m": a["m"]})
+
+    return packs.select("data").mapInPandas(rows, f"id {points.schema['id'].dataType.simpleString()}, v array<double>, m double")
 
 
 def coincident_labels(points: DataFrame) -> DataFrame:

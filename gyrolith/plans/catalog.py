@@ -7,7 +7,7 @@ Doubles are rounded alike on both sides; adding 0.0 turns -0.0 into 0.0.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gyrolith.operators import annotations, centre_torque, components, features, matching, metrics, raster, torque
 from gyrolith.plans import clustering, segmentation
 from gyrolith.sources import png
-from gyrolith.sources.tables import DETECTIONS, as_arrays, boxes_of, encoded, list_files, read_arrays, shared_folder, small_images, vectors, write_csv, write_files, write_json, written
+from gyrolith.sources.tables import DETECTIONS, as_arrays, boxes_of, encoded, list_files, read_arrays, shared_folder, small_images, tidied, vectors, write_csv, write_files, write_json, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ _SQL: dict[str, str] = {}
 
 def registered(sql: str | None = None):
     def add(f):
-        _QUERIES[f.__name__] = f
+        _QUERIES[f.__name__] = wraps(f)(lambda spark, sf_dir: tidied(spark, lambda: f(spark, sf_dir)))
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -147,8 +147,8 @@ def iterative_2steps(spark, sf_dir):
 
 @registered()
 def iterative_kmeans(spark, sf_dir):
-    """k-means after 3 rounds of moves; the operator's default is up to 100 with a tolerance of 1e-4, so points may be far from its own stop."""
-    return torque.cluster(vectors(spark, sf_dir), "iterative", n_clusters=10, rounds=3)[0]
+    """k-means on the places that points have when the iteration stops by itself."""
+    return torque.cluster(vectors(spark, sf_dir), "iterative", n_clusters=10)[0]
 
 
 @registered(f"""WITH {MASS}, c0 AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM p),

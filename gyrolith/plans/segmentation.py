@@ -77,7 +77,7 @@ def segment(pixels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     enough = pixels.where(inside).groupBy("image").agg(F.count("*").alias("k")).where(F.col("k") >= settings.least_pixels).select("image")
     pixels = written(pixels.join(enough, "image", "left_semi").select("image", "y", "x", F.col("v").cast("double").alias("v"), "inside"))
     sizes = written(pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
-    rich = written(raster.local_contrast(raster.top_hat(raster.crop(pixels, inside, settings.below), settings.kernel), settings.kernel // 2))
+    rich = written(raster.top_and_contrast(raster.crop(pixels, inside, settings.below), settings.kernel, settings.kernel // 2))
     spots = raster.bright_pixels(rich, inside).select("image", "y", "x").union(raster.spiky_pixels(rich, inside).select("image", "y", "x"))
     found = written(spots.union(region_mask(rich, settings)))
     kept = cleaned(pixels, found, sizes, settings)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIXELS = "image string, y int, x int, v double"
@@ -19,16 +21,23 @@ DETECTIONS = "filename string, image_shape array<int>, num_detections int, bboxe
 IMAGES = ("png", "jpg", "jpeg", "tif", "bmp")
 
 
+_scratch: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a local one is made only for a local session that has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
 
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gyrolith-")
-    return f"{root.rstrip('/')}/gyrolith-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/gyrolith-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -38,6 +47,41 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def tidied(spark: SparkSession, rows: Callable[[], DataFrame]) -> DataFrame:
+    """What `rows` gives, written where it made tables on the way; these go, also when it fails."""
+    _scratch.append([])
+    made: list[str] = []
+    try:
+        found = rows()
+        made = _scratch.pop()
+        return written(found) if made else found
+    except BaseException:
+        made = made or _scratch.pop()
+        raise
+    finally:
+        for path in made:
+            with suppress(Exception):  # a folder that can't be deleted is no reason to lose results
+                removed(spark, path)
+
+
+def starts(sizes: DataFrame, key: str, size: str) -> DataFrame:
+    """The rows of distinct keys with `start`, the sum of the sizes before theirs in order of the keys; ranges are summed apart and then shifted."""
+    ranged = written(sizes.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()))
+    totals = ranged.groupBy("__part").agg(F.sum(size).alias("__sum"))  # a row for each partition
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.broadcast(totals.select("__part", before(Window.orderBy("__part"), "__sum").alias("__before")))
+    own = ranged.withColumn("start", before(Window.partitionBy("__part").orderBy(key), size))
+    return own.join(shift, "__part").withColumn("start", F.col("start") + F.col("__before")).drop("__part", "__before")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, v, label) of the embeddings, with double components."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
