@@ -1,6 +1,6 @@
 """Pairs of files by name: equi-joins on candidate names, each with a priority, and the best candidate wins.
 
-Where several are equally good the first by name is taken, whatever order a file system lists them in.
+Names that hold other names are found by one gram a name. Where several are equally good the first by name is taken, whatever order a file system lists them in.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyrolith.functions.grams import containing
+
 
 def base_of(file: Column) -> Column:
     return F.regexp_replace(file, r"\.[^.]*$", "")
@@ -23,25 +25,13 @@ def best(rows: DataFrame, key: str, *order) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def parts_of(names: DataFrame, column: Column, part: str, needles: DataFrame, needle: str) -> DataFrame:
-    """The names with every part of `column` that is as long as one of the needles: with them `contains` becomes an equi-join.
-
-    File systems bound a name's length, so lengths are few.
-    """
-    lengths = [r[0] for r in needles.select(F.length(needle)).distinct().collect() if r[0]]
-    if not lengths:
-        return names.withColumn(part, F.lit("")).limit(0)
-    rows = names.withColumn("__whole", column).withColumn("__n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where("length(__whole) >= __n")
-    rows = rows.withColumn("__a", F.explode(F.sequence(F.lit(1), F.length("__whole") - F.col("__n") + 1)))
-    return rows.withColumn(part, F.substring(F.col("__whole"), F.col("__a"), F.col("__n"))).drop("__whole", "__n", "__a").distinct()
-
-
 def match_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     """(image, mask, exact): the mask of the same name, else the first whose cleaned base is the image's or whose name contains it."""
     left = images.select("image", base_of(F.col("image")).alias("b")).where("b <> ''")
     same = left.select("image").join(masks.select(F.col("mask").alias("image"), "mask"), "image").select("image", "mask", F.lit(True).alias("exact"))
     cleaned = masks.select("mask", without(base_of(F.col("mask")), "_stone_mask", "_mask").alias("b"))
-    near = left.join(cleaned.unionByName(parts_of(masks.select("mask"), F.col("mask"), "b", left, "b")), "b").select("image", "mask", F.lit(False).alias("exact"))
+    held = containing(left.select(F.col("image").alias("item"), F.col("b").alias("n")), masks.select(F.col("mask").alias("doc"), F.col("mask").alias("t")))
+    near = left.join(cleaned, "b").select("image", "mask").unionByName(held.select(F.col("item").alias("image"), F.col("doc").alias("mask"))).withColumn("exact", F.lit(False))
     return best(same.unionByName(near), "image", F.col("exact").desc(), "mask")
 
 
@@ -86,7 +76,8 @@ def match_patterns(truths: DataFrame, predictions: DataFrame, arrays: bool = Tru
 
     name = F.element_at(F.split("prediction", "/"), -1)
     named = files.withColumn("name", F.expr(f"left(element_at(split(prediction, '/'), -1), length(element_at(split(prediction, '/'), -1)) - {len(end)})")).where(F.contains(F.lower(name), F.lit("stone")))
-    held = left.join(parts_of(named, F.col("name"), "clean", left, "clean"), "clean")
+    held = containing(left.select(F.col("truth").alias("item"), F.col("clean").alias("n")), named.select(F.col("prediction").alias("doc"), F.col("name").alias("t")))
+    held = held.select(F.col("item").alias("truth"), F.col("doc").alias("prediction")).join(left.select("truth", "clean"), "truth").join(named, "prediction")
     rest = F.expr("substring(name, length(clean) + 1)")
     kind = F.when(F.startswith("name", "clean") & F.contains(rest, F.lit("stone")), 4)
     loose = held.withColumn("priority", kind.otherwise(5) if arrays else kind).where("priority IS NOT NULL")
@@ -98,41 +89,8 @@ def common_names(a: DataFrame, b: DataFrame, name: str = "image") -> DataFrame:
     return a.select(name).intersect(b.select(name))
 
 
-#: Characters of a short needle's start that texts are searched for by key.
-START = 8
-
-
-def starts_of(text: str, length: int) -> Column:
-    """Hashes of all runs of so many characters of a text, each once; characters are split once."""
-
-    def runs(chars):
-        keys = F.transform(F.sequence(F.lit(0), F.size(chars) - length), lambda k: F.xxhash64(F.lit(length), *(F.get(chars, k + i) for i in range(length))))
-        return F.when(F.size(chars) >= length, keys).otherwise(F.array().cast("array<bigint>"))
-
-    return F.array_distinct(F.transform(F.array(F.split(F.col(text), "")), runs)[0])
-
-
-def contained(needles: DataFrame, haystacks: DataFrame, needle: str = "text", haystack: str = "text", width: int = 3) -> DataFrame:
-    """(item_id, doc_id) where the haystack's text contains the needle's.
-
-    A needle of enough words is looked up by words that lie wholly within it; only texts that hold these words in
-    sequence are searched. A shorter one is looked up by its first START characters, or all that it has.
-    """
-    words = lambda c: F.split(F.col(c), " ", -1)
-    own = needles.select("item_id", F.col(needle).alias("n")).withColumn("w", words("n"))
-    keyed = own.where(F.size("w") >= width + 2).select("item_id", "n", F.xxhash64(F.slice("w", 2, width)).alias("key"))
-    texts = haystacks.select("doc_id", F.col(haystack).alias("t"))
-    grams = texts.withColumn("w", words("t")).where(F.size("w") >= width)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda k: F.xxhash64(F.slice("w", k, width))))
-    hits = grams.select("doc_id", F.explode(keys).alias("key")).join(keyed.select("item_id", "key"), "key").select("item_id", "doc_id")
-
-    short = own.where(F.size("w") < width + 2).select("item_id", "n", F.least(F.length("n"), F.lit(START)).alias("size"))
-    for size in sorted(r["size"] for r in short.select("size").distinct().collect()):  # at most START + 1
-        if size:
-            some = short.where(F.col("size") == size).withColumn("head", F.left("n", F.lit(size))).select("item_id", starts_of("head", size)[0].alias("key"))
-            found = texts.select("doc_id", F.explode(starts_of("t", size)).alias("key")).join(some, "key")
-        else:  # an empty needle is in every text
-            found = texts.where("t IS NOT NULL").withColumn("key", F.lit(0)).join(short.where("size = 0").select("item_id", F.lit(0).alias("key")), "key")
-        hits = hits.unionByName(found.select("item_id", "doc_id"))
-    found = hits.distinct().join(texts, "doc_id").join(own.select("item_id", "n"), "item_id").where(F.contains("t", "n"))
-    return found.select("item_id", "doc_id")
+def contained(needles: DataFrame, haystacks: DataFrame, needle: str = "text", haystack: str = "text") -> DataFrame:
+    """(item_id, doc_id) where the haystack's text contains the needle's."""
+    own = needles.select(F.col("item_id").alias("item"), F.col(needle).alias("n"))
+    found = containing(own, haystacks.select(F.col("doc_id").alias("doc"), F.col(haystack).alias("t")))
+    return found.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))

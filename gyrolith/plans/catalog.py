@@ -151,13 +151,20 @@ def iterative_kmeans(spark, sf_dir):
     return torque.cluster(vectors(spark, sf_dir), "iterative", n_clusters=10)[0]
 
 
-@registered(f"""WITH {MASS}, c0 AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM p),
+TRIPLES = MASS.replace(POINTS, "p AS (SELECT a.vec_id AS id, CAST(a.label AS BIGINT) AS label, CAST(b.embedding AS DOUBLE[]) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 3)")
+
+
+@registered(f"""WITH {TRIPLES}, c0 AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM p),
 w0 AS (SELECT i, j, m / (d ** 2 + 1e-9) AS w FROM d JOIN m ON m.id = j WHERE i <> j),
 c1 AS (SELECT i AS id, a.pos, any_value(a.x) + 0.01 * sum(w * (b.x - a.x)) AS x FROM w0 JOIN c0 a ON a.id = i JOIN c0 b ON b.id = j AND b.pos = a.pos GROUP BY i, a.pos),
-s1 AS (SELECT id, list(round(x, 9) ORDER BY pos) AS v FROM c1 GROUP BY id) SELECT a.id, min(b.id) AS cluster FROM s1 a JOIN s1 b ON a.v = b.v GROUP BY a.id""")
+s1 AS (SELECT id, list(round(x, 9) + 0.0 ORDER BY pos) AS v FROM c1 GROUP BY id) SELECT a.id, min(b.id) AS cluster FROM s1 a JOIN s1 b ON a.v = b.v GROUP BY a.id""")
 def iterative_nearest(spark, sf_dir):
-    """One step of the iteration without a number of clusters: each point is its own nearest, or the first of those at its place."""
-    return torque.cluster(vectors(spark, sf_dir), "iterative", rounds=1)[0]
+    """The iteration without a number of clusters, after one step: the first of the points at the same place. Each three ids have one vector; places are rounded, as sums differ in their last bits."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    points = written(rows.select("id", (F.col("id") - F.col("id") % 3).alias("of")).join(rows.withColumnRenamed("id", "of"), "of").select("id", "v"))
+    weighed = written(points.join(torque.mass(points, "density"), "id"))
+    places = torque.iterate(weighed, rounds=1).select("id", F.transform("v", lambda x: rounded(x, 9)).alias("v"))
+    return torque.coincident_labels(places)
 
 
 @registered(f"WITH {HEAVIER} SELECT p.id, h.parent, round(h.d, 6) AS d FROM p LEFT JOIN h ON h.id = p.id")
@@ -513,13 +520,17 @@ def red_pixels(spark, sf_dir):
     return rows.select("image", "k", h.cast("long").alias("hue"), s.cast("long").alias("saturation"), raster.red(b, g, r).alias("red"))
 
 
-COLOUR = GREY + ", cl AS (SELECT image, y, x, g AS b, least(255, g * 2) AS g, greatest(0, 255 - g) AS r FROM gr)"
+COLOUR = GREY + """, cl AS (SELECT image, y, x, CASE WHEN image % 3 = 2 AND (y * 8 + x) % 5 = 0 THEN 0 ELSE q END AS b, CASE WHEN image % 3 = 2 AND (y * 8 + x) % 5 = 0 THEN 0 ELSE q END AS g, q AS r
+  FROM (SELECT image, y, x, CASE image % 3 WHEN 0 THEN CASE y * 8 + x WHEN 0 THEN 0 WHEN 63 THEN 255 ELSE least(255, greatest(0, 4 * (g - 96))) END WHEN 1 THEN CASE WHEN g > 127 THEN 255 ELSE 0 END ELSE least(200, greatest(20, g)) END AS q FROM gr))"""
 
 
 def coloured(spark, sf_dir):
-    """Every grey level as a colour of three channels."""
-    g = F.col("g")
-    return grey(spark, sf_dir).select("image", "y", "x", g.alias("b"), F.least(F.lit(255), g * 2).alias("g"), F.greatest(F.lit(0), 255 - g).alias("r"))
+    """Pictures of three kinds, by turns: grey levels over the whole range, black and white, and middle grey levels with every fifth pixel red."""
+    g, kind, at = F.col("g"), F.col("image") % 3, F.col("y") * 8 + F.col("x")
+    red = (kind == 2) & (at % 5 == 0)
+    level = F.when(kind == 0, F.when(at == 0, 0).when(at == 63, 255).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), 4 * (g - 96))))).when(kind == 1, F.when(g > 127, 255).otherwise(0)).otherwise(F.least(F.lit(200), F.greatest(F.lit(20), g)))
+    rows = grey(spark, sf_dir).withColumn("q", level.cast("long"))
+    return rows.select("image", "y", "x", F.when(red, 0).otherwise(F.col("q")).alias("b"), F.when(red, 0).otherwise(F.col("q")).alias("g"), F.col("q").alias("r"))
 
 
 @registered(f"""WITH {COLOUR}, l AS (SELECT *, floor(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r + 0.5) AS v, greatest(b, g, r) AS t, greatest(b, g, r) - least(b, g, r) AS s FROM cl),
@@ -670,9 +681,26 @@ def intense_spots(spark, sf_dir):
     return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
 
 
-@registered()
+SHAPES = """bb AS (SELECT image, component, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM cc GROUP BY image, component),
+fs AS (SELECT image, component, y, unnest(range(x1 - 1, x2 + 2)) AS x FROM (SELECT *, unnest(range(y1 - 1, y2 + 2)) AS y FROM bb)),
+fb AS (SELECT fs.* FROM fs ANTI JOIN cc USING (image, component, y, x)),
+fo AS (SELECT image, component, y1 - 1 AS y, x1 - 1 AS x FROM bb UNION SELECT fb.image, fb.component, fb.y, fb.x FROM fo JOIN fb ON fb.image = fo.image AND fb.component = fo.component AND abs(fb.y - fo.y) + abs(fb.x - fo.x) = 1),
+fi AS (SELECT fs.* FROM fs ANTI JOIN fo USING (image, component, y, x)),
+pt AS (SELECT image, component, y - dy AS v, x - dx AS u, sum(bit) AS bits, count(*) AS n FROM fi, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) o(dy, dx, bit) GROUP BY ALL),
+po AS (SELECT image, component, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS area, CAST(sum(CASE WHEN n = 2 AND bits NOT IN (6, 9) THEN 1 ELSE 0 END) AS DOUBLE) AS straight, CAST(sum(CASE WHEN n = 3 THEN 1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END) AS DOUBLE) AS across FROM pt GROUP BY ALL),
+er AS (SELECT image, component, y, min(x) AS l, max(x) AS r FROM cc GROUP BY ALL),
+en AS (SELECT m.image, m.component, m.y, min(a.l + CASE WHEN a.y = b.y THEN 0 ELSE (b.l - a.l) * (m.y - a.y) / (b.y - a.y) END) AS l, max(a.r + CASE WHEN a.y = b.y THEN 0 ELSE (b.r - a.r) * (m.y - a.y) / (b.y - a.y) END) AS r
+  FROM er m JOIN er a ON a.image = m.image AND a.component = m.component AND a.y <= m.y JOIN er b ON b.image = m.image AND b.component = m.component AND b.y >= m.y GROUP BY ALL),
+hu AS (SELECT image, component, coalesce(sum(w), 0) AS hull FROM (SELECT image, component, ((r - l) + lead(r - l) OVER (PARTITION BY image, component ORDER BY y)) / 2 AS w FROM en) GROUP BY ALL)
+SELECT image, component, area AS outline_area, round(straight + across * sqrt(2.0), 6) AS perimeter, round(4 * pi() * area / ((straight + across * sqrt(2.0)) ** 2 + 1e-10), 6) AS circularity,
+  round(CASE WHEN hull > 0 THEN area / hull ELSE 0 END, 6) AS solidity FROM po JOIN hu USING (image, component)"""
+
+
+@registered(f"WITH RECURSIVE {PX}, {PARTS}, {SHAPES}")
 def component_shapes(spark, sf_dir):
-    return components.shape_table(parts(spark, sf_dir))
+    """Outlines by 2 x 2 patterns; in SQL each component is flooded around by itself, and its hull is the envelope of its rows' ends."""
+    rows = components.shape_table(parts(spark, sf_dir))
+    return rows.select("image", "component", "outline_area", *(rounded(c).alias(c) for c in ("perimeter", "circularity", "solidity")))
 
 
 @registered(f"""WITH RECURSIVE {PX}, mk AS (SELECT image, y, x FROM px WHERE v > 0.02), fr AS (SELECT p.id AS image, y, x FROM p, range(-1, 9) a(y), range(-1, 9) b(x)),
@@ -826,6 +854,13 @@ def passages_contained(spark, sf_dir):
     return matching.contained(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@registered("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, CAST(3 + b.item_id % 12 AS BIGINT)))")
+def starts_contained(spark, sf_dir):
+    """Short needles: the first 3 to 14 characters of each passage."""
+    starts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.expr("left(text, CAST(3 + item_id % 12 AS INT))").alias("text"))
+    return matching.contained(starts, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 # Sources and sinks: files are written to a shared folder, listed and read again.
 
 LABELS = PX + ", lm AS (SELECT image, y, x, CASE WHEN v > 0.1 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END AS v FROM px)"
@@ -952,7 +987,7 @@ d AS (SELECT part, a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM pt, a
 k AS (SELECT part, i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) - 1 AS r FROM d), q AS (SELECT part, i AS id, 1 / (avg(d) + 1e-9) AS raw FROM k WHERE r BETWEEN 1 AND 5 GROUP BY part, i),
 m AS (SELECT part, id, raw / sum(raw) OVER (PARTITION BY part) AS m FROM q),
 h AS (SELECT d.part, d.i AS id, d.j AS parent, d.d FROM d JOIN m a ON a.id = d.i JOIN m b ON b.id = d.j WHERE b.m > a.m QUALIFY row_number() OVER (PARTITION BY d.i ORDER BY d.d, d.j) = 1),
-f AS (SELECT d.part, quantile_cont(a.m * b.m / (d.d * d.d + 1e-9), 0.5) AS mid FROM d JOIN m a ON a.id = d.i JOIN m b ON b.id = d.j GROUP BY d.part),
+f AS (SELECT part, 0.79 / (count(*) * count(*)) AS mid FROM m GROUP BY part),
 t AS (SELECT h.part, h.id, parent FROM h JOIN m a ON a.id = h.id JOIN m b ON b.id = parent JOIN f ON f.part = h.part WHERE a.m * b.m / (d * d + 1e-9) <= mid),
 u AS (SELECT m.part, m.id, t.parent FROM m LEFT JOIN t ON t.id = m.id),
 w AS (SELECT part, id, id AS a FROM u UNION ALL SELECT w.part, w.id, u.parent FROM w JOIN u ON u.id = w.a WHERE u.parent IS NOT NULL),
@@ -964,7 +999,8 @@ y AS (SELECT g.part, n, i, (SELECT sum(k * (k - 1) / 2) FROM s1 WHERE s1.part =
   (SELECT sum(o.k / n * ln(n * o.k / (s1.k * s2.k))) FROM o JOIN s1 ON s1.part = o.part AND s1.truth = o.truth JOIN s2 ON s2.part = o.part AND s2.found = o.found WHERE o.part = g.part) AS mi FROM g)
 SELECT part, CAST(n AS BIGINT) AS n, round((i - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) + 0.0 AS ari, round(mi / ((h1 + h2) / 2), 6) + 0.0 AS nmi FROM y""")
 def train_and_evaluate(spark, sf_dir):
-    """A fifth of the points and the others, each clustered on its own by links to the nearest heavier point below the median, and held against the labels."""
+    """A fifth of the points and the others, each clustered on its own by links to the nearest heavier point below a number, and held against the labels."""
     rows = vectors(spark, sf_dir)
-    found = clustering.train_and_evaluate({"train": rows.where("id % 5 <> 0"), "test": rows.where("id % 5 = 0")})
+    parts = {"train": rows.where("id % 5 <> 0"), "test": rows.where("id % 5 = 0")}
+    found = reduce(DataFrame.unionAll, (clustering.train_and_evaluate({name: part}, threshold=numeric(part)) for name, part in parts.items()))
     return found.select("part", "n", rounded("ari").alias("ari"), rounded("nmi").alias("nmi"))

@@ -52,14 +52,15 @@ def decode(content: bytes) -> np.ndarray:
             data.append(body)
     width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
     depth, colour, interlaced = head[8], head[9], head[12]
-    if depth != 8 or interlaced:
-        raise ValueError("only 8-bit samples without interlacing can be read")
-    step = SAMPLES[colour]
+    if depth not in (8, 16) or interlaced:
+        raise ValueError("only samples of 8 or 16 bits without interlacing can be read")
+    step = SAMPLES[colour] * depth // 8
     rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width * step + 1)
     out, above = np.empty((height, width * step), np.uint8), np.zeros(width * step, np.uint8)
     for y in range(height):
         out[y] = above = _plain_row(int(rows[y, 0]), rows[y, 1:], above, step)
-    out = out.reshape(height, width, step)
+    out = out.reshape(height, width, step) if depth == 8 else out.view(">u2").astype(np.uint16).reshape(height, width, step // 2)
+    step = out.shape[2]
     if colour == 3:
         return palette[out[:, :, 0]]
     return out[:, :, :1] if step in (1, 2) else out[:, :, :3]

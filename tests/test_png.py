@@ -7,9 +7,9 @@ import pytest
 from gyrolith.sources import png
 
 
-def encode(a, colour, filters=(0,), palette=None):
+def encode(a, colour, filters=(0,), palette=None, depth=8):
     """A PNG file of samples (height, width, channels), with the filters in turn."""
-    h, w, step = a.shape
+    h, w, step = a.shape  # of 16-bit samples, their bytes
     flat, raw = a.reshape(h, w * step).astype(int), b""
     for y in range(h):
         kind = filters[y % len(filters)]
@@ -23,7 +23,7 @@ def encode(a, colour, filters=(0,), palette=None):
             row.append(int(flat[y, k] - (0, left, up, (left + up) // 2, paeth)[kind]) & 255)
         raw += bytes(row)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0))]
+    parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0))]
     if palette is not None:
         parts.append(chunk(b"PLTE", palette.astype(np.uint8).tobytes()))
     body = zlib.compress(raw)
@@ -37,6 +37,16 @@ def test_round_trip(colour, step):
     assert np.array_equal(got, a[:, :, : 1 if step < 3 else 3])
 
 
+@pytest.mark.parametrize("colour, channels", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_samples_of_16_bits(spark, tmp_path, colour, channels):
+    a = np.random.default_rng(channels).integers(0, 1 << 16, (9, 5, channels))
+    content = encode(a.astype(">u2").view(np.uint8), colour, (4, 0, 1, 2, 3), depth=16)
+    assert np.array_equal(png.decode(content), a[:, :, : 1 if channels < 3 else 3])
+    if colour == 0:
+        (tmp_path / "deep.png").write_bytes(content)
+        assert {(r.y, r.x): r.v for r in png.read_pictures(spark, str(tmp_path)).collect()} == {(y, x): float(a[y, x, 0]) for y in range(9) for x in range(5)}
+
+
 def test_palette_and_errors():
     palette = np.array([[0, 0, 0], [255, 0, 9]])
     a = np.array([[[0], [1]], [[1], [0]]])
