@@ -1,6 +1,7 @@
 """Connected components of masks (image, y, x), eight neighbours, and filters on their border, area and shape.
 
 An image stays in one task, as a picture fits there. A task works on many images at once, laid out one below the other.
+Of larger pictures `tiled_components` and `tiled_holes` hold a tile in a task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolith.functions.blocks import codes, over_images
+from gyrolith.functions.graphs import least_linked, numbered_within
+from gyrolith.sources.tables import written
 
+#: Side of the tiles of pictures that are larger than a task should hold.
+TILE = 2048
 EIGHT = ((0, 1), (1, 1), (1, 0), (1, -1))
 FOUR = ((0, 1), (1, 0))
 
@@ -62,6 +67,96 @@ def components(mask: DataFrame) -> DataFrame:
     return over_images(mask.select("image", "y", "x").distinct(), run, f"image {kind}, y int, x int, component long")
 
 
+def tiled(mask: DataFrame, tile: int) -> DataFrame:
+    return mask.withColumns({"ty": F.expr(f"y DIV {tile}"), "tx": F.expr(f"x DIV {tile}")})
+
+
+def seams(pixels: DataFrame, tile: int, steps) -> DataFrame:
+    """(image, a, b): parts `id` of different tiles that steps between their pixels link; only pixels at a tile's edge are looked at."""
+    edge = pixels.where(" OR ".join(f"{c} % {tile} IN (0, {tile - 1})" for c in "yx"))
+    step = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps)))
+    asks = edge.select("image", "y", "x", F.col("id").alias("a"), step.alias("s"))
+    away = F.expr(f"(y + s.dy) DIV {tile} <> y DIV {tile} OR x + s.dx < 0 OR (x + s.dx) DIV {tile} <> x DIV {tile}")
+    asks = asks.where(away).select("image", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "a")
+    return asks.join(edge.select("image", "y", "x", F.col("id").alias("b")), ["image", "y", "x"]).select("image", "a", "b").distinct()
+
+
+def tiled_components(mask: DataFrame, tile: int = TILE) -> DataFrame:
+    """`components` for images of any size: a tile stays in one task, and parts of components are united over the seams.
+
+    A part goes by the place of its first pixel, row by row, so the least of a component's parts is its own first pixel, by
+    which components are numbered.
+    """
+    kind = mask.schema["image"].dataType.simpleString()
+    place = F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
+        label = numbered(y - y.min(), x - x.min())
+        first = np.full(label.max(), np.iinfo(np.int64).max)
+        np.minimum.at(first, label - 1, (y << 32) + x)
+        return pd.DataFrame({"image": pdf["image"], "y": pdf["y"], "x": pdf["x"], "id": first[label - 1]})
+
+    cut = tiled(mask.select("image", "y", "x").distinct(), tile)
+    parts = written(cut.groupBy("image", "ty", "tx").applyInPandas(within, f"image {kind}, y int, x int, id long"))
+    roots = least_linked(seams(parts, tile, EIGHT), "image")
+    rows = parts.join(roots, ["image", "id"], "left").select("image", "y", "x", F.coalesce("root", "id").alias("root"))
+    numbers = numbered_within(rows.where(F.col("root") == place), "image", "root")
+    return rows.join(numbers, ["image", "root"]).select("image", "y", "x", F.col("number").alias("component"))
+
+
+def tiled_holes(mask: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(image, y, x): the holes of masks of images (image, h, w) of any size, for `filled`: free pixels that four-neighbour steps don't connect with the border.
+
+    Free pixels are parts of tiles like components; those that touch the border, or are linked to one that does, are outside. Tiles are
+    looked at twice, so that only parts at seams or borders are rows.
+    """
+    kind = mask.schema["image"].dataType.simpleString()
+    frame = sizes.select("image", "h", "w", F.explode(F.expr(f"sequence(0, (h - 1) DIV {tile})")).alias("ty")).withColumn("tx", F.explode(F.expr(f"sequence(0, (w - 1) DIV {tile})")))
+    rows = frame.withColumns({"y": F.lit(-1), "x": F.lit(-1)}).unionByName(tiled(mask.select("image", "y", "x").join(sizes, "image"), tile))
+
+    def free(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the tile's free pixels, and the number of the first pixel of each one's part."""
+        one = pdf.iloc[0]
+        y0, x0 = int(one["ty"]) * tile, int(one["tx"]) * tile
+        grid = np.ones((min(tile, int(one["h"]) - y0), min(tile, int(one["w"]) - x0)), bool)
+        held = pdf[pdf["y"] >= 0]
+        grid[held["y"] - y0, held["x"] - x0] = False
+        y, x = np.nonzero(grid)
+        if not len(y):
+            return y, x, y
+        label = numbered(y, x, FOUR)
+        first = np.unique(label, return_index=True)[1]
+        return y + y0, x + x0, ((y[first] + y0).astype(np.int64) << 32)[label - 1] + (x[first] + x0)[label - 1]
+
+    def table(pdf, y, x, part, some):
+        names = pdf["image"].iloc[:1].repeat(int(some.sum())).reset_index(drop=True)
+        return pd.DataFrame({"image": names, "y": y[some].astype(np.int32), "x": x[some].astype(np.int32), "id": part[some].astype(np.int64)})
+
+    def at_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, part = free(pdf)
+        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
+        edge = (y % tile == 0) | (y % tile == tile - 1) | (x % tile == 0) | (x % tile == tile - 1) | (y == h - 1) | (x == w - 1)
+        return table(pdf, y, x, part, edge)
+
+    tiles = rows.groupBy("image", "ty", "tx")
+    schema = f"image {kind}, y int, x int, id long"
+    edges = written(tiles.applyInPandas(at_edges, schema))
+    roots = least_linked(seams(edges, tile, FOUR), "image")
+    parts = edges.join(roots, ["image", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = parts.join(sizes, "image").where("y = 0 OR x = 0 OR y = h - 1 OR x = w - 1").select("image", "root").distinct()
+    outside_ = parts.join(open_, ["image", "root"], "left_semi").select("image", "id").distinct()
+    here = lambda bits: F.expr(f"CAST({bits} DIV {tile} AS INT)")
+    outside_ = written(outside_.withColumns({"ty": here("shiftright(id, 32)"), "tx": here("(id & 4294967295)")}))
+
+    def closed(pdf: pd.DataFrame, free_parts: pd.DataFrame) -> pd.DataFrame:
+        y, x, part = free(pdf)
+        return table(pdf, y, x, part, ~np.isin(part, free_parts["id"].to_numpy()))
+
+    found = tiles.cogroup(outside_.groupBy("image", "ty", "tx")).applyInPandas(closed, schema)  # every tile has a row, its own
+    return found.select("image", "y", "x")
+
+
 def component_table(labelled: DataFrame) -> DataFrame:
     """(image, component, area, cy, cx, x, y, w, h): centroids and bounding boxes."""
     n = labelled.groupBy("image", "component").agg(F.count("*").alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))

@@ -73,8 +73,8 @@ class Nearest:
         return None
 
     def finish(self, state, a):
-        n, row, rank = len(a["id"]), *np.nonzero(np.isfinite(state["d"]))
-        return pd.DataFrame({"id": a["id"][row], "d": state["d"][row, rank], "j": state["j"][row, rank], "rank": rank.astype(np.int32)}) if n else pd.DataFrame(columns=["id", "d", "j", "rank"])
+        row, rank = np.nonzero(np.isfinite(state["d"]))
+        return pd.DataFrame({"id": a["id"][row], "d": state["d"][row, rank], "j": state["j"][row, rank], "rank": rank.astype(np.int32)})
 
 
 def nearest_rows(points: DataFrame, k: int, block: int | None = None, few: int = FEW) -> DataFrame:

@@ -681,6 +681,22 @@ def intense_spots(spark, sf_dir):
     return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
 
 
+@registered(f"WITH RECURSIVE {PX}, {PARTS} SELECT image, y, x, component FROM cc")
+def tiled_components(spark, sf_dir):
+    """Components united over the seams of tiles of five pixels."""
+    rows = components.tiled_components(small_images(spark, sf_dir).where("v > 0.08").select("image", "y", "x"), tile=5)
+    return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "component")
+
+
+@registered(f"""WITH RECURSIVE {PX}, mk AS (SELECT image, y, x FROM px WHERE v > 0.02), bg AS (SELECT image, y, x FROM px WHERE v <= 0.02),
+ou AS (SELECT image, y, x FROM bg WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT bg.image, bg.y, bg.x FROM ou JOIN bg ON bg.image = ou.image AND abs(bg.y - ou.y) + abs(bg.x - ou.x) = 1)
+SELECT bg.image, bg.y, bg.x FROM bg ANTI JOIN ou USING (image, y, x)""")
+def tiled_holes(spark, sf_dir):
+    sizes = vectors(spark, sf_dir).select(F.col("id").alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    rows = components.tiled_holes(small_images(spark, sf_dir).where("v > 0.02").select("image", "y", "x"), sizes, tile=5)
+    return rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+
 SHAPES = """bb AS (SELECT image, component, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM cc GROUP BY image, component),
 fs AS (SELECT image, component, y, unnest(range(x1 - 1, x2 + 2)) AS x FROM (SELECT *, unnest(range(y1 - 1, y2 + 2)) AS y FROM bb)),
 fb AS (SELECT fs.* FROM fs ANTI JOIN cc USING (image, component, y, x)),

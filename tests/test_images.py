@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gyrolith.operators import components, metrics, raster
@@ -100,3 +101,35 @@ def test_kernels_of_any_width_on_images_of_any_size(spark, size):
         for y, x in np.ndindex(a.shape):
             r = got[k, y, x]
             assert r.top == a[y, x] - low[y, x] and r.contrast == pytest.approx((a[y, x] - least[y, x]) / (most[y, x] - least[y, x] + 1e-10))
+
+
+def drawn(side, seed):
+    """A large mask: a spiral through all tiles, long diagonals, and scattered pixels."""
+    rng = np.random.default_rng(seed)
+    t = np.linspace(0, 60, 400_000)
+    y, x = side / 2 + t / 61 * side / 2 * np.sin(t), side / 2 + t / 61 * side / 2 * np.cos(t)
+    spots = rng.integers(0, side, (20_000, 2))
+    k = np.arange(side)
+    both = np.concatenate([np.stack([y, x], 1).astype(int), spots, np.stack([k, (3 * k) % side], 1)])
+    return np.unique(both, axis=0)
+
+
+def test_one_large_image_in_tiles(spark):
+    """8,000 x 8,000 pixels: the same components, with the same numbers, as in one task; so are the holes of a smaller one."""
+    pixels = drawn(8000, 1)
+    mask = spark.createDataFrame(pd.DataFrame({"image": "a", "y": pixels[:, 0], "x": pixels[:, 1]}), "image string, y int, x int")
+    want = components.numbered(pixels[:, 0], pixels[:, 1])
+    got = components.tiled_components(mask, 2048).toPandas().sort_values(["y", "x"])
+    assert np.array_equal(got[["y", "x"]].to_numpy(), pixels) and np.array_equal(got["component"].to_numpy(), want) and want.max() > 10_000
+    rings = np.zeros((150, 170), bool)
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        a, b, h, w = rng.integers(0, 120), rng.integers(0, 140), rng.integers(2, 30), rng.integers(2, 30)
+        rings[a : a + h + 1, [b, b + w]] = True
+        rings[[a, a + h], b : b + w + 1] = True
+    y, x = np.nonzero(rings)
+    mask = spark.createDataFrame([("r", int(v), int(u)) for v, u in zip(y, x, strict=True)], "image string, y int, x int")
+    sizes = spark.createDataFrame([("r", 150, 170), ("empty", 40, 33)], "image string, h int, w int")
+    filled = {(r.y, r.x) for r in components.filled(mask).collect()}
+    for tile in (16, 64, 2048):
+        assert {(r.y, r.x) for r in components.tiled_holes(mask, sizes, tile).collect()} == filled - set(zip(y.tolist(), x.tolist(), strict=True))
