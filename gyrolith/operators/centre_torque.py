@@ -1,7 +1,7 @@
 """The other torque clustering: centres chosen by density and distance, moved by weighted means, and scored by silhouette.
 
-Scores of given centres or clusters are joins and blocks over any number of points. Fitting runs image by image, as
-an image has a few hundred regions: `fit_images` is one grouped map.
+Scores of given centres or clusters are joins and blocks over any number of points, and so are the models of `fit_points`. For
+images, which have a few hundred regions each, `fit_images` is one grouped map.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gyrolith.functions.blocks import against_all, codes, distances, medians, over_images, packed_by
 from gyrolith.functions.folds import FEW, all_asks, block_size, folded
+from gyrolith.operators.features import z_scores
 from gyrolith.sources.tables import starts, written
 
 
@@ -158,6 +159,92 @@ def silhouette(points: DataFrame, block: int | None = None) -> DataFrame:
     return folded(packs, all_asks(packs, count), Silhouettes(), count).agg(F.avg("score").alias("silhouette"))
 
 
+# Models over any number of points: centres are on the driver, as they are few, and points never are.
+
+
+def gap(v, centre: list[float]):
+    """Distance of a column of points to one centre."""
+    return F.sqrt(F.aggregate(F.zip_with(v, F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+
+def with_nearest(points: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """The points with `cluster`, their nearest centre, and `gap`, its distance; lower numbers first among equals."""
+    rows = points.withColumn("__d", F.array(*(gap(F.col("v"), c) for c in centres)))
+    near = F.array_min("__d")
+    return rows.withColumns({"cluster": F.array_position("__d", near) - 1, "gap": near}).drop("__d")
+
+
+class Draws:
+    """Weighted draws of single points: the smallest of exponential variates over weights, whose uniform parts are hashes of seed, draw and id."""
+
+    def __init__(self, seed: int):
+        self.seed, self.number = seed, 0
+
+    def uniform(self):
+        return (F.pmod(F.xxhash64(F.lit(self.seed), F.lit(self.number), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    def one(self, points: DataFrame, weight=None) -> list[float]:
+        """The place of a drawn point, in proportion to the weight; evenly where no weight is above 0."""
+        found = None
+        for w in (weight, F.lit(1.0)):
+            if w is not None and not found:
+                found = points.where(w > 0).agg(F.min(F.struct((-F.ln(self.uniform()) / w).alias("key"), "id", "v")).alias("b")).first()["b"]
+        self.number += 1
+        return list(found["v"])
+
+
+def seeded(points: DataFrame, k: int, draws: Draws) -> list[list[float]]:
+    """The densest point, then draws in proportion to density times the distance to the nearest chosen one."""
+    rows = written(points.select("id", "v").join(density(points), "id"))
+    centres = [list(rows.agg(F.min(F.struct((-F.col("density")).alias("less"), "id", "v")).alias("b")).first()["b"]["v"])]
+    while len(centres) < k:
+        far = F.array_min(F.array(*(gap(F.col("v"), c) for c in centres)))
+        centres.append(draws.one(rows, F.col("density") * far))
+    return centres
+
+
+def fit_points(points: DataFrame, k: int, settings: Settings = Settings(), draws: Draws | None = None) -> DataFrame:
+    """(id, cluster) of points (id, v) by the rules of `fit_k`, over any number of points."""
+    draws, before = draws or Draws(settings.seed), np.inf
+    points = written(points.select("id", "v"))
+    centres = seeded(points, k, draws)
+    for _ in range(settings.rounds):
+        rows = with_nearest(points, centres)
+        held = {r["cluster"] for r in rows.select("cluster").distinct().collect()}
+        if len(held) < k:
+            for c in sorted(set(range(k)) - held):
+                far = with_nearest(points, centres).agg(F.max(F.struct("gap", (-F.col("id")).alias("last"), "v")).alias("b")).first()["b"]
+                centres[c] = list(far["v"])
+            rows = with_nearest(points, centres)
+        labelled = written(rows.select("id", "v", F.col("cluster").cast("long").alias("cluster")))
+        found = {r["k"]: list(r["c"]) for r in weighted_centres(labelled).collect()}
+        centres = [found[c] if c in found else draws.one(points) for c in range(k)]
+        far = F.array(*(gap(F.col("v"), c) for c in centres))
+        total = labelled.agg(F.sum(F.pow(F.get(far, F.col("cluster").cast("int")), F.lit(2.0)))).first()[0] or 0.0
+        if abs(before - total) < settings.tolerance:
+            break
+        before = total
+    return labelled.select("id", "cluster")
+
+
+def fit_best_points(points: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
+    """((id, cluster), k) for the number of clusters with the best silhouette, the first of equals, on standardised points (id, v); few points are one cluster."""
+    n = points.count()
+    if n < settings.least_points:
+        return points.select("id", F.lit(0).cast("long").alias("cluster")), 1
+    most = min(settings.most_k, n // settings.least_points)
+    if most < settings.least_k:
+        raise ValueError(f"{n} points are too few for {settings.least_k} clusters: at least {settings.least_points * settings.least_k} are needed")
+    z = z_scores(points, False).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("s")).select("id", F.transform("s", lambda s: s["z"]).alias("v"))
+    z, draws, best = written(z), Draws(settings.seed), (-np.inf, None, 0)
+    for k in range(settings.least_k, most + 1):
+        labels = fit_points(z, k, settings, draws)
+        score = silhouette(z.join(labels, "id")).first()[0]
+        if score > best[0]:
+            best = (score, labels, k)
+    return best[1], best[2]
+
+
 # One image's regions, in numpy.
 
 

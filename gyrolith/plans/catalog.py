@@ -268,6 +268,19 @@ def weighted_centres(spark, sf_dir):
     return rows.select("k", F.posexplode("c").alias("pos", "c")).select("k", F.col("pos").cast("long").alias("pos"), rounded("c").alias("c"))
 
 
+@registered(f"""WITH {CELLS}, s AS (SELECT id AS k, v AS c FROM p WHERE id < 4),
+l AS (SELECT id, arg_min(k, struct_pack(d := d, k := k)) AS label, min(d) AS d FROM (SELECT p.id, s.k, list_distance(p.v, s.c) AS d FROM p, s) GROUP BY id),
+d AS (SELECT a.id AS i, x.label AS k, list_distance(a.v, b.v) AS d FROM p a JOIN l x ON x.id = a.id JOIN l y ON y.label = x.label JOIN p b ON b.id = y.id),
+w AS (SELECT i, k, sum(exp(-d / (s + 1e-10))) AS w FROM d JOIN (SELECT k, quantile_cont(d, 0.5) AS s FROM d GROUP BY k) USING (k) GROUP BY i, k)
+SELECT k, pos, round(sum(w * x) / sum(w), 6) + 0.0 AS c FROM w JOIN e ON e.id = w.i GROUP BY k, pos""")
+def model_step(spark, sf_dir):
+    """One step of a model over all points: from the first four as centres to the weighted means of their clusters."""
+    points = written(vectors(spark, sf_dir).select("id", "v"))
+    seeds = [list(r["v"]) for r in points.where("id < 4").orderBy("id").collect()]
+    found = centre_torque.weighted_centres(centre_torque.with_nearest(points, seeds).select("id", "v", F.col("cluster").cast("long").alias("cluster")))
+    return found.select("k", F.posexplode("c").alias("pos", "c")).select("k", F.col("pos").cast("long").alias("pos"), rounded("c").alias("c"))
+
+
 @registered(f"""WITH {POINTS}, d AS (SELECT a.id AS i, a.label AS own, b.label AS k, sum(list_distance(a.v, b.v)) AS t, count(*) AS n FROM p a, p b GROUP BY 1, 2, 3),
 s AS (SELECT i, max(CASE WHEN k = own THEN CASE WHEN n > 1 THEN t / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN k <> own THEN t / n END) AS b FROM d GROUP BY i)
 SELECT round(avg(CASE WHEN b IS NULL THEN -1 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM s""")
