@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed features (four hexadecimal digits), lengths of n-grams, and the settings of the fit.
-FEATURES, GRAMS, ROUNDS, RIDGE = 1 << 16, (3, 4, 5), 80, 2e-4
+FEATURES, GRAMS, ROUNDS, RIDGE = 1 << 16, (3, 4, 5), 160, 5e-5
 #: Labelled rows that the model is fitted on at most, and rows of the labelled table made here.
-LEARN_ROWS, MADE_ROWS = 20_000, 2_400
+LEARN_ROWS, MADE_ROWS = 20_000, 6_000
 
 # The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -40,21 +40,36 @@ ALLOWED = """wiki encyclopedia library books novel museum exhibits university re
 spring weather forecast transit routes hospital health school lessons math council services archive documents football results
 datasets population poetry review bookshop catalog developer reference software guide makers forum news world-report travel cities photo""".split()
 SHARED = """the my best free online daily city open new top first www en de fr es m blog shop portal page index item view list post 2023 about home""".split()
-ENDINGS = "example example.org test site.example invalid".split()
+ENDINGS = "example example.org example.net example.com test site.example invalid".split()
+
+
+# Syllables of made-up names, which mean nothing, and what stands before a host's name.
+SYLLABLES = "ba be co da el fa gi ha in jo ka lo mi na or pe qui ro sa te un va wi xe ya zo th sh ing er on st br tr nd le al an".split()
+BEFORE = ("", "", "www.", "m.", "blog.")
 
 
 def labelled_urls(n: int = MADE_ROWS, seed: int = 5) -> list[tuple[str, int]]:
-    """(url, blocked): by turns of either kind, each with words of its kind in host or path, among words that both have."""
+    """(url, blocked): by turns of either kind, in hosts and paths of one make; ordinary ones are of three sorts.
+
+    Blocked URLs have words of blocked sites in host or path. Half of the ordinary ones have words of ordinary sites, the others
+    names without meaning or words that both kinds have, so that a URL that says nothing is ordinary.
+    """
     rng, out = np.random.default_rng(seed), []
     pick = lambda words: words[int(rng.integers(len(words)))]
+    name = lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 6))))
+    plain = lambda: name() if rng.random() < 0.6 else pick(SHARED)
     for k in range(n):
         own = BLOCKED if k % 2 else ALLOWED
-        host = [pick(own) if rng.random() < 0.8 else pick(SHARED), pick(SHARED)]
-        path = [pick(own) if rng.random() < 0.7 or host[0] not in own else pick(SHARED), *(pick(SHARED) for _ in range(int(rng.integers(3))))]
+        if k % 4 == 0:
+            host, path = [plain() for _ in range(int(rng.integers(1, 3)))], [plain() for _ in range(int(rng.integers(3)))]
+        else:
+            host = [pick(own) if rng.random() < 0.8 else plain(), *(plain() for _ in range(int(rng.integers(2))))]
+            path = [pick(own) if rng.random() < 0.7 or host[0] not in own else plain(), *(plain() for _ in range(int(rng.integers(3))))]
         rng.shuffle(host)
         rng.shuffle(path)
-        end = str(int(rng.integers(1000))) if rng.random() < 0.5 else ""
-        out.append((f"http{'s' * int(rng.integers(2))}://{'-.'[int(rng.integers(2))].join(host)}.{pick(ENDINGS)}/{'/'.join([*path, end])}", k % 2))
+        if rng.random() < 0.5:
+            path.append(str(int(rng.integers(10_000))) + pick(["", "", ".html", "/"]))
+        out.append((f"http{'s' * int(rng.integers(2))}://{pick(BEFORE)}{pick('-.').join(host)}.{pick(ENDINGS)}/{'/'.join(path)}", k % 2))
     return out
 
 

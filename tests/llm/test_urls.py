@@ -69,3 +69,11 @@ def test_model_on_urls_and_words_it_has_not_seen():
     share = sum((score(u) >= 0) == y for u, y in held) / len(held)
     print(len(held), share)
     assert share >= 0.7
+
+
+def test_pages_that_say_nothing_are_let_through(spark):
+    """Of undecided pages those with a blocked site's word are blocked, and of the others hardly any."""
+    rows = urls.op9_urls(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
+    marked = [r.verdict == "block" for r in rows if "adult" in r.host]
+    rest = [r.verdict == "block" for r in rows if "adult" not in r.host]
+    assert all(marked) and len(marked) >= 5 and sum(rest) <= 0.05 * len(rest) and len(rest) > 1000
