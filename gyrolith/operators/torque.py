@@ -344,13 +344,15 @@ def coincident_labels(points: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("d", "j"))["j"].alias("cluster"))
 
 
-def kmeans_labels(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(id, cluster) by k-means on the positions."""
+def kmeans_labels(points: DataFrame, k: int, seed: int = 42, tries: int = 4) -> DataFrame:
+    """(id, cluster) by k-means on the positions: of some tries the one of least cost, as a single one depends on how rows happen to lie in partitions."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = points.select("id", array_to_vector("v").alias("features"))
-    return KMeans(k=k, seed=seed, initMode="k-means||").fit(rows).transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
+    rows = written(points.select("id", array_to_vector("v").alias("features")).repartitionByRange("id").sortWithinPartitions("id"))
+    models = [KMeans(k=k, seed=seed + t, initMode="k-means||").fit(rows) for t in range(tries)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
 
 
 def cluster(points: DataFrame, method: str = "connection", mass_method: str = "density", n_clusters: int | None = None, threshold: str | float = "median", **steps) -> tuple[DataFrame, DataFrame | None]:
