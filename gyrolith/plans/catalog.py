@@ -6,9 +6,11 @@ Doubles are rounded alike on both sides; adding 0.0 turns -0.0 into 0.0.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from functools import reduce, wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -912,6 +914,24 @@ def npy_round_trip(spark, sf_dir):
     return as_long(read_arrays(spark, path, pattern="*_mask.npy", recursive=True))
 
 
+@registered(f"WITH {LABELS} SELECT image || '_stack.npy' AS image, y, x, CASE WHEN CASE WHEN image % 2 = 0 THEN floor(0.299 * 60 * v + 0.114 * 100 * v + 0.5) ELSE 20 * v END > 30 THEN 1 ELSE 0 END AS v FROM lm")
+def stacked_arrays(spark, sf_dir):
+    """Arrays of three dimensions: of three channels the luma counts, of two the first."""
+
+    def stack(channels):
+        def encode(a):
+            out = io.BytesIO()
+            np.save(out, np.stack([a * c for c in channels], axis=2).astype(np.uint8))
+            return out.getvalue()
+
+        return encode
+
+    path, maps = shared_folder(spark), label_maps(spark, sf_dir)
+    write_files(encoded(maps.where("image % 2 = 0"), stack((60, 0, 100)), "_stack.npy"), path)
+    write_files(encoded(maps.where("image % 2 = 1"), stack((20, 90)), "_stack.npy"), path)
+    return as_long(read_arrays(spark, path, above=30.0))
+
+
 @registered(f"WITH {LABELS}, t AS (SELECT *, max(v) OVER (PARTITION BY image) AS top FROM lm) SELECT image || '_mask.png' AS image, y, x, CASE WHEN top > 0 THEN v * 255 // top ELSE v END AS v FROM t")
 def png_round_trip(spark, sf_dir):
     """Label maps written as grey pictures, stretched to 255, and read as grey values."""
