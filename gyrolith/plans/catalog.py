@@ -11,13 +11,13 @@ from collections.abc import Callable
 from functools import reduce, wraps
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyrolith.operators import annotations, centre_torque, components, features, matching, metrics, raster, torque
 from gyrolith.plans import clustering, segmentation
 from gyrolith.sources import png
-from gyrolith.sources.tables import DETECTIONS, as_arrays, boxes_of, encoded, list_files, read_arrays, shared_folder, small_images, tidied, vectors, write_csv, write_files, write_json, written
+from gyrolith.sources.tables import DETECTIONS, as_arrays, boxes_of, encoded, list_files, list_truths, read_arrays, shared_folder, small_images, tidied, vectors, write_csv, write_files, write_json, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -301,8 +301,6 @@ def pixel_rows(rows, *columns, digits: int = 6):
 
 
 def masks(spark, sf_dir):
-    from pyspark.sql import Window
-
     return small_images(spark, sf_dir).withColumns({"found": F.col("v") > 0, "truth": F.col("v") > F.avg("v").over(Window.partitionBy("image"))})
 
 
@@ -986,6 +984,23 @@ def file_listing(spark, sf_dir):
     return reduce(DataFrame.unionAll, parts)
 
 
+@registered("""WITH t AS (SELECT DISTINCT page_id % 400 AS n FROM pages),
+    f AS (SELECT 'a' || CAST(n // 3 AS VARCHAR) AS stem, ['jpeg', 'jpg', 'png', 'PNG'][n % 4 + 1] AS ending FROM t WHERE n % 5 <> 0),
+    p AS (SELECT DISTINCT stem || '.' || ending AS file, stem, CASE ending WHEN 'jpg' THEN 0 WHEN 'png' THEN 1 ELSE 2 END AS priority FROM f WHERE ending <> 'PNG')
+    SELECT file, stem, CAST(priority AS INTEGER) AS priority, CAST(row_number() OVER (PARTITION BY stem ORDER BY priority, file) AS INTEGER) AS place FROM p""")
+def truth_listing(spark, sf_dir):
+    """Annotated images of a folder by ending, and the place of each among those of its stem; a fifth lie in a folder below and don't count."""
+    path = shared_folder(spark)
+    n = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") % 400).alias("n")).distinct()
+    ending = F.get(F.array(*map(F.lit, ("jpeg", "jpg", "png", "PNG"))), (F.col("n") % 4).cast("int"))
+    files = n.select("n", F.concat(F.lit("a"), F.expr("n DIV 3").cast("string"), F.lit("."), ending).alias("file"), F.lit(b"x").alias("content"))
+    files = written(files, f"{path}-names")
+    write_files(files.where("n % 5 = 0"), f"{path}/deep")
+    write_files(files.where("n % 5 <> 0"), path)
+    own = Window.partitionBy("stem").orderBy("priority", "file")
+    return list_truths(spark, path).select("file", "stem", "priority", F.row_number().over(own).alias("place"))
+
+
 @registered(f"WITH {POINTS} SELECT CAST(id AS VARCHAR) AS image, list_transform([label - 1, label // 2, label + 3, 5], lambda x: CAST(x AS BIGINT)) AS corners FROM p WHERE id % 3 <> 0")
 def json_round_trip(spark, sf_dir):
     """Detection metadata written as JSON lines and read with its schema; boxes have whole corners."""

@@ -102,6 +102,16 @@ def list_files(spark: SparkSession, path: str, extensions=IMAGES, recursive: boo
     return rows.where(name.rlike(r"\.(" + "|".join(extensions) + ")$"))
 
 
+def list_truths(spark: SparkSession, path: str, extensions=("jpg", "png", "jpeg")) -> DataFrame:
+    """(path, file, stem, priority) of the annotated images in a folder itself, endings as they are written.
+
+    Priority is the ending's place in the list, from 0: images go by priority, then file. Each file is a row, also where stems are equal.
+    """
+    ending = F.array_position(F.array(*map(F.lit, extensions)), F.regexp_extract("file", r"\.([^.]+)$", 1))
+    rows = list_files(spark, path, extensions, any_case=False)
+    return rows.select("path", "file", F.regexp_replace("file", r"\.[^.]+$", "").alias("stem"), (ending - 1).cast("int").alias("priority"))
+
+
 def array_rows(name: str, content: bytes, above: float, luma: bool) -> pd.DataFrame:
     a = np.load(io.BytesIO(content), allow_pickle=False)
     if a.ndim == 3:
