@@ -8,7 +8,7 @@ the windows widen) and only what the windows gained is counted. A search that co
 
 Vectors and queries meet in blocks of bounded size, so a task holds one block of each; a block is packed into one row, which
 is copied once for each block of the other side. Every task sorts its vectors' projections once and asks them its
-queries in parts. Of equal vectors only the smallest k + 1 ids take part, which changes no answer: ties go to smaller ids.
+queries in parts. Of equal vectors only the smallest k + 1 different ids take part, which changes no answer: ties go to smaller ids.
 
 Blocks, and not one table of projections with windows as range joins and collisions as rows, because collisions are many
 wherever near and far vectors differ little: among random directions of 64 dimensions the tenth neighbour of a query
@@ -16,8 +16,8 @@ is at 0.82 of the mean distance, and a window of that radius holds 74 % of all v
 were 44 for each query and vector (of 60 projections).
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows
-without an id; a query's own id is never its neighbour; a repeated query id is one query; vectors of different lengths
-never meet; with fewer than k candidates all are returned.
+without an id; a query's own id is never its neighbour; a repeated query id is one query, by the smallest of its vectors;
+rows with the same id and vector are one candidate, with different vectors several; vectors of different lengths never meet; with fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -108,7 +108,8 @@ def nearest(table: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
     blocks, groups = -(-total // VECTORS) or 1, -(-total // every // QUERIES) + 1
 
     copies = Window.partitionBy("dim", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).orderBy("id")
-    vectors = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    vectors = rows.withColumns({"copy": F.dense_rank().over(copies), "before": F.lag("id").over(copies)})
+    vectors = vectors.where((F.col("copy") <= k + 1) & ~F.col("before").eqNullSafe(F.col("id"))).drop("copy", "before")
     queries = rows.where(F.col("id") % every == 0).groupBy("id", "dim").agg(F.min("v").alias("v"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -27,3 +27,5 @@ def test_cases(spark):
     assert rows[4].labels == "gpl,gpl-3.0" and rows[8].labels == "cc-by,cc-by-nc" and rows[9].labels == "mit"
     assert rows[9].score < rows[10].score == 1.0
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+    twice = licenses.scan_licenses(docs.unionAll(docs)).groupBy("doc_id", "n_words", "n_base", "first_word", "base_labels").count().collect()
+    assert len(twice) == len(texts) and all(r["count"] == 2 and r.n_base == rows[r.doc_id].n_base for r in twice)

@@ -44,3 +44,12 @@ def test_ties_bad_vectors_and_few_rows(spark):
     assert answers(neighbours.nearest(table)) == plain(rows, 10, 100)
     assert answers(neighbours.nearest(table, every=1)) == plain(rows, 10, 1)
     assert neighbours.nearest(table.limit(0)).count() == 0
+
+
+def test_repeated_rows(spark):
+    """A row that is there many times is one candidate and one query, and hides no other row of its vector."""
+    rows = [(0, [1.0, 2.0])] * 30 + [(1, [1.0, 2.0])] * 30 + [(2, [1.0, 2.0]), (3, [1.0, 3.0]), (3, [1.0, 3.0]), (4, [5.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = plain(sorted({(i, tuple(v)) for i, v in rows}), 10, 1)
+    assert answers(neighbours.nearest(table, every=1)) == want and [i for _, i in want[0]] == [1, 2, 3, 4]
+    assert answers(neighbours.nearest(table, k=2, every=1)) == {q: w[:2] for q, w in want.items()}

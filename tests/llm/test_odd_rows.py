@@ -32,8 +32,9 @@ def test_media(docs):
 
 def test_bpe(docs):
     lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: k for k, t in enumerate(bpe.read_ranks(path("byte_bpe_multi_50k.tiktoken"))) if t}, special_tokens={})
-    rows = {r.doc_id: r for r in bpe.encode_documents(docs.where("doc_id <> 3"), path("byte_bpe_multi_50k.tiktoken"), PATTERN, digests=True).collect()}
+    rows = {r.doc_id: r for r in bpe.encode_documents(docs, path("byte_bpe_multi_50k.tiktoken"), PATTERN, digests=True).collect()}
     assert rows[1].n_tokens == len(lib.encode_ordinary(LONG)) and rows[1]["__w"] == "own __w" and rows[5].n_tokens == 0
+    assert rows[3].decoded_sha256 == hashlib.sha256(b"x" * 2_000_000).hexdigest()  # one pre-token
 
 
 def test_licenses(docs):

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 from oracle import compare
+from pyspark.sql import functions as F
 
 from gyrolith.llm import urls
 
@@ -38,6 +39,9 @@ def test_cases(spark):
         assert (r.block_score is None) == (r.rule is not None)
     assert {r.verdict for r in rows if "casino" in (r.url or "")} == {"block"}
     assert urls.judge(pages.limit(0)).count() == 0
+    clash = pages.unionAll(pages).select("*", *(F.lit(f"own {c}").alias(c) for c in ("host", "path", "verdict", "block_score")))
+    again = urls.judge(clash).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in urls.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect() for _ in range(2))
 
 
 def test_ties_between_rules_and_a_table_of_ones_own(spark):
