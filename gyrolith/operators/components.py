@@ -6,6 +6,8 @@ Of larger pictures `tiled_components` and `tiled_holes` hold a tile in a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +17,9 @@ from gyrolith.functions.blocks import codes, over_images
 from gyrolith.functions.graphs import least_linked, numbered_within
 from gyrolith.sources.tables import written
 
-#: Side of the tiles of pictures that are larger than a task should hold.
-TILE = 2048
+#: Side of the tiles of pictures that are larger than a task should hold, and pixels of small tiles that are looked at together.
+TILE, TILED = 2048, 1 << 20
+TILES = ("image", "ty", "tx")
 EIGHT = ((0, 1), (1, 1), (1, 0), (1, -1))
 FOUR = ((0, 1), (1, 0))
 
@@ -68,7 +71,7 @@ def components(mask: DataFrame) -> DataFrame:
 
 
 def tiled(mask: DataFrame, tile: int) -> DataFrame:
-    return mask.withColumns({"ty": F.expr(f"y DIV {tile}"), "tx": F.expr(f"x DIV {tile}")})
+    return mask.withColumns({"ty": F.expr(f"CAST(y DIV {tile} AS INT)"), "tx": F.expr(f"CAST(x DIV {tile} AS INT)")})
 
 
 def seams(pixels: DataFrame, tile: int, steps) -> DataFrame:
@@ -92,13 +95,13 @@ def tiled_components(mask: DataFrame, tile: int = TILE) -> DataFrame:
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
-        label = numbered(y - y.min(), x - x.min())
+        label = numbered(one_below_another(codes(*(pdf[c] for c in TILES)), y % tile, tile), x % tile)
         first = np.full(label.max(), np.iinfo(np.int64).max)
         np.minimum.at(first, label - 1, (y << 32) + x)
         return pd.DataFrame({"image": pdf["image"], "y": pdf["y"], "x": pdf["x"], "id": first[label - 1]})
 
     cut = tiled(mask.select("image", "y", "x").distinct(), tile)
-    parts = written(cut.groupBy("image", "ty", "tx").applyInPandas(within, f"image {kind}, y int, x int, id long"))
+    parts = written(over_images(cut, within, f"image {kind}, y int, x int, id long", TILES))
     roots = least_linked(seams(parts, tile, EIGHT), "image")
     rows = parts.join(roots, ["image", "id"], "left").select("image", "y", "x", F.coalesce("root", "id").alias("root"))
     numbers = numbered_within(rows.where(F.col("root") == place), "image", "root")
@@ -112,49 +115,62 @@ def tiled_holes(mask: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataFram
     looked at twice, so that only parts at seams or borders are rows.
     """
     kind = mask.schema["image"].dataType.simpleString()
-    frame = sizes.select("image", "h", "w", F.explode(F.expr(f"sequence(0, (h - 1) DIV {tile})")).alias("ty")).withColumn("tx", F.explode(F.expr(f"sequence(0, (w - 1) DIV {tile})")))
-    rows = frame.withColumns({"y": F.lit(-1), "x": F.lit(-1)}).unionByName(tiled(mask.select("image", "y", "x").join(sizes, "image"), tile))
-
-    def free(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the tile's free pixels, and the number of the first pixel of each one's part."""
-        one = pdf.iloc[0]
-        y0, x0 = int(one["ty"]) * tile, int(one["tx"]) * tile
-        grid = np.ones((min(tile, int(one["h"]) - y0), min(tile, int(one["w"]) - x0)), bool)
-        held = pdf[pdf["y"] >= 0]
-        grid[held["y"] - y0, held["x"] - x0] = False
-        y, x = np.nonzero(grid)
-        if not len(y):
-            return y, x, y
-        label = numbered(y, x, FOUR)
-        first = np.unique(label, return_index=True)[1]
-        return y + y0, x + x0, ((y[first] + y0).astype(np.int64) << 32)[label - 1] + (x[first] + x0)[label - 1]
-
-    def table(pdf, y, x, part, some):
-        names = pdf["image"].iloc[:1].repeat(int(some.sum())).reset_index(drop=True)
-        return pd.DataFrame({"image": names, "y": y[some].astype(np.int32), "x": x[some].astype(np.int32), "id": part[some].astype(np.int64)})
+    spans = {"ty": F.explode(F.expr(f"sequence(0, CAST((h - 1) DIV {tile} AS INT))")), "tx": F.explode(F.expr(f"sequence(0, CAST((w - 1) DIV {tile} AS INT))"))}
+    frame = sizes.select("image", "h", "w", spans["ty"].alias("ty")).withColumn("tx", spans["tx"]).withColumns({"y": F.lit(-1), "x": F.lit(-1)})
+    held = mask.join(sizes, "image", "left_semi").select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    held = tiled(held, tile)
+    rows = frame.unionByName(held.withColumns({"h": F.lit(None).cast("int"), "w": F.lit(None).cast("int")})).withColumn("id", F.lit(-1).cast("long"))
+    schema = f"image {kind}, y int, x int, id long"
+
+    def free(pdf: pd.DataFrame, kept: Callable[..., np.ndarray]) -> pd.DataFrame:
+        """The tiles' free pixels with the place of the first pixel of each one's part, where `kept` says so from place, their image's size, and whether the part's id is a row of its tile."""
+        found = [pdf.iloc[:0][["image", "y", "x", "id"]]]
+        of, y, own = codes(*(pdf[c] for c in TILES)), pdf["y"].to_numpy(), pdf["id"].to_numpy()
+        frames = np.flatnonzero((y < 0) & (own < 0))  # a row for each tile, in their order
+        top, left = (pdf[c].to_numpy(np.int64)[frames] * tile for c in ("ty", "tx"))
+        h, w = (pdf[c].to_numpy()[frames].astype(np.int64) for c in ("h", "w"))
+        if not np.array_equal(of[frames], np.arange(of[-1] + 1)):
+            raise ValueError("pixels outside their image, or an image with two sizes")
+        step = max(1, TILED // tile**2)
+        for k in range(0, len(frames), step):
+            some = slice(k, min(k + step, len(frames)))
+            high, wide = np.minimum(tile, h[some] - top[some]), np.minimum(tile, w[some] - left[some])
+            side = np.arange(tile)
+            grid = np.zeros((len(high), min(tile, high.max()) + 1, wide.max()), bool)  # a row between tiles
+            grid[:, :-1] = (side[: grid.shape[1] - 1] < high[:, None])[:, :, None] & (side[: grid.shape[2]] < wide[:, None])[:, None, :]
+            rows = slice(*np.searchsorted(of, [some.start, some.stop]))
+            on = y[rows] >= 0
+            at, v, u = of[rows][on] - k, y[rows][on] % tile, pdf["x"].to_numpy()[rows][on] % tile
+            grid[at, v, u] = False
+            at, v, u = np.nonzero(grid)
+            if not len(at):
+                continue
+            label = numbered(at * grid.shape[1] + v, u, FOUR)
+            first = np.unique(label, return_index=True)[1]
+            v, u = v + top[some][at], u + left[some][at]
+            part = ((v[first] << 32) + u[first])[label - 1]
+            opened = np.unique(np.stack([of[rows][own[rows] >= 0] - k, own[rows][own[rows] >= 0]], 1), axis=0)
+            keys = pd.MultiIndex.from_arrays([at[first], (v[first] << 32) + u[first]])
+            is_open = keys.isin(pd.MultiIndex.from_arrays(opened.T))[label - 1] if len(opened) else np.zeros(len(at), bool)
+            some = kept(v, u, h[k + at], w[k + at], is_open)
+            found.append(pd.DataFrame({"image": pdf["image"].to_numpy()[frames[k + at[some]]], "y": v[some].astype(np.int32), "x": u[some].astype(np.int32), "id": part[some]}))
+        return pd.concat(found, ignore_index=True)
 
     def at_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x, part = free(pdf)
-        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
-        edge = (y % tile == 0) | (y % tile == tile - 1) | (x % tile == 0) | (x % tile == tile - 1) | (y == h - 1) | (x == w - 1)
-        return table(pdf, y, x, part, edge)
+        return free(pdf, lambda y, x, h, w, is_open: (y % tile == 0) | (y % tile == tile - 1) | (x % tile == 0) | (x % tile == tile - 1) | (y == h - 1) | (x == w - 1))
 
-    tiles = rows.groupBy("image", "ty", "tx")
-    schema = f"image {kind}, y int, x int, id long"
-    edges = written(tiles.applyInPandas(at_edges, schema))
+    def closed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return free(pdf, lambda y, x, h, w, is_open: ~is_open)
+
+    edges = written(over_images(rows, at_edges, schema, TILES))
     roots = least_linked(seams(edges, tile, FOUR), "image")
     parts = edges.join(roots, ["image", "id"], "left").withColumn("root", F.coalesce("root", "id"))
     open_ = parts.join(sizes, "image").where("y = 0 OR x = 0 OR y = h - 1 OR x = w - 1").select("image", "root").distinct()
     outside_ = parts.join(open_, ["image", "root"], "left_semi").select("image", "id").distinct()
     here = lambda bits: F.expr(f"CAST({bits} DIV {tile} AS INT)")
-    outside_ = written(outside_.withColumns({"ty": here("shiftright(id, 32)"), "tx": here("(id & 4294967295)")}))
-
-    def closed(pdf: pd.DataFrame, free_parts: pd.DataFrame) -> pd.DataFrame:
-        y, x, part = free(pdf)
-        return table(pdf, y, x, part, ~np.isin(part, free_parts["id"].to_numpy()))
-
-    found = tiles.cogroup(outside_.groupBy("image", "ty", "tx")).applyInPandas(closed, schema)  # every tile has a row, its own
-    return found.select("image", "y", "x")
+    # Keys have one type on both sides: rows of equal keys of different types would go to different tasks.
+    outside_ = outside_.withColumns({"h": F.lit(None).cast("int"), "w": F.lit(None).cast("int"), "ty": here("shiftright(id, 32)"), "tx": here("(id & 4294967295)"), "y": F.lit(-1), "x": F.lit(-1)})
+    return over_images(rows.unionByName(outside_), closed, schema, TILES).select("image", "y", "x")
 
 
 def component_table(labelled: DataFrame) -> DataFrame:

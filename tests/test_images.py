@@ -133,3 +133,25 @@ def test_one_large_image_in_tiles(spark):
     filled = {(r.y, r.x) for r in components.filled(mask).collect()}
     for tile in (16, 64, 2048):
         assert {(r.y, r.x) for r in components.tiled_holes(mask, sizes, tile).collect()} == filled - set(zip(y.tolist(), x.tolist(), strict=True))
+
+
+def test_tiles_of_many_images_with_keys_in_many_partitions(spark):
+    """Many images and shuffles that aren't joined up again: each tile's parts must meet its pixels."""
+    rng = np.random.default_rng(11)
+    images = {k: rng.random((9 + k % 4, 8 + k % 3)) < 0.55 for k in range(60)}
+    rows = [(k, int(y), int(x)) for k, a in images.items() for y, x in zip(*np.nonzero(a), strict=True)]
+    mask = spark.createDataFrame(rows, "image long, y int, x int")
+    sizes = spark.createDataFrame([(k, *a.shape) for k, a in images.items()], "image long, h int, w int")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        holes = {tuple(r) for r in components.tiled_holes(mask, sizes, 4).collect()}
+        whole = {tuple(r) for r in components.filled(mask).join(mask, ["image", "y", "x"], "left_anti").collect()}
+        parts = {tuple(r) for r in components.tiled_components(mask, 4).select("image", "y", "x", "component").collect()}
+        plain = {tuple(r) for r in components.components(mask).select("image", "y", "x", "component").collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert holes == whole and holes
+    assert parts == plain
