@@ -117,7 +117,7 @@ def tiled_holes(mask: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataFram
     kind = mask.schema["image"].dataType.simpleString()
     spans = {"ty": F.explode(F.expr(f"sequence(0, CAST((h - 1) DIV {tile} AS INT))")), "tx": F.explode(F.expr(f"sequence(0, CAST((w - 1) DIV {tile} AS INT))"))}
     frame = sizes.select("image", "h", "w", spans["ty"].alias("ty")).withColumn("tx", spans["tx"]).withColumns({"y": F.lit(-1), "x": F.lit(-1)})
-    held = mask.join(sizes, "image", "left_semi").select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    held = mask.join(sizes.hint("merge"), "image", "left_semi").select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     held = tiled(held, tile)
     rows = frame.unionByName(held.withColumns({"h": F.lit(None).cast("int"), "w": F.lit(None).cast("int")})).withColumn("id", F.lit(-1).cast("long"))
     schema = f"image {kind}, y int, x int, id long"
@@ -165,7 +165,7 @@ def tiled_holes(mask: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataFram
     edges = written(over_images(rows, at_edges, schema, TILES))
     roots = least_linked(seams(edges, tile, FOUR), "image")
     parts = edges.join(roots, ["image", "id"], "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = parts.join(sizes, "image").where("y = 0 OR x = 0 OR y = h - 1 OR x = w - 1").select("image", "root").distinct()
+    open_ = parts.join(sizes.hint("merge"), "image").where("y = 0 OR x = 0 OR y = h - 1 OR x = w - 1").select("image", "root").distinct()
     outside_ = parts.join(open_, ["image", "root"], "left_semi").select("image", "id").distinct()
     here = lambda bits: F.expr(f"CAST({bits} DIV {tile} AS INT)")
     # Keys have one type on both sides: rows of equal keys of different types would go to different tasks.
@@ -181,14 +181,14 @@ def component_table(labelled: DataFrame) -> DataFrame:
 
 def without_border(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     """Components that have no pixel on the edge of their image."""
-    at_edge = labelled.join(sizes, "image").where("y = 0 OR x = 0 OR y = h - 1 OR x = w - 1").select("image", "component").distinct()
-    return labelled.join(at_edge, ["image", "component"], "left_anti")
+    at_edge = labelled.join(sizes.hint("merge"), "image").where("y = 0 OR x = 0 OR y = h - 1 OR x = w - 1").select("image", "component").distinct()
+    return labelled.join(at_edge.hint("merge"), ["image", "component"], "left_anti")
 
 
 def by_area(labelled: DataFrame, least: int = 10, most: int = 2000) -> DataFrame:
     """Components whose area lies in [least, most]."""
     kept = labelled.groupBy("image", "component").agg(F.count("*").alias("area")).where(F.col("area").between(least, most))
-    return labelled.join(kept.select("image", "component"), ["image", "component"], "left_semi")
+    return labelled.join(kept.select("image", "component").hint("merge"), ["image", "component"], "left_semi")
 
 
 def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -272,7 +272,7 @@ def shape_table(labelled: DataFrame) -> DataFrame:
 def by_shape(labelled: DataFrame, circularity: tuple[float, float] = (0.15, 1.0), solidity: float = 0.4) -> DataFrame:
     """Components with an outline of some area, and circularity and solidity within the limits."""
     ok = shape_table(labelled).where((F.col("outline_area") > 0) & F.col("circularity").between(*circularity) & (F.col("solidity") >= solidity))
-    return labelled.join(ok.select("image", "component"), ["image", "component"], "left_semi")
+    return labelled.join(ok.select("image", "component").hint("merge"), ["image", "component"], "left_semi")
 
 
 def outside(row: np.ndarray, col: np.ndarray) -> np.ndarray:

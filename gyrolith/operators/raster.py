@@ -1,6 +1,7 @@
 """Grid operators over pixel rows (image, y, x, v): neighbourhoods as windows along rows and columns, kernels over whole images.
 
-Grids are dense: every pixel of an image has its row. Beyond the border there are no pixels, so they don't count.
+Grids are dense: every pixel of an image has its row. Beyond the border there are no pixels, so they don't count. Files of pixels
+are small for their rows, so joins with them are merges by hint: by the size of its file a table of pixels could be taken for one to broadcast.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def _mirrored(rows: DataFrame, axis: str, radius: int) -> DataFrame:
 
 def local_deviation(pixels: DataFrame, sizes: DataFrame, radius: int = 10) -> DataFrame:
     """(image, y, x, v, deviation): the deviation within the square of side 2 radius + 1, on grids mirrored at the border."""
-    rows = pixels.join(sizes, "image").select("image", "y", "x", "v", "h", "w", F.col("v").alias("__a"), (F.col("v") * F.col("v")).alias("__b"))
+    rows = pixels.join(sizes.hint("merge"), "image").select("image", "y", "x", "v", "h", "w", F.col("v").alias("__a"), (F.col("v") * F.col("v")).alias("__b"))
     for axis, n in (("x", "w"), ("y", "h")):
         frame = _frame(axis, radius)
         wide = _mirrored(rows.withColumn("__n", F.col(n)), axis, radius)
@@ -198,21 +199,21 @@ def bright_pixels(pixels: DataFrame, mask, deviations: float = 2.5, share: float
     """Pixels of the mask at or above the largest of mean + deviations * sd, the percentile, and `least`, all within the mask."""
     own = pixels.where(mask)
     limits = own.groupBy("image").agg((F.avg("v") + deviations * F.stddev_pop("v")).alias("a"), F.expr(f"percentile(v, {share})").alias("b"))
-    return own.join(limits, "image").where(F.col("v") >= F.greatest("a", "b", F.lit(least))).select(*pixels.columns)
+    return own.join(limits.hint("merge"), "image").where(F.col("v") >= F.greatest("a", "b", F.lit(least))).select(*pixels.columns)
 
 
 def spiky_pixels(pixels: DataFrame, mask, deviations: float = 1.5, share: float = 0.99, least: float = 150.0) -> DataFrame:
     """Pixels of the mask, with `top`, at or above the percentile of positive top-hats and at or above max(mean + deviations * sd, least)."""
     own = pixels.where(mask)
     limits = own.groupBy("image").agg((F.avg("v") + deviations * F.stddev_pop("v")).alias("a"), F.expr(f"percentile(top, {share}) FILTER (WHERE top > 0)").alias("b"))
-    return own.join(limits, "image").where((F.col("top") >= F.col("b")) & (F.col("v") >= F.greatest("a", F.lit(least)))).select(*pixels.columns)
+    return own.join(limits.hint("merge"), "image").where((F.col("top") >= F.col("b")) & (F.col("v") >= F.greatest("a", F.lit(least)))).select(*pixels.columns)
 
 
 def grid_regions(pixels: DataFrame, mask, regions: int = 200, least: int = 10) -> DataFrame:
     """Pixels of the mask with `label`: the square cells that touch it, numbered row by row from 0; the side is max(least, root of area / regions)."""
     own = pixels.where(mask)
     side = own.groupBy("image").agg(F.greatest(F.lit(least), F.floor(F.sqrt(F.count("*") / F.lit(regions)))).cast("int").alias("__s"))
-    rows = own.join(side, "image").withColumns({"__cy": F.expr("y DIV __s"), "__cx": F.expr("x DIV __s")})
+    rows = own.join(side.hint("merge"), "image").withColumns({"__cy": F.expr("y DIV __s"), "__cx": F.expr("x DIV __s")})
     label = (F.dense_rank().over(Window.partitionBy("image").orderBy("__cy", "__cx")) - 1).cast("int")
     return rows.withColumn("label", label).drop("__s", "__cy", "__cx")
 
@@ -222,7 +223,7 @@ def crop(pixels: DataFrame, mask, below: int = 30) -> DataFrame:
     inside = lambda c: F.when(mask, F.col(c))
     box = pixels.groupBy("image").agg(F.min(inside("y")).alias("__y1"), (F.max(inside("y")) + below).alias("__y2"), F.min(inside("x")).alias("__x1"), F.max(inside("x")).alias("__x2"))
     held = F.col("y").between(F.col("__y1"), F.col("__y2")) & F.col("x").between(F.col("__x1"), F.col("__x2"))
-    return pixels.join(box, "image").withColumn("v", F.when(held, F.col("v")).otherwise(0.0)).drop("__y1", "__y2", "__x1", "__x2")
+    return pixels.join(box.hint("merge"), "image").withColumn("v", F.when(held, F.col("v")).otherwise(0.0)).drop("__y1", "__y2", "__x1", "__x2")
 
 
 def in_boxes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def box_labels(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def clip_boxes(boxes: DataFrame, sizes: DataFrame) -> DataFrame:
     """Boxes with positive sides, clipped to their image; the test precedes clipping, so a box outside may become empty and stay."""
-    rows = boxes.where("x2 > x1 AND y2 > y1").join(sizes, "image")
+    rows = boxes.where("x2 > x1 AND y2 > y1").join(sizes.hint("merge"), "image")
     clip = lambda c, size: F.least(F.greatest(F.col(c), F.lit(0)), F.col(size)).alias(c)
     return rows.select("image", "box", clip("x1", "w"), clip("y1", "h"), clip("x2", "w"), clip("y2", "h"))
 
@@ -274,7 +275,12 @@ def red(b: Column, g: Column, r: Column, first: tuple[int, int] = (0, 10), secon
 
 
 def resized(pixels: DataFrame, sizes: DataFrame, height: int, width: int) -> DataFrame:
-    """Nearest-neighbour resize: each new place reads pixel (floor(y h / height), floor(x w / width))."""
-    places = sizes.select("image", "h", "w", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ny")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("nx"))
-    places = places.select("image", "ny", "nx", F.expr(f"CAST(ny * h DIV {height} AS INT)").alias("y"), F.expr(f"CAST(nx * w DIV {width} AS INT)").alias("x"))
-    return places.join(pixels, ["image", "y", "x"]).select("image", F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
+    """Nearest-neighbour resize: each new place reads pixel (floor(y h / height), floor(x w / width)).
+
+    A pixel hands its value to the places that read it; new places outnumber what Spark knows of the tables, so they are no side of a join.
+    """
+    rows = pixels.join(sizes.select("image", "h", "w").hint("merge"), "image").where("y >= 0 AND y < h AND x >= 0 AND x < w")
+    for old, n, new, of in (("y", "h", "ny", height), ("x", "w", "nx", width)):
+        first, end = (f"CAST((({old} + {k}) * {of}L + {n} - 1) DIV {n} AS INT)" for k in (0, 1))
+        rows = rows.where(f"{first} < {end}").withColumn(new, F.explode(F.expr(f"sequence({first}, {end} - 1)")))
+    return rows.select("image", F.col("ny").alias("y"), F.col("nx").alias("x"), "v")

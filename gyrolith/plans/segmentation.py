@@ -1,6 +1,7 @@
 """Bright inclusions in an organ, image by image but for all images at once.
 
-Images are dense pixel rows (image, y, x, v, inside), with `inside` the organ's mask. Two detectors, one by brightness and one
+Images are dense pixel rows (image, y, x, v, inside), with `inside` the organ's mask. Files of pixels are small for their rows, so joins
+with pixels, components or regions are merges by hint: by the size of its file either side could be taken for one to broadcast. Two detectors, one by brightness and one
 by clusters of regions, are united, cleaned and filtered by border, area and shape.
 """
 
@@ -35,12 +36,12 @@ def region_mask(pixels: DataFrame, settings: Settings) -> DataFrame:
     regions = written(raster.grid_regions(pixels, F.col("inside"), settings.regions))
     table = features.region_features(regions)
     enough = table.groupBy("image").agg(F.count("*").alias("k")).where(F.col("k") >= settings.least_regions).select("image")
-    table = written(table.join(enough, "image"))
+    table = written(table.join(enough.hint("merge"), "image"))
     points = table.select("image", "label", F.array("mean_v", "max_v", "mean_top", "mean_contrast", "area").alias("f"))
     clusters = written(centre_torque.fit_images(features.valid_rows(points.withColumnRenamed("f", "v"), keep_nan=True).withColumnRenamed("v", "f"), settings.clusters))
-    chosen = features.outlier_clusters(table.join(clusters, ["image", "label"]))
-    labels = clusters.join(chosen, ["image", "cluster"], "left_semi").select("image", "label")
-    mask = regions.join(labels, ["image", "label"], "left_semi").select("image", "y", "x")
+    chosen = features.outlier_clusters(table.join(clusters.hint("merge"), ["image", "label"]))
+    labels = clusters.join(chosen.hint("merge"), ["image", "cluster"], "left_semi").select("image", "label")
+    mask = regions.join(labels.hint("merge"), ["image", "label"], "left_semi").select("image", "y", "x")
     return components.by_area(written(components.components(mask)), *settings.area).select("image", "y", "x")
 
 
@@ -54,7 +55,7 @@ def intense_spots(pixels: DataFrame, least: float = 220.0, area: tuple[int, int]
 def cleaned(pixels: DataFrame, found: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
     """(image, y, x, component) of found pixels, opened and closed on their grids and filtered by border, area and shape."""
     found = found.select("image", "y", "x").distinct().withColumn("on", F.lit(1))
-    grid = pixels.select("image", "y", "x").join(found, ["image", "y", "x"], "left").withColumn("v", F.coalesce("on", F.lit(0)))
+    grid = pixels.select("image", "y", "x").join(found.hint("merge"), ["image", "y", "x"], "left").withColumn("v", F.coalesce("on", F.lit(0)))
     grid = raster.closed_by(raster.opened_by(grid, settings.opening), settings.closing)
     kept = written(components.components(grid.where("v = 1")))
     kept = components.by_area(components.without_border(kept, sizes), *settings.area)
@@ -67,7 +68,7 @@ def segment_by_percentiles(pixels: DataFrame, settings: Settings = Settings(), s
     sizes = written(pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
     rich = written(raster.top_hat(pixels, settings.kernel).where("inside"))
     limits = rich.groupBy("image").agg(F.expr(f"percentile(top, {share})").alias("a"), F.expr(f"percentile(v, {share})").alias("b"))
-    found = written(rich.join(limits, "image").where((F.col("top") >= F.col("a")) | (F.col("v") >= F.greatest("b", F.lit(least)))))
+    found = written(rich.join(limits.hint("merge"), "image").where((F.col("top") >= F.col("a")) | (F.col("v") >= F.greatest("b", F.lit(least)))))
     return cleaned(pixels, found, sizes, settings).select("image", "y", "x")
 
 
@@ -75,10 +76,10 @@ def segment(pixels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(image, y, x) of the inclusions found."""
     inside = F.col("inside")
     enough = pixels.where(inside).groupBy("image").agg(F.count("*").alias("k")).where(F.col("k") >= settings.least_pixels).select("image")
-    pixels = written(pixels.join(enough, "image", "left_semi").select("image", "y", "x", F.col("v").cast("double").alias("v"), "inside"))
+    pixels = written(pixels.join(enough.hint("merge"), "image", "left_semi").select("image", "y", "x", F.col("v").cast("double").alias("v"), "inside"))
     sizes = written(pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
     rich = written(raster.top_and_contrast(raster.crop(pixels, inside, settings.below), settings.kernel, settings.kernel // 2))
     spots = raster.bright_pixels(rich, inside).select("image", "y", "x").union(raster.spiky_pixels(rich, inside).select("image", "y", "x"))
     found = written(spots.union(region_mask(rich, settings)))
     kept = cleaned(pixels, found, sizes, settings)
-    return kept.join(pixels.where(inside).select("image", "y", "x"), ["image", "y", "x"], "left_semi").select("image", "y", "x")
+    return kept.join(pixels.where(inside).select("image", "y", "x").hint("merge"), ["image", "y", "x"], "left_semi").select("image", "y", "x")

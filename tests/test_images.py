@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gyrolith.operators import components, metrics, raster
 
@@ -155,3 +156,17 @@ def test_tiles_of_many_images_with_keys_in_many_partitions(spark):
             spark.conf.set(k, v)
     assert holes == whole and holes
     assert parts == plain
+
+
+def test_new_places_of_a_resize_are_never_broadcast(spark, sf):
+    from gyrolith.sources.tables import small_images, vectors
+
+    sizes = vectors(spark, sf).select(F.col("id").alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    wide = raster.resized(small_images(spark, sf), sizes, 32, 32)
+    plan = wide._jdf.queryExecution().sparkPlan().toString()
+    assert not [part for part in plan.split("BroadcastExchange")[1:] if "Generate" in part.split("FileScan")[0]]
+    a = np.arange(35).reshape(7, 5)
+    rows = spark.createDataFrame([(0, int(y), int(x), float(a[y, x])) for y, x in np.ndindex(a.shape)], "image long, y int, x int, v double")
+    for h, w in ((3, 11), (16, 2)):
+        new = {(r.y, r.x): r.v for r in raster.resized(rows, spark.createDataFrame([(0, 7, 5)], "image long, h int, w int"), h, w).collect()}
+        assert new == {(y, x): float(a[y * 7 // h, x * 5 // w]) for y, x in np.ndindex(h, w)}
