@@ -203,3 +203,16 @@ def test_medians_write_no_pairs_of_blocks(spark):
         made = [os.path.join(at, f) for k in folders(spark)[0] - before for at, _, files in os.walk(os.path.join(root, k)) for f in files]
         written[n] = sum(os.path.getsize(f) for f in made if f.endswith(".parquet"))
     assert written[2048] < 12 * written[256], written
+
+
+def test_training_cuts_links_at_the_median(spark, sf):
+    """The registered query does the whole job: its threshold is the exact median over all pairs of a part, not a number."""
+    from gyrolith.plans import catalog
+
+    rows = tables.vectors(spark, sf).where("id % 5 = 0")
+    points = rows.select("id", "v").join(torque.mass(rows, "density"), "id")
+    labels = torque.connection_clusters(points, torque.median_torque(points)).join(rows, "id")
+    want = torque.agreement(labels, "label", "cluster").first()
+    got = catalog.queries()["train_and_evaluate"](spark, sf).where("part = 'test'").first()
+    assert (got.n, got.ari, got.nmi) == (want.n, pytest.approx(want.ari, abs=2e-6), pytest.approx(want.nmi, abs=2e-6))
+    assert "quantile_cont" in catalog.oracle_sql()["train_and_evaluate"]
