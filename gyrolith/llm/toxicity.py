@@ -7,8 +7,8 @@ shared distribution of continuation counts, so an expression that is rare in a c
 common. A character's evidence, log p(toxic) - log p(ordinary), then depends on its table entry alone: one value for
 each known n-gram, one for each known context of an unknown n-gram, and 0 beyond.
 
-Above them stand two models of a word given the word before, of the pairs that occur PAIR_ROOT times the root of the
-number of all words, so that pairs grow in number with the input; their backoff goes to the class's words and from there to shared counts of continuations. What a known pair adds to the evidence of its word
+Above them stand two models of a word given the word before, of the pairs that occur PAIR_LEAST times, whatever the
+size of the input; their backoff goes to the class's words and from there to shared counts of continuations. What a known pair adds to the evidence of its word
 is log p(word | before) / p(word), toxic less ordinary; a word after any other one keeps its own evidence.
 
 N-grams are dealt by the last MIDDLE characters of their context, and by more of them where these have more than
@@ -17,7 +17,8 @@ string's probability needs ends in these characters too, so each task makes its
 strings of up to so many characters take counts from all words, and n-grams get their probabilities by a join. The
 table has a row for each context that occurs CONTEXT_LEAST times. The most frequent contexts and pairs, up to fixed numbers, are
 held by every task, which scores words by them. Words with a context that is not held are scored by a join with the table,
-and pairs that are not held, but have their bit in a bitmap of the table's pairs, by a join with theirs.
+and pairs that are not held, but have their bit in a bitmap of the table's pairs, by a join with theirs, where the largest
+gain that pairs of their slot have could bring them among the text's most toxic words.
 
 The verdict compares length-normalised log-likelihoods: each word, given the one before, has a log-likelihood under
 either class, and their difference is divided by the word's characters and PRIOR more, which speak for neither class. Toxic
@@ -60,8 +61,12 @@ FOLDS, CALIBRATE = 5, 4
 MIDDLE, WORD_ROWS = 3, 20_000
 #: Places from which on such characters are too many for a task, and one more of them deals.
 SUFFIX_PLACES = 2_000_000
-#: A pair of words has an entry of its own if it occurs so many times the root of the number of all words, and so often at least.
-PAIR_ROOT, PAIR_LEAST = 0.025, 20
+#: A pair of words has an entry of its own if it occurs so often.
+PAIR_LEAST = 20
+#: Pairs of a text's words that a worker counts at once, distinct ones that it hands on at once, and all words for each part of the pairs.
+PAIR_PLACES, PAIR_ROWS, PAIR_WORDS = 4_000_000, 1_000_000, 4_000_000
+#: Slots of a piece of the table of largest gains, slots at most, and the gains that levels 1 to 255 stand for: from LOWEST on in steps.
+PIECE, SLOTS, LOWEST, LEVEL = 4096, 1 << 23, -16.0, 0.125
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]{1,40}")
 STEP, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
@@ -242,18 +247,20 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3
 class Toxicity:
     """The fitted models: the tables of contexts and of pairs (v, w, n, e), what every task holds of them, and regression weights.
 
-    `all_contexts` and `all_pairs` tell whether that is everything; if pairs are left, `bits` has a bit set for each of the table's.
+    `all_contexts` and `all_pairs` tell whether that is everything; if pairs are left, `bits` has a bit set for each of the table's,
+    and `tops` the level of the largest gain in each slot.
     """
 
     def __init__(self, table: DataFrame, pairs: DataFrame, weights: np.ndarray | None = None):
         self.table, self.pairs, self.weights = table, pairs, weights
         some = frequent(table, "n", CONTEXTS)
         self.common, self.all_contexts = Evidence.gathered(some), some.count() == table.count()
-        held = frequent(pairs, "n", MEMORY).select("v", "w", "e").collect()
-        self.held = {(r["v"], r["w"]): r["e"] for r in held}
+        held = frequent(pairs, "n", MEMORY).select("v", "w", "e").toArrow()
+        self.held = pair_keys(*(word_hashes(held[c].to_pylist()) for c in ("v", "w"))), held["e"].to_numpy()
         n = pairs.count()
         self.all_pairs = len(held) == n
         self.bits = None if self.all_pairs else pair_bits(pairs, bitmap_bits(n))
+        self.tops = None if self.all_pairs else pair_tops(pairs, min(SLOTS, max(PIECE, 1 << n.bit_length())))
 
     @property
     def evidence(self) -> Evidence:
@@ -268,10 +275,21 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of each pair, from those of its words."""
+    with np.errstate(over="ignore"):
+        return mixed(v * BASE + w)
+
+
+def hashes_in(batches):
+    """The hashes of words, as they come, for mapInArrow."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(batch.column(0).to_pylist()).view(np.int64))], names=["h"])
+
+
 def pair_places(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     """The bit of each pair, from the hashes of its words."""
-    with np.errstate(over="ignore"):
-        return (mixed(v * BASE + w) & np.uint64(bits - 1)).astype(np.int64)
+    return (pair_keys(v, w) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def pair_bits(pairs: DataFrame, bits: int) -> bytes:
@@ -285,52 +303,83 @@ def pair_bits(pairs: DataFrame, bits: int) -> bytes:
     return bitmap(pairs.select("v", "w").mapInArrow(run, "p long"), bits)
 
 
+def pair_tops(pairs: DataFrame, slots: int) -> bytes:
+    """A byte for each slot: the level of the largest gain (e) of the pairs (v, w) whose place it is, rounded up; 0 where there is none."""
+
+    def run(batches):
+        for batch in batches:
+            at = pair_places(*(word_hashes(batch.column(k).to_pylist()) for k in (0, 1)), slots)
+            level = np.clip(np.ceil((batch.column(2).to_numpy() - LOWEST) / LEVEL) + 1, 1, 255)
+            yield pa.RecordBatch.from_arrays([pa.array((at // PIECE).astype(np.int32)), pa.array((at % PIECE).astype(np.int32)), pa.array(level.astype(np.int32))], names=["k", "p", "level"])
+
+    def piece(table: pa.Table) -> pa.Table:
+        own = np.zeros(PIECE, np.uint8)
+        np.maximum.at(own, table["p"].to_numpy(), table["level"].to_numpy().astype(np.uint8))
+        return pa.table({"k": table["k"].slice(0, 1), "tops": pa.array([own.tobytes()], pa.binary())})
+
+    places = pairs.select("v", "w", "e").mapInArrow(run, "k int, p int, level int").groupBy("k", "p").agg(F.max("level").alias("level"))
+    out = bytearray(slots)
+    for r in places.groupBy("k").applyInArrow(piece, "k int, tops binary").collect():
+        out[r["k"] * PIECE : (r["k"] + 1) * PIECE] = r["tops"]
+    return bytes(out)
+
+
 class Scorer:
-    """What a task knows of words: their evidence, NaN where a context isn't held, and their number among the words of pairs.
+    """What a task knows of words: their evidence, NaN where a context isn't held, and their hash, by which held pairs are found.
 
-    `bits` is the bitmap of all the table's pairs, where not all are held.
+    `pairs` are the held ones with their gains, or their hashes and gains as two arrays; `bits` is the bitmap of all the table's
+    pairs, and `tops` the levels of their largest gains, where not all are held.
     """
 
-    def __init__(self, evidence: Evidence, missing: float, pairs: dict[tuple[str, str], float], bits: bytes | None):
+    def __init__(self, evidence: Evidence, missing: float, pairs: dict[tuple[str, str], float] | tuple[np.ndarray, np.ndarray], bits: bytes | None, tops: bytes | None = None):
         self.evidence, self.missing = evidence, missing
-        self.bits = None if bits is None else np.frombuffer(bits, np.uint8)
-        self.number = {w: k for k, w in enumerate(sorted({w for p in pairs for w in p}))}
-        keys = np.array([self.number[v] * len(self.number) + self.number[w] for v, w in pairs], np.int64)
-        by = np.argsort(keys)
-        self.keys, self.gains = keys[by], np.array(list(pairs.values()), float)[by]
+        self.bits, self.tops = (None if x is None else np.frombuffer(x, np.uint8) for x in (bits, tops))
+        if isinstance(pairs, dict):
+            pairs = pair_keys(*(word_hashes([p[k] for p in pairs]) for k in (0, 1))), np.array(list(pairs.values()), float)
+        by = np.argsort(pairs[0])
+        self.keys, self.gains = pairs[0][by], pairs[1][by]
+        self.likely = np.zeros(1 << min(22, max(10, (16 * len(by)).bit_length())), bool)  # whether any held pair has these last bits
+        self.likely[self.slots(self.keys)] = True
         self.forget()
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.likely) - 1)).astype(np.int64)
+
     def forget(self) -> None:
-        self.seen, self.value, self.part, self.size = {}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.hash = np.empty(0, np.uint64)
+        self.seen, self.value, self.size, self.hash = {}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.uint64)
 
     def codes(self, words: list[str]) -> np.ndarray:
-        """A number for each word, by which `value`, `part` and `size` are read."""
+        """A number for each word, by which `value`, `hash` and `size` are read."""
         if len(self.seen) > MEMORY:
             self.forget()
         seen = self.seen
         if new := list(set(words) - seen.keys()):
             seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
             self.value = np.concatenate([self.value, self.evidence.of(new, self.missing)])
-            self.part = np.concatenate([self.part, np.array([self.number.get(w, -1) for w in new], np.int64)])
             self.size = np.concatenate([self.size, np.array(list(map(len, new)), np.int64)])
-            if self.bits is not None:
-                self.hash = np.concatenate([self.hash, word_hashes(new)])
+            self.hash = np.concatenate([self.hash, word_hashes(new)])
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
     def gain(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what the word before adds to each word, whether that pair is held); `first` has the places of texts' first words."""
         out, there = np.zeros(len(codes)), np.zeros(len(codes), bool)
-        part = self.part[codes]
-        pair = np.flatnonzero((part[1:] >= 0) & (part[:-1] >= 0)) + 1
-        pair = np.setdiff1d(pair, first, assume_unique=True)
-        if len(pair) and len(self.keys):
-            key = part[pair - 1] * len(self.number) + part[pair]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[k] == key
+        if len(codes) and len(self.keys):
+            own = self.hash[codes]
+            key = pair_keys(own[:-1], own[1:])
+            may = self.likely[self.slots(key)]
+            may[first[(first > 0) & (first < len(codes))] - 1] = False
+            pair = np.flatnonzero(may) + 1
+            k = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
+            hit = self.keys[k] == key[may]
             out[pair[hit]], there[pair[hit]] = self.gains[k[hit]], True
         return out, there
 
+    def most(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What the word before can add at most to the words at these places, none of them the first, if the pair isn't held."""
+        own = self.hash[codes]
+        level = self.tops[pair_places(own[places - 1], own[places], len(self.tops))]
+        return np.where(level == 255, np.inf, np.maximum(0.0, LOWEST + (level.astype(float) - 1) * LEVEL))
+
     def elsewhere(self, codes: np.ndarray, first: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Whether each word and the one before may be a pair of the table that isn't held."""
         out = np.zeros(len(codes), bool)
@@ -510,27 +559,129 @@ def tallies(texts: DataFrame, found, schema: str) -> DataFrame:
     return parts.groupBy(*names).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def pair_table(texts: DataFrame, words: DataFrame, folder: str, root: float = PAIR_ROOT, least: int = PAIR_LEAST, discount: float = DISCOUNT) -> DataFrame:
+def pair_parts(texts: DataFrame, able: np.ndarray, parts: int) -> DataFrame:
+    """(part, data): pairs of able words with their counts by class, each pair in the part of its hash; texts (__y, __text), `able` the sorted hashes of words.
+
+    Pairs are sorted and compressed in their parts, which takes a third of what rows of strings take.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(able)
+
+    def run(batches):
+        names: list[str] = []
+        number: dict[str, int] = {}
+        counts, waiting, size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+        def summed():
+            """The counts so far: (v, w and class as one number, how often)."""
+            keys, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.int64),) * 2
+            keys, n = grouped(np.concatenate([counts[0], keys]), np.concatenate([counts[1], n]))
+            return keys, n.astype(np.int64)
+
+        def made():
+            keys, at = np.unique(counts[0] >> 1, return_inverse=True)
+            by_class = [np.bincount(at, counts[1] * (counts[0] & 1 == y), len(keys)).astype(np.int64) for y in (1, 0)]
+            text, hashes = pa.array(names, pa.string()), word_hashes(names)
+            v, w = keys >> 31, keys & (1 << 31) - 1
+            part = (pair_keys(hashes[v], hashes[w]) >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(np.array(names, object))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            by = np.lexsort((place[w], place[v], part))
+            ends = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            for k in range(parts):
+                own = by[ends[k] : ends[k + 1]]
+                if len(own):
+                    table = pa.table({"v": text.take(pa.array(v[own])), "w": text.take(pa.array(w[own])), "toxic": by_class[0][own], "ordinary": by_class[1][own]})
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed_table(table)], pa.binary())], names=["part", "data"])
+
+        for batch in slices(batches, 1):
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_in(t)
+                if new := [w for w in set(words) if w not in number]:
+                    hashes = word_hashes(new)
+                    known = np.zeros(len(new), bool) if not len(held.value) else held.value[np.minimum(np.searchsorted(held.value, hashes), len(held.value) - 1)] == hashes
+                    for word, there in zip(new, known.tolist(), strict=True):
+                        number[word] = len(names) if there else -1
+                        if there:
+                            names.append(word)
+                codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                v, w = codes[:-1], codes[1:]
+                both = (v >= 0) & (w >= 0)
+                waiting.append((v[both] << 31 | w[both]) << 1 | y)
+                size += len(waiting[-1])
+            if size > PAIR_PLACES or len(number) > MEMORY:
+                counts, waiting, size = summed(), [], 0
+            if len(counts[0]) > PAIR_ROWS or len(number) > MEMORY:
+                yield from made()
+                names, number, counts = [], {}, (np.empty(0, np.int64), np.empty(0, np.int64))
+        counts = summed()
+        yield from made()
+
+    return texts.select("__y", "__text").mapInArrow(run, "part int, data binary")
+
+
+def packed_table(table: pa.Table) -> bytes:
+    """A table with its strings as numbers of a dictionary, compressed."""
+    for k, c in enumerate(table.column_names):
+        if pa.types.is_string(table.schema.field(c).type):
+            table = table.set_column(k, c, table[c].combine_chunks().dictionary_encode())
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked_table(data: bytes) -> pa.Table:
+    table = pa.ipc.open_stream(data).read_all()
+    return table.cast(pa.schema([(f.name, f.type.value_type if pa.types.is_dictionary(f.type) else f.type) for f in table.schema]))
+
+
+def pair_sums(parts: DataFrame, count: int, least: int) -> DataFrame:
+    """(v, w, toxic, ordinary, kinds) from so many parts of pairs: pairs that occur `least` times, and for each w, with v null, how many words stand before it."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def summed():
+            rows = pa.concat_tables(held).group_by(["v", "w"]).aggregate([("toxic", "sum"), ("ordinary", "sum")])
+            return rows.select(["v", "w", "toxic_sum", "ordinary_sum"]).rename_columns(["v", "w", "toxic", "ordinary"])
+
+        limit = PAIR_ROWS
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                held.append(unpacked_table(data))
+                size += len(held[-1])
+                if size > limit:
+                    held = [summed()]
+                    size = len(held[0])
+                    limit = max(PAIR_ROWS, 2 * size)
+        if not held:
+            return
+        rows = summed()
+        kinds = rows.group_by("w").aggregate([("v", "count")])
+        kept = rows.filter(pc.greater_equal(pc.add(rows["toxic"], rows["ordinary"]), least))
+        yield from kept.append_column("kinds", pa.nulls(len(kept), pa.int64())).to_batches(max_chunksize=WORD_ROWS)
+        none = pa.nulls(len(kinds), pa.int64())
+        yield from pa.table({"v": pa.nulls(len(kinds), pa.string()), "w": kinds["w"], "toxic": none, "ordinary": none, "kinds": kinds["v_count"]}).to_batches(max_chunksize=WORD_ROWS)
+
+    return parts.repartitionById(count, F.col("part")).select("data").mapInArrow(run, "v string, w string, toxic long, ordinary long, kinds long")
+
+
+def pair_table(texts: DataFrame, words: DataFrame, folder: str, least: int = PAIR_LEAST, discount: float = DISCOUNT) -> DataFrame:
     """(v, w, n, e): pairs of words that occur often enough, and what v before w adds to the evidence of w.
 
-    Both words of such a pair occur as often; pairs of other words have no part. Where these words are few enough to be held, others are left
-    out as they are counted, else afterwards.
+    Both words of such a pair occur as often; pairs of other words have no part. Which words do is told by their hashes, eight bytes a word, in every task.
     """
+    spark = texts.sparkSession
     all_n = words.agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in ("toxic", "ordinary"))).first()
-    least = max(least, root * (all_n["toxic"] + all_n["ordinary"]) ** 0.5)
-    able = written(words.where(F.col("toxic") + F.col("ordinary") >= least).select("w"), f"{folder}/able")
-    held = texts.sparkSession.sparkContext.broadcast({r["w"] for r in able.collect()} if able.count() <= MEMORY else None)
-
-    def pairs_of(ws):
-        some = held.value
-        return zip(ws, ws[1:]) if some is None else (p for p in zip(ws, ws[1:]) if p[0] in some and p[1] in some)
-
-    pairs = tallies(texts, pairs_of, "v string, w string")
-    if held.value is None:
-        pairs = pairs.join(able, "w", "left_semi").join(able.withColumnRenamed("w", "v"), "v", "left_semi")
-    pairs = written(pairs, f"{folder}/all-pairs")
-    left = pairs.groupBy("w").agg((F.count("*") / F.lit(max(1, pairs.count()))).alias("left"))
-    kept = pairs.where(F.col("toxic") + F.col("ordinary") >= least)
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(all_n["toxic"] + all_n["ordinary"]) // PAIR_WORDS))
+    able = words.where(F.col("toxic") + F.col("ordinary") >= least).select("w").mapInArrow(hashes_in, "h long").toArrow()["h"].to_numpy()
+    parts = pair_parts(texts, np.sort(able.view(np.uint64)), count)
+    pairs = written(pair_sums(parts, count, least), f"{folder}/pairs")
+    kinds = pairs.where("v IS NULL")
+    all_kinds = kinds.agg(F.sum("kinds")).first()[0] or 1
+    left = kinds.groupBy("w").agg((F.sum("kinds") / F.lit(all_kinds)).alias("left"))
+    kept = pairs.where("v IS NOT NULL").drop("kinds")
     before = words.select(F.col("w").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("toxic", "ordinary")))
     own = words.select("w", *(F.col(c).alias(f"w_{c}") for c in ("toxic", "ordinary")))
     rows = written(kept.join(before, "v").join(own, "w").join(left, "w"), f"{folder}/kept-pairs")
@@ -593,7 +744,7 @@ def features(docs: DataFrame, model: Toxicity, text: str) -> DataFrame:
     """(__r1, __r2, f): the length-normalised difference of each distinct text, in an array of one."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     texts = docs.select(F.col(f"`{text}`").alias("t"))
-    held = spark.sparkContext.broadcast((model.common, 0.0 if model.all_contexts else float("nan"), model.held, model.bits))
+    held = spark.sparkContext.broadcast((model.common, 0.0 if model.all_contexts else float("nan"), model.held, model.bits, model.tops))
 
     def parts(batches):
         scorer = Scorer(*held.value)
@@ -608,14 +759,19 @@ def features(docs: DataFrame, model: Toxicity, text: str) -> DataFrame:
             later = scorer.elsewhere(codes, first, paired)
             open_ = np.isnan(e) | later
             x = (e + gain) / (scorer.size[codes] + 1 + PRIOR)
-            rare: list[list[dict]] = [[] for _ in lists]
-            for (k, v, w, base, d), n in Counter((int(doc[p]), flat[p - 1] if later[p] else None, flat[p], None if np.isnan(e[p]) else float(e[p]), float(gain[p])) for p in np.flatnonzero(open_)).items():
-                rare[k].append({"v": v, "w": w, "c": n, "e": base, "d": d})
-            x = np.where(open_, -np.inf, x)
+            certain = np.where(open_, -np.inf, x)
             top = []
             for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-                best = np.sort(np.partition(x[a:b], -STRONGEST)[-STRONGEST:] if b - a > STRONGEST else x[a:b])[::-1]
+                best = np.sort(np.partition(certain[a:b], -STRONGEST)[-STRONGEST:] if b - a > STRONGEST else certain[a:b])[::-1]
                 top.append(best[best > -np.inf].tolist())
+            if scorer.tops is not None:  # what can't be among the strongest, whatever its pair adds, is not looked up
+                least = np.array([t[-1] if len(t) == STRONGEST else -np.inf for t in top])
+                some = np.flatnonzero(later & ~np.isnan(e))
+                most = (e[some] + scorer.most(codes, some)) / (scorer.size[codes[some]] + 1 + PRIOR)
+                open_[some[most < least[doc[some]]]] = False
+            rare: list[list[dict]] = [[] for _ in lists]
+            for (k, v, w, base, d), n in Counter((int(doc[p]), flat[p - 1] if later[p] else None, flat[p], None if np.isnan(e[p]) else float(e[p]), float(gain[p])) for p in np.flatnonzero(open_)).items():
+                rare[k].append({"v": v, "w": w, "c": n, "e": base, "d": d})
             kind = pa.struct([("v", pa.string()), ("w", pa.string()), ("c", pa.int64()), ("e", pa.float64()), ("d", pa.float64())])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(top, pa.list_(pa.float64())), pa.array(rare, pa.list_(kind))], names=["__r1", "__r2", "top", "rare"])
 

@@ -245,3 +245,28 @@ def test_pairs_that_are_not_held_are_told_by_their_bits(spark):
     gain, held = scorer.gain(codes, first)
     asked = scorer.elsewhere(codes, first, held)
     assert gain[1] == 1.0 and held[1] and not asked[1] and asked[3:600:2].all() and asked[2:602:2].mean() < 0.05
+
+
+def test_pairs_do_not_depend_on_how_much_else_there_is(spark, tmp_path, monkeypatch):
+    """A pair that occurs often enough in a small table is one of a large table too; however often workers hand on their counts."""
+    rows, found = [(k % 2, "alpha beta gamma") for k in range(toxicity.PAIR_LEAST)], []
+    for n, places in ((10, None), (1_000_000, None), (10, 3)):
+        if places:
+            monkeypatch.setattr(toxicity, "PAIR_PLACES", places)
+            monkeypatch.setattr(toxicity, "PAIR_ROWS", 1)
+        texts = spark.createDataFrame([*rows, (0, "other " * n + "once only")], "__y int, __text string").coalesce(1)
+        words = toxicity.tallies(texts, lambda ws: ((w,) for w in ws), "w string")
+        found.append({(r.v, r.w): r.n for r in toxicity.pair_table(texts, words, f"{tmp_path}/{n}-{places}").collect()})
+        assert {p: found[-1].get(p) for p in (("alpha", "beta"), ("beta", "gamma"))} == {("alpha", "beta"): toxicity.PAIR_LEAST, ("beta", "gamma"): toxicity.PAIR_LEAST}
+    assert found[1][("other", "other")] == 999_999 and len(found[0]) == len(found[2]) == 2
+
+
+def test_largest_gains_of_slots_bound_every_pair(spark):
+    """A slot's level stands for at least the gain of each of its pairs."""
+    pairs = [(f"a{k}", f"b{k % 7}", (k - 150) / 7.3) for k in range(300)]
+    tops = toxicity.pair_tops(spark.createDataFrame(pairs, "v string, w string, e double"), toxicity.PIECE)
+    scorer = toxicity.Scorer(toxicity.Evidence(["a"], np.array([1]), np.array([1])), 0.0, {}, bytes(1 << 13), tops)
+    codes = scorer.codes([w for p in pairs for w in p[:2]])
+    most = scorer.most(codes, np.arange(1, 600, 2))
+    e = np.array([p[2] for p in pairs])
+    assert (most >= e).all() and np.median(most - np.maximum(e, 0)) <= toxicity.LEVEL
