@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from gyrolith.functions.blocks import codes, over_images
 from gyrolith.operators.components import outer_contours
 
+#: Pixels that distance transforms hold at once, some 100 bytes each, if an image has no more.
+CELLS = 1 << 20
 MASK_METRICS = ("iou", "dice", "pixel_accuracy", "precision", "recall", "specificity", "f1_score")
 
 
@@ -91,6 +93,18 @@ def squared_distances(held: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def laid_out(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """The ranges of rows of whole images whose pixels, laid below each other as wide as the widest, are at most CELLS; a larger image is one by itself."""
+    by = pdf.groupby(codes(pdf["image"]))
+    out, start, at, high, wide = [], 0, 0, 0, 0
+    for size, h, w in zip(by.size(), by["y"].max() + 1, by["x"].max() + 1, strict=True):
+        if at > start and (high + h) * max(wide, w) > CELLS:
+            out.append((start, at))
+            start, high, wide = at, 0, 0
+        at, high, wide = at + size, high + h, max(wide, w)
+    return [*out, (start, at)]
+
+
 def boundary_distances(found: DataFrame, truth: DataFrame, images: DataFrame) -> DataFrame:
     """(image, hausdorff, surface): symmetric largest, and mean of both mean, distances between outer outlines; inf if a mask is empty.
 
@@ -101,6 +115,9 @@ def boundary_distances(found: DataFrame, truth: DataFrame, images: DataFrame) ->
     sides = outer_contours(found).withColumn("side", F.lit(0)).unionByName(outer_contours(truth).withColumn("side", F.lit(1)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([together(pdf.iloc[a:b]) for a, b in laid_out(pdf)], ignore_index=True)
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
         of, side, visits = codes(pdf["image"]), pdf["side"].to_numpy(), pdf["visits"].to_numpy(float)
         names = pdf["image"].iloc[np.flatnonzero(np.diff(of, prepend=-1))].reset_index(drop=True)
         heights = pdf["y"].groupby(of).max().to_numpy() + 1
