@@ -38,6 +38,7 @@ from functools import reduce
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -51,6 +52,8 @@ from gyrolith.llm.common import bitmap, bitmap_bits, free_names, shared_folder,
 LEARN_ROWS = (5_000, 2_500)
 #: Length of the n-grams, the discount, and words or pairs that a worker remembers.
 ORDER, DISCOUNT, MEMORY = 10, 0.75, 400_000
+#: Bytes of texts that a worker scores at once, and words that it remembers from them.
+SCORE_BYTES, SCORE_WORDS = 1 << 20, 250_000
 #: Words whose differences make a text's, and characters that a word's length is counted as more than it has.
 STRONGEST, PRIOR = 3, 20
 #: Occurrences from which on a context has an entry of its own, and contexts that every task holds.
@@ -64,7 +67,7 @@ SUFFIX_PLACES = 2_000_000
 #: A pair of words has an entry of its own if it occurs so often.
 PAIR_LEAST = 20
 #: Pairs of a text's words that a worker counts at once, distinct ones that it hands on at once, and all words for each part of the pairs.
-PAIR_PLACES, PAIR_ROWS, PAIR_WORDS = 4_000_000, 1_000_000, 4_000_000
+PAIR_PLACES, PAIR_ROWS, PAIR_WORDS = 1_000_000, 1_000_000, 4_000_000
 #: Slots of a piece of the table of largest gains, slots at most, and the gains that levels 1 to 255 stand for: from LOWEST on in steps.
 PIECE, SLOTS, LOWEST, LEVEL = 4096, 1 << 23, -16.0, 0.125
 
@@ -350,7 +353,7 @@ class Scorer:
 
     def codes(self, words: list[str]) -> np.ndarray:
         """A number for each word, by which `value`, `hash` and `size` are read."""
-        if len(self.seen) > MEMORY:
+        if len(self.seen) > min(MEMORY, SCORE_WORDS):
             self.forget()
         seen = self.seen
         if new := list(set(words) - seen.keys()):
@@ -405,6 +408,26 @@ def fitting_rows(rows: DataFrame, most=LEARN_ROWS) -> DataFrame:
     return first[0].unionAll(first[1])
 
 
+def counting_texts(own: DataFrame, known: DataFrame) -> DataFrame:
+    """(__y, __text) of the labelled rows that give counts.
+
+    A bitmap over their keys, of 32 MB at most, tells before the join which texts can be among them, so the others aren't shuffled.
+    """
+    some, spark = known.where(F.col("__fold") != CALIBRATE), own.sparkSession
+    kinds = {df.schema["__key"].dataType.simpleString() for df in (own, some)}
+    if len(kinds) > 1 or not kinds <= {"bigint", "int", "string"}:  # keys that are equal may have other hashes
+        return own.join(some, "__key").select("__y", "__text")
+    bits = bitmap_bits(some.count())
+    at = F.pmod(F.xxhash64("__key"), F.lit(bits))
+    marked = spark.sparkContext.broadcast(bitmap(some.select(at.alias("p")), bits))
+
+    def marks(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((np.frombuffer(marked.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return own.where(F.pandas_udf(marks, "boolean")(at)).join(some, "__key").select("__y", "__text")
+
+
 def frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of the largest counts, at most so many: all from a limit on that counts by powers of two tell."""
     power = F.floor(4 * F.log2(F.col(count).cast("double")))
@@ -702,7 +725,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known, own = labelled(labels, key, label), docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     with tidied():  # all but the models' tables go at the end
         folder = shared_folder(docs.sparkSession)
-        texts = written(own.join(known.where(F.col("__fold") != CALIBRATE), "__key").select("__y", "__text"), f"{folder}/texts")
+        texts = written(counting_texts(own, known), f"{folder}/texts")
         words = written(tallies(texts, lambda ws: ((w,) for w in ws), "w string"), f"{folder}/words")
         all_n = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
         if not (all_n[0] and all_n[1]):
@@ -740,6 +763,36 @@ def word_evidence(words: DataFrame, model: Toxicity) -> DataFrame:
     return rows.groupBy("w").agg(F.sum(value).alias("e"))
 
 
+def text_parts(batches, scorer: Scorer):
+    """(*rest, top, rare) of each text: the values of its strongest words that are certain, and the words that tables must tell. Bounded by SCORE_BYTES of texts at once."""
+    for batch in slices(batches, size=SCORE_BYTES):
+        lists = [words_in(t) for t in batch.column(0).to_pylist()]
+        sizes = np.array(list(map(len, lists)), np.int64)
+        ends = np.cumsum(sizes)
+        flat, doc = list(chain.from_iterable(lists)), np.repeat(np.arange(len(lists)), sizes)
+        codes, first = scorer.codes(flat), ends - sizes
+        gain, paired = scorer.gain(codes, first)
+        e = scorer.value[codes]
+        later = scorer.elsewhere(codes, first, paired)
+        open_ = np.isnan(e) | later
+        x = (e + gain) / (scorer.size[codes] + 1 + PRIOR)
+        certain = np.where(open_, -np.inf, x)
+        top = []
+        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+            best = np.sort(np.partition(certain[a:b], -STRONGEST)[-STRONGEST:] if b - a > STRONGEST else certain[a:b])[::-1]
+            top.append(best[best > -np.inf].tolist())
+        if scorer.tops is not None:  # what can't be among the strongest, whatever its pair adds, is not looked up
+            least = np.array([t[-1] if len(t) == STRONGEST else -np.inf for t in top])
+            some = np.flatnonzero(later & ~np.isnan(e))
+            most = (e[some] + scorer.most(codes, some)) / (scorer.size[codes[some]] + 1 + PRIOR)
+            open_[some[most < least[doc[some]]]] = False
+        rare: list[list[dict]] = [[] for _ in lists]
+        for (k, v, w, base, d), n in Counter((int(doc[p]), flat[p - 1] if later[p] else None, flat[p], None if np.isnan(e[p]) else float(e[p]), float(gain[p])) for p in np.flatnonzero(open_)).items():
+            rare[k].append({"v": v, "w": w, "c": n, "e": base, "d": d})
+        kind = pa.struct([("v", pa.string()), ("w", pa.string()), ("c", pa.int64()), ("e", pa.float64()), ("d", pa.float64())])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(top, pa.list_(pa.float64())), pa.array(rare, pa.list_(kind))], names=["__r1", "__r2", "top", "rare"])
+
+
 def features(docs: DataFrame, model: Toxicity, text: str) -> DataFrame:
     """(__r1, __r2, f): the length-normalised difference of each distinct text, in an array of one."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
@@ -747,33 +800,7 @@ def features(docs: DataFrame, model: Toxicity, text: str) -> DataFrame:
     held = spark.sparkContext.broadcast((model.common, 0.0 if model.all_contexts else float("nan"), model.held, model.bits, model.tops))
 
     def parts(batches):
-        scorer = Scorer(*held.value)
-        for batch in slices(batches):
-            lists = [words_in(t) for t in batch.column(0).to_pylist()]
-            sizes = np.array(list(map(len, lists)), np.int64)
-            ends = np.cumsum(sizes)
-            flat, doc = list(chain.from_iterable(lists)), np.repeat(np.arange(len(lists)), sizes)
-            codes, first = scorer.codes(flat), ends - sizes
-            gain, paired = scorer.gain(codes, first)
-            e = scorer.value[codes]
-            later = scorer.elsewhere(codes, first, paired)
-            open_ = np.isnan(e) | later
-            x = (e + gain) / (scorer.size[codes] + 1 + PRIOR)
-            certain = np.where(open_, -np.inf, x)
-            top = []
-            for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-                best = np.sort(np.partition(certain[a:b], -STRONGEST)[-STRONGEST:] if b - a > STRONGEST else certain[a:b])[::-1]
-                top.append(best[best > -np.inf].tolist())
-            if scorer.tops is not None:  # what can't be among the strongest, whatever its pair adds, is not looked up
-                least = np.array([t[-1] if len(t) == STRONGEST else -np.inf for t in top])
-                some = np.flatnonzero(later & ~np.isnan(e))
-                most = (e[some] + scorer.most(codes, some)) / (scorer.size[codes[some]] + 1 + PRIOR)
-                open_[some[most < least[doc[some]]]] = False
-            rare: list[list[dict]] = [[] for _ in lists]
-            for (k, v, w, base, d), n in Counter((int(doc[p]), flat[p - 1] if later[p] else None, flat[p], None if np.isnan(e[p]) else float(e[p]), float(gain[p])) for p in np.flatnonzero(open_)).items():
-                rare[k].append({"v": v, "w": w, "c": n, "e": base, "d": d})
-            kind = pa.struct([("v", pa.string()), ("w", pa.string()), ("c", pa.int64()), ("e", pa.float64()), ("d", pa.float64())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(top, pa.list_(pa.float64())), pa.array(rare, pa.list_(kind))], names=["__r1", "__r2", "top", "rare"])
+        yield from text_parts(batches, Scorer(*held.value))
 
     entry = "struct<v: string, w: string, c: bigint, e: double, d: double>"
     kind = f"__r1 long, __r2 long, top array<double>, rare array<{entry}>"

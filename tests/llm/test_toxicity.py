@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -270,3 +272,29 @@ def test_largest_gains_of_slots_bound_every_pair(spark):
     most = scorer.most(codes, np.arange(1, 600, 2))
     e = np.array([p[2] for p in pairs])
     assert (most >= e).all() and np.median(most - np.maximum(e, 0)) <= toxicity.LEVEL
+
+
+def test_texts_without_a_label_are_left_out_before_the_join(spark):
+    docs = spark.createDataFrame([(k, f"word{k}") for k in range(500)] + [(None, "none")], "__key long, __text string")
+    known = toxicity.labelled(spark.createDataFrame([(k, k % 2) for k in range(0, 500, 5)], "id long, toxic int"), "id", "toxic")
+    rows = toxicity.counting_texts(docs, known)
+    found = rows.hint("merge").collect()
+    some = {r["__key"] for r in known.where(f"__fold <> {toxicity.CALIBRATE}").collect()}
+    assert sorted(r["__text"] for r in found) == sorted(f"word{k}" for k in some)
+    before = rows._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "PythonUDF" in before or "ArrowEvalPython" in before
+
+
+def test_memory_of_scoring_does_not_follow_the_batch():
+    words = [f"w{k:x}" for k in range(3_000)]
+    scorer = toxicity.Scorer(toxicity.Evidence(words, np.ones(3_000), np.ones(3_000)), 0.0, {}, None)
+    peaks = []
+    for rows in (150, 900):
+        texts = pa.array([" ".join(words[k % 7 :: 2]) for k in range(rows)])
+        batch = pa.RecordBatch.from_arrays([texts, pa.array(range(rows)), pa.array(range(rows))], names=["t", "a", "b"])
+        scorer.forget()
+        tracemalloc.start()
+        assert sum(len(b) for b in toxicity.text_parts([batch], scorer)) == rows
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
