@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,29 @@ def test_training_cuts_links_at_the_median(spark, sf):
     got = catalog.queries()["train_and_evaluate"](spark, sf).where("part = 'test'").first()
     assert (got.n, got.ari, got.nmi) == (want.n, pytest.approx(want.ari, abs=2e-6), pytest.approx(want.nmi, abs=2e-6))
     assert "quantile_cont" in catalog.oracle_sql()["train_and_evaluate"]
+
+
+def test_groups_of_blocks_give_the_same_and_copy_a_block_once_for_each(spark):
+    """13 blocks in groups of 1, 4 and 16: results are those of single blocks, and blocks pass once for each group."""
+
+    class Seen:
+        schema = "id long, n long, s double"
+
+        def start(self, a):
+            return {"n": 0, "s": np.zeros(len(a["id"]))}
+
+        def step(self, state, a, b):
+            assert state["n"] or a is b, "a block meets itself first"
+            state["n"] += 1
+            state["s"] += b["v"].sum()
+
+        def finish(self, state, a):
+            return pd.DataFrame({"id": a["id"], "n": state["n"], "s": state["s"]})
+
+    points = spark.range(260).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    packs = folds.packed(points, 20, n=260).select("i", "data")
+    for group in (1, 4, 16):
+        rows = folds.folded(packs, folds.all_asks(packs, 13), Seen(), 13, group)
+        assert {(r["n"], r["s"]) for r in rows.collect()} == {(13, float(sum(range(260))))}
+        assert rows.count() == 260
+    assert [folds.group_size(n, 12, Seen()) for n in (1, 48, 301, 10_000)] == [1, 1, 7, 16]
