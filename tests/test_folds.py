@@ -243,3 +243,32 @@ def test_groups_of_blocks_give_the_same_and_copy_a_block_once_for_each(spark):
         assert {(r["n"], r["s"]) for r in rows.collect()} == {(13, float(sum(range(260))))}
         assert rows.count() == 260
     assert [folds.group_size(n, 12, Seen()) for n in (1, 48, 301, 10_000)] == [1, 1, 7, 16]
+
+
+@pytest.mark.parametrize("scale, offset, noise", [(1.0, 0.0, 1.0), (1.0, 1e4, 1e-3), (1e-18, 0.0, 1.0), (1e12, 3e13, 1e-6)])
+def test_products_in_single_precision_miss_no_near_point(monkeypatch, scale, offset, noise):
+    """Where bounds are settled no product in double precision is needed, and the nearest are those of all differences, ties too."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 7))
+    x = scale * (base[rng.integers(0, 40, 700)] + noise * np.round(rng.standard_normal((700, 7)), 1)) + offset
+    a, b = x[:300], x[300:]
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    mass = rng.random(400)[None, :] > rng.random(300)[:, None]
+    for k, able in ((4, None), (1, mass)):
+        own = d if able is None else np.where(able, d, np.inf)
+        order = np.argsort(own, axis=1, kind="stable")[:, :k]
+        want = np.take_along_axis(own, order, 1)
+        if noise == scale == 1.0:
+            monkeypatch.setattr(torque, "squares", lambda *_: pytest.fail("products in double precision"))
+        near, at = torque.nearer(a, {"v": b}, k, want[:, -1] * (1 + 1e-12), able)
+        monkeypatch.undo()
+        assert np.allclose(near, want, rtol=1e-12, atol=0) and np.allclose(np.take_along_axis(d, at, 1), near, rtol=1e-12, atol=0)
+        assert (at == order)[np.diff(np.sort(own, 1)[:, : k + 1], axis=1).min(1) > 1e-9 * want[:, -1]].all()
+
+
+def test_values_too_large_for_single_precision_and_points_without_bound_are_found():
+    x = np.array([[0.0, 0.0], [1e20, 0.0], [1e200, 0.0], [3.0, 4.0]])
+    for most in (np.full(4, np.inf), np.array([np.inf, 2e20, np.inf, 6.0])):
+        near, at = torque.nearer(x, {"v": x[[3, 1]]}, 1, most)
+        assert at[:, 0].tolist()[:2] == [0, 1] and near[0, 0] == 5.0 and near[3, 0] == 0.0
+    assert torque.likely(x[:2], torque.readied(x[:2]), torque.single(torque.readied(x[:2])), np.ones(2)) is None
