@@ -272,3 +272,15 @@ def test_values_too_large_for_single_precision_and_points_without_bound_are_foun
         near, at = torque.nearer(x, {"v": x[[3, 1]]}, 1, most)
         assert at[:, 0].tolist()[:2] == [0, 1] and near[0, 0] == 5.0 and near[3, 0] == 0.0
     assert torque.likely(x[:2], torque.readied(x[:2]), torque.single(torque.readied(x[:2])), np.ones(2)) is None
+
+
+def test_distance_summaries_shuffle_points_and_no_parts_of_sums(spark):
+    """Parts of a point's sums stay in its task, so rows that are added up are as many as points, whatever the number of blocks."""
+    x = np.random.default_rng(3).standard_normal((300, 5))
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for block in (300, 40):
+        rows = torque.over_all(points, torque.Summary(), block)
+        assert rows.count() == 300
+        got = torque.distance_summary(points, block).orderBy("id").toPandas()
+        assert np.allclose(got[["nearest", "farthest", "total"]], np.column_stack([np.where(d > 0, d, np.inf).min(1), d.max(1), d.sum(1)]), rtol=1e-12)
