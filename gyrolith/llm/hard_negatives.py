@@ -8,7 +8,8 @@ takes the leaves that meet its annulus nearest first, twice as many each time, a
 better than the k rows found, or anything inside the annulus.
 
 Vectors are dealt into blocks of bounded size by a hash; a block and its tree are packed into one row, once, and written. Queries are
-packed in groups, and each group meets each block in a task. Two rounds: the best rows of an anchor's own label are its positives, and
+packed in groups, and each group meets each block in a task, to which both are dealt by number: joined, the groups, whose copies grow with the
+blocks, could be taken for small and broadcast. Two rounds: the best rows of an anchor's own label are its positives, and
 their scores give the annuli for its negatives. Every vector takes part in every search, which is exact: distances only decide
 what is looked at, with a margin, and scores are integers. Of rows with equal vector and label the k + 1 smallest ids
 take part, as others can't be among k answers, so a vector that a third of all rows share is a few rows.
@@ -155,26 +156,35 @@ class Blocks:
             held = (group["id"].to_numpy(), group["label"].to_numpy(), flat(group["v"], dim), [[(a["j"], a["s"], a["least"], a["greatest"]) for a in x] for x in group["asks"].to_pylist()])
             return pa.table({"dim": group["dim"].slice(0, 1), "part": group["part"].slice(0, 1), "asking": pa.array([pickle.dumps(held, 5)], pa.binary())})
 
-        left = self.trees.select("dim", "block", "tree", each(groups).alias("part"))
         right = anchors.withColumn("part", dealt(groups)).groupBy("dim", "part").applyInArrow(pack, "dim int, part int, asking binary")
-        pairs = left.join(right.select("dim", "part", "asking", each(self.count).alias("block")), ["dim", "block", "part"]).select("tree", "asking")
+        none, spark = F.lit(None).cast("binary"), anchors.sparkSession
+        rows = self.trees.select("dim", "block", each(groups).alias("part"), "tree", none.alias("asking"))
+        rows = rows.unionByName(right.select("dim", each(self.count).alias("block"), "part", none.alias("tree"), "asking"))
+        parts = min(self.count * groups, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        rows = rows.repartitionById(parts, (F.col("block") * groups + F.col("part")) % parts).sortWithinPartitions("dim", "block", "part", F.col("tree").isNull())
 
         def run(batches):
+            at, tree = None, None
             for batch in batches:
-                for data, asking in zip(batch["tree"], batch["asking"], strict=True):
-                    tree, (ids, labels, queries, asks) = pickle.loads(data), pickle.loads(asking)
+                for *key, data, asking in zip(batch["dim"], batch["block"], batch["part"], batch["tree"], batch["asking"], strict=True):
+                    if data is not None:
+                        at, tree = key, pickle.loads(data)
+                        continue
+                    if at != key:  # the block has no vectors of this length
+                        continue
+                    ids, labels, queries, asks = pickle.loads(asking)
                     high, low = tree.bounds(queries)
                     out = []
-                    for at, (me, label, own) in enumerate(zip(ids.tolist(), labels.tolist(), asks, strict=True)):
+                    for n, (me, label, own) in enumerate(zip(ids.tolist(), labels.tolist(), asks, strict=True)):
 
                         def wanted(rows, label=label, me=me, tree=tree):
                             return (tree.labels[rows] == label) & (tree.ids[rows] != me) if same else tree.labels[rows] != label
 
-                        found, _ = tree.search(queries[at], high[at], low[at], wanted, [a[2:] for a in own], k)
+                        found, _ = tree.search(queries[n], high[n], low[n], wanted, [a[2:] for a in own], k)
                         out += [(me, a[0], a[1], j, s) for a, (js, ss) in zip(own, found, strict=True) for j, s in zip(js.tolist(), ss.tolist(), strict=True)]
                     yield pd.DataFrame(out, columns=["anchor_id", "positive_id", "positive_score", "id", "score"])
 
-        return pairs.mapInPandas(run, FOUND)
+        return rows.mapInPandas(run, FOUND)
 
 
 def ranked(found: DataFrame, k: int, *within: str) -> DataFrame:

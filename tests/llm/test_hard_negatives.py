@@ -42,6 +42,19 @@ def test_random_tables_in_small_blocks(spark):
             assert got(hard_negatives.hard_negatives(table, every=7, vectors=vectors, group=group, leaf=leaf)) == plain(rows, 7)
 
 
+def test_no_search_broadcasts_copies_and_pairs_of_block_and_group_are_dealt_over_tasks(spark):
+    """Groups of anchors are copied for each block, so their copies grow faster than the table: the driver must never hold them."""
+    rng = np.random.default_rng(8)
+    rows = [(k, int(c), x.tolist()) for k, (c, x) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(-9, 10, (400, 4)), strict=True))]
+    table = spark.createDataFrame(rows, "id long, label long, v array<long>").withColumn("dim", F.size("v"))
+    blocks = hard_negatives.Blocks(table, 5, 100, 8)
+    asks = F.array(F.struct(*(F.lit(x).cast("long").alias(c) for c, x in (("j", 0), ("s", 0), ("least", -(1 << 62)), ("greatest", 1 << 62)))))
+    found = blocks.search(table.where("id % 10 = 0").withColumn("asks", asks), 3, True, 5)
+    assert len({(r["anchor_id"], r["id"]) for r in found.collect()}) > 40 * 5
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() == 4  # 12 pairs of a block and a group over as many tasks as Spark has
+
+
 def test_bad_rows_repeats_lengths_and_clashing_names(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, 1, [1.0, 0.5]), (0, 1, [1.0, 0.5]), (0, 2, [0.5, 0.5]), (1, 1, [1.0, 0.25]), (1, 1, [1.0, 0.25]), (2, 2, [0.75, 0.25]), (2, 2, [0.75, 0.25]), (3, 2, [0.5, 0.25]), (4, 3, [0.5, 0.25]),
