@@ -284,3 +284,51 @@ def test_distance_summaries_shuffle_points_and_no_parts_of_sums(spark):
         assert rows.count() == 300
         got = torque.distance_summary(points, block).orderBy("id").toPandas()
         assert np.allclose(got[["nearest", "farthest", "total"]], np.column_stack([np.where(d > 0, d, np.inf).min(1), d.max(1), d.sum(1)]), rtol=1e-12)
+
+
+def test_pairs_of_blocks_meet_once_and_blocks_are_copied_once_for_each_group(spark):
+    """65 and 64 blocks: with a row for each pair these were 2,145 and 2,080 copies of two blocks."""
+    for n in (65, 64, 2, 1):
+        points = spark.range(4 * n).select("id", F.array(F.col("id").cast("double") / 8).alias("v"))
+        packs = blocks.packed(points, 4, n=4 * n)
+        held = packs.count()  # a block may get no points
+        rows = blocks.meetings(packs, n)
+        cores = spark.sparkContext.defaultParallelism
+        group = max(1, -(-n // (blocks.GROUPS * cores)))
+        assert rows.count() <= -(-n // group) * (group + n // 2 + 1)
+        pairs = rows.mapInPandas(lambda x: (pd.DataFrame({"a": [a["i"]], "b": [b["i"]], "two": [two]}) for _, two, a, b in blocks.met(x)), "a int, b int, two boolean").collect()
+        assert len(pairs) == len({frozenset((r.a, r.b)) for r in pairs}) == held * (held + 1) // 2
+        assert all(r.two == (r.a != r.b) for r in pairs)
+
+
+def test_a_median_is_found_in_a_window_and_on_either_side_of_it(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    v, m = rng.standard_normal((400, 5)), rng.random(400) + 0.1
+    v[50:60], m[7] = v[40:50] + 1e-4, 80.0
+    t = m[:, None] * m / (((v[:, None] - v[None]) ** 2).sum(-1) + 1e-9)
+    points, q = frame(spark, v, m), lambda x: float(np.quantile(t, x))
+    for window in ((q(0.45), q(0.55)), (q(0.1), q(0.2)), (q(0.7), q(0.9))):
+        got = blocks.medians(points, torque.pair_torques, block=60, near=torque.near_torques, window=window).first()["mid"]
+        assert got == pytest.approx(np.median(t), rel=1e-12)
+    whole = torque.median_torque(points)
+    monkeypatch.setattr(torque, "SAMPLE", 100)
+    assert torque.median_torque(points) == pytest.approx(whole, rel=1e-12) == pytest.approx(np.median(t), rel=1e-12)
+    assert torque.mean_torque(points) == pytest.approx(t.mean(), rel=1e-9)
+
+
+def test_single_precision_tells_torques_below_a_window_from_those_inside():
+    """Few entries beside those in the window are taken by differences, and none of those in it is missed."""
+    rng = np.random.default_rng(12)
+    for scale, offset in ((1.0, 0.0), (1e-3, 50.0), (1e9, 0.0)):
+        a, b = ({"v": scale * rng.standard_normal((300, 64)) + offset, "m": rng.random(300) + 0.5} for _ in range(2))
+        b["v"][:9] = a["v"][:9]
+        t = a["m"][:, None] * b["m"] / (((a["v"][:, None] - b["v"][None]) ** 2).sum(-1) + 1e-9)
+        for low, high in ((0.5, 0.5001), (0.4, 0.6), (0.0, 0.01)):
+            least, most = np.quantile(t, [low, high]) if low else (0.0, float(np.quantile(t, high)))
+            below, found = torque.near_torques(a, b, least, most)
+            slack = 1e-9  # entries on the edge of the window
+            assert below + np.count_nonzero(found < least * (1 - slack)) <= np.count_nonzero(t < least) <= below + np.count_nonzero(found < least * (1 + slack))
+            assert np.allclose(np.sort(found[(found > least * (1 + slack)) & (found < most * (1 - slack))]), np.sort(t[(t > least * (1 + slack)) & (t < most * (1 - slack))]), rtol=1e-9, atol=0)
+            assert offset or len(found) < (high - low + 0.01) * t.size
+    assert torque.near_torques({**a, "m": a["m"] * 0}, b, 0.1, 0.2) is None
+    assert torque.near_torques({**a, "v": a["v"] * 1e200}, b, 0.1, 0.2) is None
