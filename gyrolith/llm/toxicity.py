@@ -36,6 +36,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -259,7 +260,7 @@ class Toxicity:
         some = frequent(table, "n", CONTEXTS)
         self.common, self.all_contexts = Evidence.gathered(some), some.count() == table.count()
         held = frequent(pairs, "n", MEMORY).select("v", "w", "e").toArrow()
-        self.held = pair_keys(*(word_hashes(held[c].to_pylist()) for c in ("v", "w"))), held["e"].to_numpy()
+        self.held = HeldPairs.of(pair_keys(*(word_hashes(held[c].to_pylist()) for c in ("v", "w"))), held["e"].to_numpy())
         n = pairs.count()
         self.all_pairs = len(held) == n
         self.bits = None if self.all_pairs else pair_bits(pairs, bitmap_bits(n))
@@ -284,6 +285,26 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mixed(v * BASE + w)
 
 
+class HeldPairs(NamedTuple):
+    """Hashes of pairs of words, in order, and their gains."""
+
+    keys: np.ndarray
+    gains: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, gains: np.ndarray) -> HeldPairs:
+        by = np.argsort(keys)
+        return cls(keys[by], gains[by])
+
+    def get(self, pair: tuple[str | None, str], default: float | None = None) -> float | None:
+        """The gain of one pair; `default` if it isn't held."""
+        if None in pair or not len(self.keys):
+            return default
+        key = pair_keys(*(word_hashes([x]) for x in pair))[0]
+        at = min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)
+        return float(self.gains[at]) if self.keys[at] == key else default
+
+
 def hashes_in(batches):
     """The hashes of words, as they come, for mapInArrow."""
     for batch in batches:
